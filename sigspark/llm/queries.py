@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixture_report
 
@@ -22,7 +30,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixing, op6_exact_dedup)}
+    return {f.__name__: f for f in (op3_packing, op5_mixing, op6_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
