@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,7 +36,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_mixing, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_packing, op5_mixing, op6_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
