@@ -15,6 +15,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,11 +42,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_packing, op5_mixing, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op5_mixing, op6_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .license_scan import sql as license_sql
+
     return {
+        "op2_license_scan": license_sql(),
         "op6_exact_dedup": r"""
             WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
             r AS (SELECT *, count(*) OVER (PARTITION BY norm) AS group_size,
