@@ -41,8 +41,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op5_mixing, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op5_mixing, op6_exact_dedup, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

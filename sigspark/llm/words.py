@@ -6,7 +6,7 @@ blocks of about BLOCK bytes that end between words, so memory does not depend on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -42,11 +42,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
-def _block_hashes(data: bytes, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in lower-cased data, and where they begin."""
+def _block_hashes(data: bytes, separator: np.ndarray, breaks: np.ndarray | None = None, prefixes: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes of the words in lower-cased data, where they begin, how many breaks precede each, and the breaks in all."""
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
     powers, inverse = _tables(len(raw))
     inside = np.empty(len(raw) + 2, dtype=np.int8)
     inside[0] = inside[-1] = 0
@@ -55,7 +55,19 @@ def _block_hashes(data: bytes, separator: np.ndarray) -> tuple[np.ndarray, np.nd
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_CODE[raw] * powers[: len(raw)], out=total[1:])
-    return mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)), start
+    hashes = mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    if prefixes:  # a row for each word: the word, and its prefixes or 0
+        rows = np.zeros((len(hashes), 1 + len(prefixes)), dtype=np.uint64)
+        rows[:, 0] = hashes
+        for i, k in enumerate(prefixes, 1):
+            longer = stop - start > k
+            at = start[longer]
+            rows[longer, i] = mixed((total[at + k] - total[at]) * inverse[at] + _U(k << 40))
+        hashes, start = rows.ravel(), np.repeat(start, rows.shape[1])
+    if breaks is None:
+        return hashes, start, np.zeros(len(start), dtype=np.int64), 0
+    broken = np.cumsum(breaks[raw])
+    return hashes, start, broken[start], int(broken[-1])
 
 
 def _blocks(data: bytes, separator: np.ndarray) -> Iterator[bytes]:
@@ -76,26 +88,40 @@ def _blocks(data: bytes, separator: np.ndarray) -> Iterator[bytes]:
 
 def text_word_hashes(texts: list[str | None], separator: np.ndarray = WHITE) -> Iterator[np.ndarray]:
     """For each text, the hashes of its words after A-Z are lower-cased; an empty array for null."""
+    for hashes, _ in text_sentences(texts, separator, None):
+        yield hashes
+
+
+def text_sentences(texts: list[str | None], separator: np.ndarray, breaks: np.ndarray | None, prefixes: Sequence[int] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same, with the number of break bytes that precede each word (its sentence); breaks must be separators.
+
+    With prefixes, each word is followed by the hashes of its first bytes, so many as prefixes says; 0 where the word is no longer.
+    """
     group: list[bytes] = []
     size = 0
     for text in texts:
         data = (text or "").encode().lower()
         if group and size + len(data) > BLOCK:
-            yield from _group_hashes(group, separator)
+            yield from _group_hashes(group, separator, breaks, prefixes)
             group, size = [], 0
         if len(data) > BLOCK:
-            yield np.concatenate([_block_hashes(b, separator)[0] for b in _blocks(data, separator)])
+            parts, before = [], 0
+            for block in _blocks(data, separator):
+                hashes, _, sentence, n = _block_hashes(block, separator, breaks, prefixes)
+                parts.append((hashes, sentence + before))
+                before += n
+            yield np.concatenate([h for h, _ in parts]), np.concatenate([s for _, s in parts])
         else:
             group.append(data)
             size += len(data) + 1
     if group:
-        yield from _group_hashes(group, separator)
+        yield from _group_hashes(group, separator, breaks, prefixes)
 
 
-def _group_hashes(group: list[bytes], separator: np.ndarray) -> Iterator[np.ndarray]:
-    hashes, start = _block_hashes(b" ".join(group), separator)
-    ends = np.cumsum([len(g) + 1 for g in group])
-    yield from np.split(hashes, np.searchsorted(start, ends[:-1]))
+def _group_hashes(group: list[bytes], separator: np.ndarray, breaks: np.ndarray | None, prefixes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    hashes, start, sentence, _ = _block_hashes(b" ".join(group), separator, breaks, prefixes)
+    ends = np.searchsorted(start, np.cumsum([len(g) + 1 for g in group])[:-1])
+    yield from zip(np.split(hashes, ends), np.split(sentence, ends), strict=True)
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
