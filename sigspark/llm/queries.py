@@ -47,8 +47,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op5_mixing, op6_exact_dedup, op7_toxicity)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op5_mixing, op6_exact_dedup, op7_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
