@@ -42,11 +42,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
-def _block_hashes(data: bytes, separator: np.ndarray, breaks: np.ndarray | None = None, prefixes: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hashes of the words in lower-cased data, where they begin, how many breaks precede each, and the breaks in all."""
+def _block_hashes(data: bytes, separator: np.ndarray, breaks: np.ndarray | None = None, prefixes: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in lower-cased data, where they begin, and the breaks up to each byte (none: zeros)."""
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
     powers, inverse = _tables(len(raw))
     inside = np.empty(len(raw) + 2, dtype=np.int8)
     inside[0] = inside[-1] = 0
@@ -64,10 +64,10 @@ def _block_hashes(data: bytes, separator: np.ndarray, breaks: np.ndarray | None
             at = start[longer]
             rows[longer, i] = mixed((total[at + k] - total[at]) * inverse[at] + _U(k << 40))
         hashes, start = rows.ravel(), np.repeat(start, rows.shape[1])
-    if breaks is None:
-        return hashes, start, np.zeros(len(start), dtype=np.int64), 0
-    broken = np.cumsum(breaks[raw])
-    return hashes, start, broken[start], int(broken[-1])
+    broken = np.zeros(len(raw) + 1, dtype=np.int64)
+    if breaks is not None:
+        np.cumsum(breaks[raw], out=broken[1:])
+    return hashes, start, broken
 
 
 def _blocks(data: bytes, separator: np.ndarray) -> Iterator[bytes]:
@@ -107,9 +107,9 @@ def text_sentences(texts: list[str | None], separator: np.ndarray, breaks: np.nd
         if len(data) > BLOCK:
             parts, before = [], 0
             for block in _blocks(data, separator):
-                hashes, _, sentence, n = _block_hashes(block, separator, breaks, prefixes)
-                parts.append((hashes, sentence + before))
-                before += n
+                hashes, start, broken = _block_hashes(block, separator, breaks, prefixes)
+                parts.append((hashes, broken[start] + before))
+                before += int(broken[-1])
             yield np.concatenate([h for h, _ in parts]), np.concatenate([s for _, s in parts])
         else:
             group.append(data)
@@ -119,9 +119,11 @@ def text_sentences(texts: list[str | None], separator: np.ndarray, breaks: np.nd
 
 
 def _group_hashes(group: list[bytes], separator: np.ndarray, breaks: np.ndarray | None, prefixes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    hashes, start, sentence, _ = _block_hashes(b" ".join(group), separator, breaks, prefixes)
-    ends = np.searchsorted(start, np.cumsum([len(g) + 1 for g in group])[:-1])
-    yield from zip(np.split(hashes, ends), np.split(sentence, ends), strict=True)
+    hashes, start, broken = _block_hashes(b" ".join(group), separator, breaks, prefixes)
+    begins = np.cumsum([0, *(len(g) + 1 for g in group)])[:-1]
+    ends = np.searchsorted(start, begins[1:])
+    for own, at, begin in zip(np.split(hashes, ends), np.split(start, ends), begins, strict=True):
+        yield own, broken[at] - broken[begin]
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
