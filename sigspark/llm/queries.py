@@ -29,6 +29,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_report
+
+    return media_report(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixture_report
 
@@ -54,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op5_mixing, op6_exact_dedup, op7_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op4_media, op5_mixing, op6_exact_dedup, op7_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
