@@ -53,6 +53,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import language_id
 
@@ -60,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op4_media, op5_mixing, op6_exact_dedup, op7_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op4_media, op5_mixing, op6_exact_dedup, op7_toxicity, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

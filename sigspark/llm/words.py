@@ -86,6 +86,25 @@ def _blocks(data: bytes, separator: np.ndarray) -> Iterator[bytes]:
         at = end
 
 
+def prefix_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the polynomial's base up to n, and their inverses: run hashes come from sums of products with them."""
+    powers, inverse = _tables(n + 1)
+    return powers, inverse
+
+
+def word_spans(data: bytes, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in data as they are, where they begin and where they end."""
+    hashes, starts, at = [], [], 0
+    for block in _blocks(data, separator) if len(data) > BLOCK else (data,):
+        h, s, _ = _block_hashes(block, separator)
+        hashes.append(h)
+        starts.append(s + at)
+        at += len(block)
+    start = np.concatenate(starts)
+    gap = np.flatnonzero(np.append(separator[np.frombuffer(data, dtype=np.uint8)], True))
+    return np.concatenate(hashes), start, gap[np.searchsorted(gap, start)]
+
+
 def text_word_hashes(texts: list[str | None], separator: np.ndarray = WHITE) -> Iterator[np.ndarray]:
     """For each text, the hashes of its words after A-Z are lower-cased; an empty array for null."""
     for hashes, _ in text_sentences(texts, separator, None):
