@@ -53,6 +53,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_report
 
@@ -66,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op4_media, op5_mixing, op6_exact_dedup, op7_toxicity, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op4_media, op5_mixing, op6_exact_dedup, op7_toxicity, op8_main_text, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
