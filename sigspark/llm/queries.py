@@ -71,8 +71,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op4_media, op5_mixing, op6_exact_dedup, op7_toxicity, op8_main_text, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_packing, op4_media, op5_mixing, op6_exact_dedup, op7_toxicity, op8_main_text, op9_line_dedup, op10_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
