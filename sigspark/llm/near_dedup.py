@@ -1,10 +1,11 @@
 """Near-duplicate groups by MinHash: universal hash minima, banding, signature verification, connected components.
 
 Texts with the same shingle set are one vertex, so copies never meet in a bucket. In a bucket, every vertex is paired
-with the bucket's smallest one (a star). Once the confirmed links are merged into components, only buckets that
-still hold several components are searched on: first for the best partner of each vertex outside the bucket's largest
-component, then for all its partners, block against block. So no link between components is lost to the star, and
-groups of copies never become all their pairs.
+with the bucket's smallest one (a star). Once the confirmed links are merged into components, only buckets that still hold several
+are searched on, block against block: every vertex outside the bucket's largest component against all its vertices. That
+yields groups of components whose signatures agree somewhere, and in these groups, again block against block, pairs of different
+components are compared in full until they are linked or no pair is left. So no link between components is lost to the
+star, each block hands on at most one row per vertex, and groups of copies never become all their pairs.
 
 A pair is a candidate if a band of its signatures is equal: pairs at the threshold of 0.85 are missed with a probability of
 4e-7 (BANDS of ROWS minima), and the signature check (AGREE of MINIMA) loses 2e-7. Links are confirmed on the full sets.
@@ -29,8 +30,11 @@ from .words import mixed, shingles, text_word_hashes
 
 MINIMA, BANDS, ROWS = 128, 25, 5
 AGREE = 86
-#: Vertices of a bucket that meet as many others in one task.
+#: Vertices of a group that meet as many others in one task, and their shingles at most.
 BLOCK_ROWS = 4000
+BLOCK_SHINGLES = 8_000_000
+#: Shingles that a task remembers while it compares sets.
+CACHE_SHINGLES = 4_000_000
 _U = np.uint64
 _rng = np.random.default_rng(85)
 _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * _U(2) + _U(1)
@@ -87,62 +91,102 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([pack((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())], names=["rep", "packed"])
 
 
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class FullSets:
+    """Shingle sets of packed texts, remembered up to CACHE_SHINGLES."""
+
+    def __init__(self):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        known: dict[bytes, np.ndarray] = {}
+        self.unpack, self.known, self.size = zstandard.ZstdDecompressor().decompress, {}, 0
+
+    def __call__(self, packed: bytes) -> np.ndarray:
+        found = self.known.get(packed)
+        if found is None:
+            found = shingles(next(text_word_hashes([self.unpack(packed).decode()])))
+            if self.size > CACHE_SHINGLES:
+                self.known.clear()
+                self.size = 0
+            self.known[packed] = found
+            self.size += len(found)
+        return found
+
 
-        def full(packed: bytes) -> np.ndarray:
-            if packed not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[packed] = shingles(next(text_word_hashes([unpack(packed).decode()])))
-            return known[packed]
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
 
+
+def _confirmed(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = FullSets()
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("packed_a").to_pylist(), b.column("packed_b").to_pylist(), strict=True):
-                s, t = full(x), full(y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
+            ok = [_linked(full(x), full(y), percent) for x, y in zip(b.column("packed_a").to_pylist(), b.column("packed_b").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _block_pairs(best: bool):
-    """Pairs of a query and a member of another component whose signatures agree; of each query all, or the best."""
+class Merged:
+    """Which of the components of a block have been merged so far."""
+
+    def __init__(self, comps):
+        self.up = {c: c for c in comps}
 
+    def root(self, c: int) -> int:
+        while self.up[c] != c:
+            self.up[c] = c = self.up[self.up[c]]
+        return c
+
+
+def _block(block: pd.DataFrame, linked) -> pd.DataFrame:
+    """Pairs of a query and a member that merge components of the block: their signatures agree, and linked(query row, member row) holds."""
+    q, m = block[block["query"]], block[~block["query"]]
+    out: list[tuple[int, int]] = []
+    if len(q) and len(m):
+        merged, names, index = Merged(set(block["comp"])), m["comp"].to_numpy(), np.arange(len(m))
+        base, rep = _signatures(m["sig"]), m["rep"].to_numpy()
+        for i, (r, c, s) in enumerate(zip(q["rep"], q["comp"], _signatures(q["sig"]), strict=True)):
+            same = (base == s).sum(axis=1)
+            near = index[(same >= AGREE) & (names != c)]
+            for k in near[np.argsort(-same[near], kind="stable")]:
+                x, y = merged.root(c), merged.root(names[k])
+                if x != y and linked(i, k):
+                    merged.up[max(x, y)] = min(x, y)
+                    out.append((min(r, rep[k]), max(r, rep[k])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _agreeing_block(block: pd.DataFrame) -> pd.DataFrame:
+    return _block(block, lambda i, k: True)
+
+
+def _linked_block(percent: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        q, m = block[block["query"]], block[~block["query"]]
-        out: list[tuple[int, int]] = []
-        if len(q) and len(m):
-            base, rep, comp = _signatures(m["sig"]), m["rep"].to_numpy(), m["comp"].to_numpy()
-            for r, c, s in zip(q["rep"], q["comp"], _signatures(q["sig"]), strict=True):
-                same = (base == s).sum(axis=1)
-                same[comp == c] = 0
-                hits = [int(same.argmax())] if best else np.flatnonzero(same >= AGREE)
-                out += [(min(r, rep[i]), max(r, rep[i])) for i in hits if same[i] >= AGREE]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        full = FullSets()
+        q, m = block.loc[block["query"], "packed"].to_list(), block.loc[~block["query"], "packed"].to_list()
+        return _block(block, lambda i, k: _linked(full(q[i]), full(m[k]), percent))
 
     return run
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
-    """Candidate pairs across components, from the buckets that hold several."""
-    known = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    # the bucket's largest component, as one number beside its size: an aggregate with a fixed-width buffer
-    open_ = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.expr("cast(n as decimal(38,0)) * 36893488147419103232 + (cast(comp as decimal(38,0)) + 9223372036854775808)")).alias("top")).where("comps > 1")
-    open_ = open_.select("key", "n", F.expr("cast(top % 36893488147419103232 - 9223372036854775808 as long)").alias("main"))
-    rows = known.join(open_, "key").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK_ROWS}) as long)")).withColumn("mine", F.expr("pmod(xxhash64(rep), blocks)"))
+def _blocks(known: DataFrame, weight: str) -> DataFrame:
+    """(key, i, j, rep, comp, query): in groups by key that hold several components, block i of all members beside block j of those outside the largest component.
+
+    weight is a column of known: blocks have about BLOCK_ROWS members of weight 1.
+    """
+    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    # the largest component as one number beside its size: an aggregate with a fixed-width buffer
+    top = F.max(F.expr("cast(n as decimal(38,0)) * 36893488147419103232 + (cast(comp as decimal(38,0)) + 9223372036854775808)"))
+    open_ = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("w").alias("w"), top.alias("top")).where("comps > 1")
+    open_ = open_.select("key", F.expr(f"cast(ceil(w / {BLOCK_ROWS}) as long)").alias("blocks"), F.expr("cast(top % 36893488147419103232 - 9223372036854775808 as long)").alias("main"))
+    rows = known.join(open_, "key").withColumn("mine", F.expr("pmod(xxhash64(rep), blocks)"))
     base = rows.select("key", "rep", "comp", F.col("mine").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"), F.lit(False).alias("query"))
     asks = rows.where("comp <> main").select("key", "rep", "comp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("i"), F.col("mine").alias("j"), F.lit(True).alias("query"))
     asked = asks.select("key", "j").distinct()
-    both = base.join(asked, ["key", "j"], "left_semi").select("key", "i", "j", "rep", "comp", "query").unionByName(asks.select("key", "i", "j", "rep", "comp", "query"))
-    return both.join(reps.select("rep", "sig"), "rep").groupBy("key", "i", "j").applyInPandas(_block_pairs(best), "a long, b long").distinct()
+    columns = ["key", "i", "j", "rep", "comp", "query"]
+    return base.join(asked, ["key", "j"], "left_semi").select(*columns).unionByName(asks.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -154,35 +198,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store(slim.mapInArrow(_signed, "doc_id long, n long, hi long, lo long, sig binary"), "near-signatures")
-    reps = store(signed.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-vertices")
+    reps = store(signed.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("size")), "near-vertices")
     buckets = reps.select("rep", "sig").mapInArrow(_bands, "rep long, key long")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = store(buckets.join(shared, "key"), "near-buckets")
 
-    def confirm(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs whose signatures agree, and those of them that are links."""
-        a, b = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        agree = store(pairs.join(a, "a").join(b, "b").mapInArrow(_agreeing, "a long, b long").distinct(), "near-pairs")
-        ids = agree.select(F.col("a").alias("rep")).union(agree.select(F.col("b").alias("rep"))).distinct()
-        texts = store(slim.withColumnRenamed("doc_id", "rep").mapInArrow(_packed, "rep long, packed binary").join(ids, "rep", "left_semi").distinct(), "near-texts")
-        a, b = (texts.select(F.col("rep").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab")
-        links = store(agree.join(a, "a").join(b, "b").mapInArrow(_confirmed(percent), "a long, b long").distinct(), "near-links")
-        discard(texts)
-        return agree, links
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return slim.withColumnRenamed("doc_id", "rep").mapInArrow(_packed, "rep long, packed binary").join(ids, "rep", "left_semi").distinct()
 
     star = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    tested, links = confirm(star)
+    a, b = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    agree = store(star.join(a, "a").join(b, "b").mapInArrow(_agreeing, "a long, b long").distinct(), "near-pairs")
+    texts = store(texts_of(agree.select(F.col("a").alias("rep")).union(agree.select(F.col("b").alias("rep"))).distinct()), "near-texts")
+    a, b = (texts.select(F.col("rep").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab")
+    links = store(agree.join(a, "a").join(b, "b").mapInArrow(_confirmed(percent), "a long, b long").distinct(), "near-links")
+    discard(agree, texts)
     labels = components(links)
-    for best in (True, False):
-        pairs = store(_open_pairs(members, labels, reps, best).join(tested, ["a", "b"], "left_anti"), "near-open")
-        if pairs.isEmpty():
-            if best:
-                continue
-            break
-        more, found = confirm(pairs)
-        tested, links = tested.union(more), links.union(found)
-        labels = components(links)
+    # buckets that hold several components: which components agree
+    known = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"), F.lit(1).alias("one"))
+    agree = store(_blocks(known, "one").join(reps.select("rep", "sig"), "rep").groupBy("key", "i", "j").applyInPandas(_agreeing_block, "a long, b long").distinct(), "near-open")
     discard(members)
+    if not agree.isEmpty():
+        comp_of = lambda x: agree.join(labels, agree[x] == labels["node"], "left").select("a", "b", F.coalesce("component", x).alias(f"comp_{x}"))
+        of_b = comp_of("b")
+        pairs = comp_of("a").join(of_b, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+        groups = components(pairs).select(F.col("node").alias("comp"), F.col("component").alias("key"))
+        alone = groups.join(labels, groups["comp"] == labels["component"], "left_anti").select(F.col("comp").alias("rep"), "comp", "key")
+        inside = labels.join(groups, labels["component"] == groups["comp"]).select(F.col("node").alias("rep"), "comp", "key")
+        known = store(inside.unionByName(alone).join(reps.select("rep", "size"), "rep").groupBy("key", "rep", "comp").agg(F.max(F.expr(f"1 + size div {BLOCK_SHINGLES // BLOCK_ROWS}")).alias("weight")), "near-groups")
+        texts = store(texts_of(known.select("rep").distinct()), "near-texts")
+        rows = _blocks(known, "weight").join(reps.select("rep", "sig"), "rep").join(texts, "rep")
+        more = store(rows.groupBy("key", "i", "j").applyInPandas(_linked_block(percent), "a long, b long").distinct(), "near-links")
+        discard(texts, known)
+        labels = components(links.union(more))
     vertex = reps.join(labels, reps["rep"] == labels["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n", "hi", "lo").join(vertex, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")))
