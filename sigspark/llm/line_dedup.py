@@ -3,8 +3,7 @@
 Lines end at a newline, and long ones also after words that their own hash selects (half of those that end a sentence, and a
 few others), so that a passage is cut in the same places wherever it stands. A rolling hash over the hashes of two lines chooses
 the chunk boundaries; a long line is always followed by one. For every line, the chunk from it to the first boundary that makes it
-large enough is looked up, and the chunk that ends with it and begins at a boundary; so a repeated passage is covered up to its
-first and last line, whatever surrounds it.
+large enough is looked up; so a repeated passage is covered from its first line to its last boundary, whatever surrounds it.
 
 A chunk is large enough with MIN_WORDS words and two lines, or LONG_WORDS words. A chunk that documents of different doc_id hold stays
 in those of the smallest, after all its occurrences have been compared byte by byte (words joined by one blank); hashes
@@ -16,7 +15,8 @@ doc_id count as one document; repeats inside one document are no repeats; all co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import small_batches, store
-from .words import WHITE, mixed, prefix_powers, word_spans
+from .words import BLOCK, WHITE, mixed, prefix_powers, word_spans
 
 MIN_WORDS, LONG_WORDS = 10, 20
 #: A document of so many words that would lose this share of them to one other document is a copy, if copies are to be left to document dedup.
@@ -34,64 +34,94 @@ _ROLL = _U(0xA0761D6478BD642F)
 _SPACE = bytes(range(9, 14)) + b" "
 
 
-def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: hash, first word and last word + 1 of its chunks; where its words begin and end, and the number of words."""
+class Chunks(NamedTuple):
+    """Of a text: hash, first word and last word + 1 of each chunk; where the words begin and end."""
+
+    hash: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+
+
+def chunks(texts: Sequence[bytes]) -> Iterator[Chunks]:
+    """The chunks of each text; small texts are worked through together."""
+    group: list[bytes] = []
+    size = 0
+    for t in texts:
+        if group and size + len(t) > BLOCK:
+            yield from _group_chunks(group)
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield from _group_chunks(group)
+
+
+def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
+    data = b"\n".join(group)
     hashes, start, stop = word_spans(data, WHITE)
     n = len(hashes)
-    none = np.zeros(0, dtype=np.int64)
-    if not n:
-        return hashes, none, none, start, stop, none
-    raw = np.frombuffer(data, dtype=np.uint8)
-    newline = np.zeros(len(raw) + 1, dtype=np.int32)
-    np.cumsum(raw == 10, out=newline[1:])
-    ends_line = np.ones(n, dtype=bool)
-    ends_line[:-1] = newline[start[1:]] > newline[stop[:-1]]
-    closing = np.isin(raw[stop - 1], np.frombuffer(b".!?", dtype=np.uint8))
-    ends_line |= closing & (hashes & _U(3) != 0) | (hashes & _U(63) == 1)
-    last = np.flatnonzero(ends_line) + 1  # words before the end of each line
-    first = np.concatenate([[0], last[:-1]])
-    powers, inverse = prefix_powers(n)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(hashes * powers[:n], out=total[1:])
-
-    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-
-    line = run(first, last)
-    rolled = line.copy()
-    rolled[1:] = mixed(line[:-1] * _ROLL + line[1:])
-    boundary = (rolled & _U(7) != 0) | (last - first >= LONG_WORDS)
-    k = np.arange(len(line))
-    # forward: from line i to the first boundary at or after the line that makes the chunk large enough
-    two = np.minimum(k + 1, len(line) - 1)
-    large = np.maximum(np.searchsorted(last, first + MIN_WORDS), two)
-    large = np.where(last - first >= LONG_WORDS, k, np.minimum(large, np.searchsorted(last, first + LONG_WORDS)))
-    ends = np.flatnonzero(boundary)
-    at = np.searchsorted(ends, large)
-    ok = (large < len(line)) & (at < len(ends))
-    forward = np.stack([k[ok], ends[at[ok]]], axis=1)
-    # backward: from the line after the last boundary that makes the chunk large enough to line i
-    large = np.minimum(np.searchsorted(first, last - MIN_WORDS, side="right") - 1, k - 1)
-    large = np.where(last - first >= LONG_WORDS, k, np.maximum(large, np.searchsorted(first, last - LONG_WORDS, side="right") - 1))
-    begins = np.concatenate([[0], ends[ends < len(line) - 1] + 1])
-    at = np.searchsorted(begins, large, side="right") - 1
-    ok = (large >= 0) & (at >= 0)
-    backward = np.stack([begins[at[ok]], k[ok]], axis=1)
-    both = np.unique(np.concatenate([forward, backward]), axis=0)
-    a, b = first[both[:, 0]], last[both[:, 1]]
-    big = (b - a >= MIN_WORDS) & (both[:, 0] < both[:, 1]) | (b - a >= LONG_WORDS)
-    a, b = a[big], b[big]
-    return run(a, b), a, b, start, stop, last
+    begins = np.cumsum([0, *(len(t) + 1 for t in group)])[:-1]
+    words = np.searchsorted(start, begins)  # the first word of each text
+    if n:
+        raw = np.frombuffer(data, dtype=np.uint8)
+        newline = np.flatnonzero(raw == 10)
+        ends_line = np.ones(n, dtype=bool)
+        ends_line[:-1] = np.searchsorted(newline, start[1:]) > np.searchsorted(newline, stop[:-1])
+        mark = raw[stop - 1]
+        ends_line |= ((mark == 46) | (mark == 33) | (mark == 63)) & (hashes & _U(3) != 0) | (hashes & _U(63) == 1)
+        last = np.flatnonzero(ends_line) + 1  # words up to the end of each line
+        first = np.concatenate([[0], last[:-1]])
+        text = np.searchsorted(words, first, side="right") - 1
+        powers, inverse = prefix_powers(n)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(hashes * powers[:n], out=total[1:])
+
+        def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+        line = run(first, last)
+        rolled = line.copy()
+        rolled[1:] = np.where(text[1:] == text[:-1], mixed(line[:-1] * _ROLL + line[1:]), line[1:])
+        long = last - first >= LONG_WORDS
+        ends = np.flatnonzero((rolled & _U(63) != 0) | long)
+        # from each line to the first boundary, at or after the line that makes the chunk large enough
+        k = np.arange(len(line))
+        large = np.maximum(np.searchsorted(last, first + MIN_WORDS), k + 1)
+        large = np.where(long, k, np.minimum(large, np.searchsorted(last, first + LONG_WORDS)))
+        at = np.searchsorted(ends, large)
+        k, at = k[at < len(ends)], at[at < len(ends)]
+        to = ends[at]
+        inside = text[to] == text[k]
+        k, to = k[inside], to[inside]
+        # a long line is a chunk alone, so the short one after it would be in none that ends with it
+        after = np.flatnonzero(long[:-1] & ~long[1:] & (text[1:] == text[:-1]))
+        k, to = np.concatenate([k, after]), np.concatenate([to, after + 1])
+        order = np.argsort(k, kind="stable")
+        a, z, of = first[k[order]], last[to[order]], text[k[order]]
+        found = run(a, z)
+    else:
+        found, a, z, of = hashes, start, start, start
+    bounds, ends_of = np.searchsorted(of, np.arange(1, len(group))), words[1:]
+    parts = zip(np.split(found, bounds), np.split(a, bounds), np.split(z, bounds), np.split(start, ends_of), np.split(stop, ends_of), words, begins, strict=True)
+    for h, x, y, s, e, w, b in parts:
+        yield Chunks(h, x - w, y - w, s - b, e - b)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, out = [], []
-        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            found = np.unique(chunks((text or "").encode())[0]).view(np.int64)
-            out.append(found)
-            ids.append(np.full(len(found), doc_id, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [np.zeros(0, dtype=np.int64)])), pa.array(np.concatenate(ids or [np.zeros(0, dtype=np.int64)]))], names=["hash", "doc_id"])
+        ids, out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for doc_id, c in zip(b.column("doc_id").to_pylist(), chunks([(t or "").encode() for t in b.column("text").to_pylist()]), strict=True):
+            out.append(np.unique(c.hash).view(np.int64))
+            ids.append(np.full(len(out[-1]), doc_id, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(ids))], names=["hash", "doc_id"])
+
+
+def _among(found: np.ndarray, wanted: Sequence[int]) -> np.ndarray:
+    """Which of the hashes are wanted."""
+    known = set(wanted)
+    return np.fromiter((h in known for h in found.view(np.int64).tolist()), dtype=bool, count=len(found))
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +130,14 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        for packed, shared in zip(b.column("packed").to_pylist(), b.column("shared").to_pylist(), strict=True):
-            data = unpack(packed)
-            found, a, z, start, stop, _ = chunks(data)
-            wanted = np.isin(found.view(np.int64), np.array([s["hash"] for s in shared], dtype=np.int64))
-            out = {int(h): b" ".join(data[start[i] : stop[j - 1]].split()) for h, i, j in zip(found[wanted].view(np.int64), a[wanted], z[wanted], strict=True)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["hash", "content"])
+        texts = [unpack(p) for p in b.column("packed").to_pylist()]
+        hashes, contents = [], []
+        for data, shared, c in zip(texts, b.column("shared").to_pylist(), chunks(texts), strict=True):
+            wanted = _among(c.hash, [s["hash"] for s in shared])
+            out = {h: b" ".join(data[c.start[i] : c.stop[j - 1]].split()) for h, i, j in zip(c.hash[wanted].view(np.int64).tolist(), c.first[wanted].tolist(), c.last[wanted].tolist(), strict=True)}
+            hashes += out
+            contents += out.values()
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(contents, pa.binary())], names=["hash", "content"])
 
 
 def _covered(n: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -115,18 +147,17 @@ def _covered(n: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def cut(data: bytes, removed: dict[int, int], leave_copies: bool) -> tuple[bytes, int, int, int]:
+def cut(data: bytes, c: Chunks, removed: dict[int, int], leave_copies: bool) -> tuple[bytes, int, int, int]:
     """The text without the chunks of these hashes (with the documents that keep them), its words before, the words removed, and the chunks."""
-    found, a, z, start, stop, last = chunks(data)
-    gone = np.isin(found.view(np.int64), np.fromiter(removed, dtype=np.int64, count=len(removed)))
-    n = len(start)
+    gone = _among(c.hash, removed)
+    start, n = c.start, len(c.start)
     if not gone.any():
         return data, n, 0, 0
-    a, z = a[gone], z[gone]
+    a, z = c.first[gone], c.last[gone]
     out = _covered(n, a, z)
     lost = int(out.sum())
     if leave_copies and n >= COPY_WORDS and lost >= COPY_SHARE * n:
-        keeper = np.array([removed[h] for h in found[gone].view(np.int64).tolist()])
+        keeper = np.array([removed[h] for h in c.hash[gone].view(np.int64).tolist()])
         names, counts = np.unique(keeper, return_counts=True)
         one = keeper == names[counts.argmax()]
         if _covered(n, a[one], z[one]).sum() >= COPY_SHARE * n:
@@ -145,14 +176,15 @@ def _applied(leave_copies: bool, bad: frozenset[int]):
 
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out = []
-            for doc_id, packed, shared in zip(*(b.column(c).to_pylist() for c in ("id", "packed", "shared")), strict=True):
-                if packed is None:
+            out: list[tuple] = []
+            texts = [None if p is None else unpack(p) for p in b.column("packed").to_pylist()]
+            removed = [{s["hash"]: s["keeper"] for s in shared or () if s["keeper"] != doc_id and s["hash"] not in bad} for doc_id, shared in zip(b.column("id").to_pylist(), b.column("shared").to_pylist(), strict=True)]
+            found = chunks([t for t, r in zip(texts, removed, strict=True) if r])
+            for data, gone in zip(texts, removed, strict=True):
+                if data is None:
                     out.append((None, 0, 0, 0))
                     continue
-                data = unpack(packed)
-                removed = {s["hash"]: s["keeper"] for s in shared or () if s["keeper"] != doc_id and s["hash"] not in bad}
-                text, *counts = cut(data, removed, leave_copies) if removed else (data, len(data.split()), 0, 0)
+                text, *counts = cut(data, next(found), gone, leave_copies) if gone else (data, len(data.split()), 0, 0)
                 out.append((text.decode(), *counts))
             cols = list(zip(*out, strict=True)) or [()] * 4
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())

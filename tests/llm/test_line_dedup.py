@@ -19,19 +19,22 @@ def test_passages_are_found_wherever_they_stand():
             passage += sentences(rnd, 1)
         p = " ".join(passage)
         a, b = ("\n".join([" ".join(sentences(rnd, 9)), p, " ".join(sentences(rnd, 9))]).encode() for _ in range(2))
-        shared = set(np.intersect1d(chunks(a)[0], chunks(b)[0]).view(np.int64).tolist())
-        text, _, lost, _ = cut(b, dict.fromkeys(shared, 0), False)
+        of_a, of_b = chunks([a, b])
+        shared = np.intersect1d(of_a.hash, of_b.hash).view(np.int64).tolist()
+        text, _, lost, _ = cut(b, of_b, dict.fromkeys(shared, 0), False)
         around = (b[: b.find(p.encode())] + b[b.find(p.encode()) + len(p) :]).split()
         assert 0.7 * len(p.split()) <= lost <= len(p.split()) and len(text.split()) == len(b.split()) - lost
         whole += text.split() == around
     assert whole >= 180
 
 
-def test_chunks_are_large_enough_and_linear_in_number():
-    for text in ("a. " * 5000, "x " * 5000, "a b c d e f g h.\n" * 900, "", " \n", "one"):
-        h, a, z, start, stop, last = chunks(text.encode())
-        assert len(start) == len(text.split()) and len(h) <= 2 * len(last)
-        assert ((z - a) >= 10).all()
+def test_chunks_do_not_depend_on_the_batch():
+    texts = [t.encode() for t in ("a. " * 5000, "x " * 5000, "a b c d e f g h.\n" * 900, "", " \n", "one", "long words here. " * 90_000, "b c. " * 60)]
+    for t, c in zip(texts, chunks(texts), strict=True):
+        alone = next(chunks([t]))
+        assert all((x == y).all() for x, y in zip(c, alone, strict=True))
+        assert len(c.start) == len(t.split()) >= len(c.hash) and ((c.last - c.first) >= 10).all()
+        assert [t[i:j] for i, j in zip(c.start, c.stop, strict=True)][:50] == t.split()[:50]
 
 
 def brute(rows):
@@ -41,13 +44,13 @@ def brute(rows):
         if d is None or t is None:
             continue
         data = t.encode()
-        h, a, z, start, stop, _ = chunks(data)
-        for x, i, j in zip(h.view(np.int64).tolist(), a, z, strict=True):
-            held.setdefault((x, b" ".join(data[start[i] : stop[j - 1]].split())), set()).add(d)
+        c = next(chunks([data]))
+        for x, i, j in zip(c.hash.view(np.int64).tolist(), c.first, c.last, strict=True):
+            held.setdefault((x, b" ".join(data[c.start[i] : c.stop[j - 1]].split())), set()).add(d)
     out = []
     for d, t in rows:
         gone = {x: min(docs) for (x, _), docs in held.items() if len(docs) > 1 and d in docs and d != min(docs)}
-        out.append((d, t if t is None or d is None else cut(t.encode(), gone, False)[0].decode()))
+        out.append((d, t if t is None or d is None else cut(t.encode(), next(chunks([t.encode()])), gone, False)[0].decode()))
     return sorted(out, key=str)
 
 
