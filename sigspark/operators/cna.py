@@ -54,5 +54,5 @@ def with_severity(alterations: DataFrame, cna: DataFrame) -> DataFrame:
     rows = alterations.withColumn("_gene", F.when(F.col("feature").rlike("_(AMP|DEL)$"), F.regexp_replace("feature", "_(AMP|DEL)$", "")))
     states = cna.select(F.col("sample"), F.col("gene").alias("_gene"), F.col("value").alias("_state"))
     sign = F.when(F.col("feature").endswith("_AMP"), 1).otherwise(-1)
-    strength = F.greatest(sign * F.col("_state"), F.lit(0))
+    strength = F.when(F.col("_state").isNotNull(), F.greatest(sign * F.col("_state"), F.lit(0)))  # greatest() alone would pass over a null
     return rows.join(states, ["sample", "_gene"], "left").select("sample", "feature", F.coalesce(strength.cast("double"), F.col("value").cast("double")).alias("value"))
