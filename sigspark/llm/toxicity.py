@@ -110,16 +110,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits to the rows of labels (doc_id, toxic) that are not held out. A bounded sample reaches the driver."""
+    """Fits to the rows of labels (doc_id, toxic) that are not held out. One task takes the bounded sample, and the driver the weights."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = [F.xxhash64(F.lit("fit"), "doc_id"), "doc_id"]
     ids = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN)).dropDuplicates(["doc_id"])
     n_clean = known.where("toxic = 0").count()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")  # at most MAX_TOXIC + MAX_CLEAN ids
-    rows = texts.limit(2 * (MAX_TOXIC + MAX_CLEAN)).mapInArrow(_sampled, "toxic int, features binary, sentences binary").collect()
-    rows = sorted(map(tuple, rows))
-    return fit(rows, max(1.0, n_clean / max(1, sum(not r[0] for r in rows))))
+    sample = texts.limit(2 * (MAX_TOXIC + MAX_CLEAN)).mapInArrow(_sampled, "toxic int, features binary, sentences binary")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("toxic", "features", "sentences")), strict=True))
+        model = fit(rows, max(1.0, n_clean / max(1, sum(not r[0] for r in rows))))
+        yield pa.RecordBatch.from_arrays([pa.array([model.buckets.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["buckets", "weights", "bias"])
+
+    r = sample.coalesce(1).mapInArrow(fitted, "buckets binary, weights binary, bias double").first()
+    if r is None:
+        return fit([])
+    return Model(np.frombuffer(r["buckets"], dtype=np.int32), np.frombuffer(r["weights"], dtype=np.float32), r["bias"])
 
 
 def _document_scores(model: Model, table: np.ndarray, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
