@@ -61,19 +61,10 @@ def synthetic_samples(subtypes: DataFrame, n: int, seed: int = 44) -> DataFrame:
 
 def neighbourhoods(space_vectors: DataFrame, subtypes: DataFrame, synthetic: DataFrame, k: int = 3) -> DataFrame:
     """(sim, subtype, neighbor): the anchor's k nearest samples of its subtype, itself included."""
-    out = []
-    spark = synthetic.sparkSession
-    names = [r["subtype"] for r in synthetic.select("subtype").distinct().collect()]  # a dimension
-    for name in sorted(names):
-        own = space_vectors.join(subtypes.where(F.col("subtype") == name).select(F.col("sample").alias("id")), "id", "left_semi")
-        anchors = own.join(synthetic.where(F.col("subtype") == name).select(F.col("anchor").alias("id")).distinct(), "id", "left_semi")
-        out.append(nearest(anchors, own, k).select(F.lit(name).alias("subtype"), F.col("query").alias("anchor"), "neighbor"))
-    if not out:
-        return spark.createDataFrame([], "sim string, subtype string, neighbor string")
-    near = out[0]
-    for x in out[1:]:
-        near = near.unionByName(x)
-    return synthetic.join(near, ["subtype", "anchor"]).select("sim", "subtype", "neighbor")
+    own = space_vectors.join(subtypes.select(F.col("sample").alias("id"), F.col("subtype").alias("part")), "id")
+    anchors = own.join(synthetic.select(F.col("anchor").alias("id")).distinct(), "id", "left_semi")
+    near = nearest(anchors, own, k).select(F.col("query").alias("anchor"), "neighbor")
+    return synthetic.join(near, "anchor").select("sim", "subtype", "neighbor")
 
 
 def neighbour_shares(near: DataFrame, rows: DataFrame, features: DataFrame, value: Column | None = None) -> DataFrame:

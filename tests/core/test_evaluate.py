@@ -100,7 +100,7 @@ def test_support_vectors_and_masks():
     rng = np.random.default_rng(3)
     x = (rng.random((200, 4)) < 0.5).astype(np.float32)
     w = linear.support_vector(x, 2 * x[:, 0] - x[:, 2] + rng.normal(0, 0.05, 200), sweeps=200)
-    assert w == pytest.approx([2, 0, -1, 0], abs=0.15)
+    assert w[:, 0] == pytest.approx([2, 0, -1, 0], abs=0.15)
     assert linear.score_mask([1, 2, 9, np.nan]).tolist() == [False, False, True, False]
     with pytest.raises(ValueError):
         linear.score_mask([1.0], "none")
