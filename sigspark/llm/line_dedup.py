@@ -133,7 +133,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [unpack(p) for p in b.column("packed").to_pylist()]
         hashes, contents = [], []
         for data, shared, c in zip(texts, b.column("shared").to_pylist(), chunks(texts), strict=True):
-            wanted = _among(c.hash, [s["hash"] for s in shared])
+            wanted = _among(c.hash, [h for s in shared for h in s["hashes"]])
             out = {h: b" ".join(data[c.start[i] : c.stop[j - 1]].split()) for h, i, j in zip(c.hash[wanted].view(np.int64).tolist(), c.first[wanted].tolist(), c.last[wanted].tolist(), strict=True)}
             hashes += out
             contents += out.values()
@@ -178,7 +178,7 @@ def _applied(leave_copies: bool, bad: frozenset[int]):
         for b in batches:
             out: list[tuple] = []
             texts = [None if p is None else unpack(p) for p in b.column("packed").to_pylist()]
-            removed = [{s["hash"]: s["keeper"] for s in shared or () if s["keeper"] != doc_id and s["hash"] not in bad} for doc_id, shared in zip(b.column("id").to_pylist(), b.column("shared").to_pylist(), strict=True)]
+            removed = [{h: s["keeper"] for s in shared or () if s["keeper"] != doc_id for h in s["hashes"] if h not in bad} for doc_id, shared in zip(b.column("id").to_pylist(), b.column("shared").to_pylist(), strict=True)]
             found = chunks([t for t, r in zip(texts, removed, strict=True) if r])
             for data, gone in zip(texts, removed, strict=True):
                 if data is None:
@@ -212,7 +212,9 @@ def line_dedup(docs: DataFrame, leave_copies: bool = False) -> DataFrame:
     small_batches(spark)
     found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashed, "hash long, doc_id long")
     groups = found.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
-    shared = found.join(groups, "hash").groupBy("doc_id").agg(F.collect_set(F.struct("hash", "keeper")).alias("shared"))
+    # dealt by doc_id once, for both groupings and the join with the texts; a document's chunks are listed by the document that keeps them
+    listed = found.join(groups, "hash").select("doc_id", "keeper", "hash").repartition("doc_id").groupBy("doc_id", "keeper").agg(F.collect_list("hash").alias("hashes"))
+    shared = listed.groupBy("doc_id").agg(F.collect_list(F.struct("keeper", "hashes")).alias("shared"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     row_type = rows.schema["row"].dataType.simpleString()
     packed = rows.mapInArrow(_packed, f"row {row_type}, id long, packed binary")
