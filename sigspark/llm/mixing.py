@@ -108,28 +108,36 @@ def mixture_report(docs: DataFrame) -> DataFrame:
     return mix(slim).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
-def _first_words(batches):
-    import re
-
-    word = re.compile(f"[^{SPACE}]+")
-    for pdf in batches:
-        cut = []
-        for text, n in zip(pdf["text"], pdf["_last"], strict=True):
-            end = 0
-            for i, m in enumerate(word.finditer(text), 1):
-                if i == n:
-                    end = m.end()
-                    break
-            cut.append(text[:end])
-        pdf["text"] = cut
-        yield pdf.drop(columns="_last")
+def _first_words(last: str):
+    """Cuts texts after as many words as the column `last` says, and drops the column."""
+
+    def run(batches):
+        import re
+
+        word = re.compile(f"[^{SPACE}]+")
+        for pdf in batches:
+            cut = []
+            for text, n in zip(pdf["text"], pdf[last], strict=True):
+                end = 0
+                for i, m in enumerate(word.finditer(text), 1):
+                    if i == n:
+                        end = m.end()
+                        break
+                cut.append(text[:end])
+            pdf["text"] = cut
+            yield pdf.drop(columns=last)
+
+    return run
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time a document is taken; the last may hold its first words only."""
     small_batches(docs.sparkSession)
-    names = docs.columns
-    rows = mix(docs).where("_taken > 0")
-    whole = rows.where("_taken >= _size").select(*names, F.explode(F.expr("sequence(1L, _taken div _size)")).alias("_copy")).drop("_copy")
-    part = rows.where("_taken % _size > 0").select(*names, F.expr("_taken % _size").alias("_last"))
-    return whole.unionByName(part.mapInPandas(_first_words, docs.schema))
+    last = "_last"
+    while last in docs.columns:
+        last += "_"
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # other columns may have any names
+    rows = mix(docs.select(whole_row, "doc_id", "source", n_words(F.col("text")).alias("_size"))).where("_taken > 0")
+    whole = rows.where("_taken >= _size").select("_row", F.explode(F.expr("sequence(1L, _taken div _size)"))).select("_row.*")
+    part = rows.where("_taken % _size > 0").select("_row.*", F.expr("_taken % _size").alias(last))
+    return whole.unionByName(part.mapInPandas(_first_words(last), docs.schema))

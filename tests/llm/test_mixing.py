@@ -77,7 +77,7 @@ def test_small_shards_keep_the_totals(spark):
 
 
 def test_mixed_documents_hold_the_words_taken(spark):
-    docs = spark.createDataFrame(corpus(), DOCS)
+    docs = spark.createDataFrame([(*r, 5, "row", 7.0) for r in corpus()], DOCS + ", _size int, _row string, _last double")
     said = defaultdict(int)
     for r in mixture_report(docs).collect():
         said[r.doc_id] += r.taken
