@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, store
-from .words import BLOCK, WHITE, mixed, prefix_powers, word_spans
+from ._shared import discard, small_batches, store
+from .near_dedup import linked
+from .words import BLOCK, WHITE, mixed, prefix_powers, shingles, text_word_hashes, word_spans
 
 MIN_WORDS, LONG_WORDS = 10, 20
-#: A document of so many words that would lose this share of them to one other document is a copy, if copies are to be left to document dedup.
+#: A document of so many words that would lose this share of them to one other document may be a copy, if copies are to be left to document dedup.
 COPY_WORDS, COPY_SHARE = 100, 0.8
 _U = np.uint64
 _ROLL = _U(0xA0761D6478BD642F)
@@ -147,8 +148,26 @@ def _covered(n: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def copied(c: Chunks, removed: dict[int, int]) -> int | None:
+    """The document to which this one would lose COPY_SHARE of its words, if there is one."""
+    gone, n = _among(c.hash, removed), len(c.start)
+    if n < COPY_WORDS or not gone.any():
+        return None
+    keeper = np.array([removed[h] for h in c.hash[gone].view(np.int64).tolist()])
+    names, counts = np.unique(keeper, return_counts=True)
+    most = names[counts.argmax()]
+    one = keeper == most
+    return int(most) if _covered(n, c.first[gone][one], c.last[gone][one]).sum() >= COPY_SHARE * n else None
+
+
 def cut(data: bytes, c: Chunks, removed: dict[int, int], leave_copies: bool) -> tuple[bytes, int, int, int]:
-    """The text without the chunks of these hashes (with the documents that keep them), its words before, the words removed, and the chunks."""
+    """The text without the chunks of these hashes (with the documents that keep them), its words before, the words removed, and the chunks.
+
+    leave_copies: the chunks stay that the document named by `copied` keeps.
+    """
+    if leave_copies:
+        most = copied(c, removed)
+        removed = {h: k for h, k in removed.items() if k != most}
     gone = _among(c.hash, removed)
     start, n = c.start, len(c.start)
     if not gone.any():
@@ -156,12 +175,6 @@ def cut(data: bytes, c: Chunks, removed: dict[int, int], leave_copies: bool) ->
     a, z = c.first[gone], c.last[gone]
     out = _covered(n, a, z)
     lost = int(out.sum())
-    if leave_copies and n >= COPY_WORDS and lost >= COPY_SHARE * n:
-        keeper = np.array([removed[h] for h in c.hash[gone].view(np.int64).tolist()])
-        names, counts = np.unique(keeper, return_counts=True)
-        one = keeper == names[counts.argmax()]
-        if _covered(n, a[one], z[one]).sum() >= COPY_SHARE * n:
-            return data, n, 0, 0
     change = np.flatnonzero(np.diff(np.concatenate([[True], out, [True]]).astype(np.int8)))  # kept runs of words
     parts = []
     for i, j in zip(change[::2], change[1::2], strict=True):
@@ -182,13 +195,31 @@ def _applied(leave_copies: bool, bad: frozenset[int]):
             found = chunks([t for t, r in zip(texts, removed, strict=True) if r])
             for data, gone in zip(texts, removed, strict=True):
                 if data is None:
-                    out.append((None, 0, 0, 0))
+                    out.append((None, 0, 0, 0, None, None))
                     continue
-                text, *counts = cut(data, next(found), gone, leave_copies) if gone else (data, len(data.split()), 0, 0)
-                out.append((text.decode(), *counts))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["row", "text", "n_words", "removed_words", "removed_chunks"])
+                c = next(found) if gone else None
+                text, *counts = cut(data, c, gone, False) if gone else (data, len(data.split()), 0, 0)
+                most = copied(c, gone) if leave_copies and gone else None
+                out.append((text.decode(), *counts, most, None if most is None else cut(data, c, gone, True)[0].decode()))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["row", "id", "text", "n_words", "removed_words", "removed_chunks", "keeper", "whole"])
+
+    return run
+
+
+def _compared(percent: int):
+    """Adds whether a copy is as similar to what is left of its keeper as document dedup asks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for b in batches:
+            near = []
+            for whole, kept in zip(b.column("whole").to_pylist(), b.column("kept").to_pylist(), strict=True):
+                if kept != last[0]:
+                    last = kept, shingles(next(text_word_hashes([kept])))
+                near.append(kept is not None and linked(shingles(next(text_word_hashes([whole]))), last[1], percent))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("row", "text", "whole")), pa.array(near, pa.bool_())], names=["row", "text", "whole", "near"])
 
     return run
 
@@ -202,10 +233,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), packed], names=["row", "id", "packed"])
 
 
-def line_dedup(docs: DataFrame, leave_copies: bool = False) -> DataFrame:
-    """row (the columns of docs but text), the remaining text, n_words before, removed_words and removed_chunks.
+def _cut_rows(docs: DataFrame, leave_copies: bool) -> tuple[DataFrame, DataFrame, str]:
+    """The rows of `line_dedup` with id, keeper and whole (of copies: `copied` and the text that `cut` leaves them), the table they are read from, and the type of row.
 
-    leave_copies: documents of COPY_WORDS words or more that would lose COPY_SHARE of them to one document are not changed.
     Hashes are grouped with map-side minima, so a chunk of a third of all documents is a row per task; texts are shuffled once, packed.
     """
     spark = docs.sparkSession
@@ -222,7 +252,13 @@ def line_dedup(docs: DataFrame, leave_copies: bool = False) -> DataFrame:
     contents = marked.where("shared is not null").select("packed", "shared").mapInArrow(_contents, "hash long, content binary")
     differ = contents.distinct().groupBy("hash").count().where("count > 1").select("hash")  # equal contents meet byte by byte, within a task first
     bad = frozenset(r["hash"] for r in differ.collect())  # collisions of 64-bit hashes: about one in 10^9 pairs of 10^10 chunks
-    return marked.mapInArrow(_applied(leave_copies, bad), f"row {row_type}, text string, n_words long, removed_words long, removed_chunks long")
+    cut_rows = marked.mapInArrow(_applied(leave_copies, bad), f"row {row_type}, id long, text string, n_words long, removed_words long, removed_chunks long, keeper long, whole string")
+    return cut_rows, marked, row_type
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """row (the columns of docs but text), the remaining text, n_words before, removed_words and removed_chunks."""
+    return _cut_rows(docs, False)[0].drop("id", "keeper", "whole")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -230,6 +266,18 @@ def line_report(docs: DataFrame) -> DataFrame:
     return line_dedup(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "removed_words", "removed_chunks", "text")
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs, its columns, with the remaining texts; whole copies of documents are left to document dedup."""
-    return line_dedup(docs, leave_copies=True).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+def without_repeated_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """docs, its columns, with the remaining texts; near-duplicates of what is left of the document that keeps their text are left to document dedup.
+
+    A document of COPY_WORDS words that would lose COPY_SHARE of them to one other document keeps these words only if both remaining
+    texts reach percent by the measure of `near_dedup`, so that the next stage links them. All others lose their repeated chunks, and
+    so do documents whose keeper would itself lose that share. Of a keeper of several rows, one is compared.
+    """
+    rows, marked, row_type = _cut_rows(docs, True)
+    done = store(rows, "line-cut")
+    discard(marked)
+    copies, others = done.where("keeper is not null"), done.where("keeper is null")
+    kept = others.select(F.col("id").alias("keeper"), F.col("text").alias("kept")).join(copies.select("keeper").distinct(), "keeper", "left_semi").groupBy("keeper").agg(F.min("kept").alias("kept"))
+    told = copies.join(kept, "keeper", "left").select("row", "text", "whole", "kept").mapInArrow(_compared(percent), f"row {row_type}, text string, whole string, near boolean")
+    out = others.select("row", "text").unionByName(told.select("row", F.when(F.col("near"), F.col("whole")).otherwise(F.col("text")).alias("text")))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

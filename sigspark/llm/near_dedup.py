@@ -111,7 +111,7 @@ class FullSets:
         return found
 
 
-def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
         return False
     both = len(np.intersect1d(s, t, assume_unique=True))
@@ -122,7 +122,7 @@ def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = FullSets()
         for b in batches:
-            ok = [_linked(full(x), full(y), percent) for x, y in zip(b.column("packed_a").to_pylist(), b.column("packed_b").to_pylist(), strict=True)]
+            ok = [linked(full(x), full(y), percent) for x, y in zip(b.column("packed_a").to_pylist(), b.column("packed_b").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -166,7 +166,7 @@ def _linked_block(percent: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         full = FullSets()
         q, m = block.loc[block["query"], "packed"].to_list(), block.loc[~block["query"], "packed"].to_list()
-        return _block(block, lambda i, k: _linked(full(q[i]), full(m[k]), percent))
+        return _block(block, lambda i, k: linked(full(q[i]), full(m[k]), percent))
 
     return run
 

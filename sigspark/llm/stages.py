@@ -20,7 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one keeps; copies of documents are left to the next stage."""
+    """All documents, without the passages that an earlier one keeps; confirmed near-duplicates of documents are left to the next stage."""
     from .line_dedup import without_repeated_lines
 
     return without_repeated_lines(docs)

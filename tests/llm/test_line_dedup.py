@@ -79,3 +79,15 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_only_confirmed_copies_are_left_to_document_dedup(spark):
+    rnd = random.Random(9)
+    passage, own = " ".join(sentences(rnd, 9)), [" ".join(sentences(rnd, n)) for n in (100, 1, 1)]
+    whole = " ".join(sentences(rnd, 30))
+    rows = [(1, f"{own[0]}\n{passage}"), (2, f"{passage}\n{own[1]}"), (3, f"{own[2]}\n{passage}"), (4, whole), (5, whole + " end")]
+    rows = [(d, t + "\n" + " ".join(sentences(rnd, 1)) if d < 4 else t) for d, t in rows]
+    assert all(len(t.split()) >= 100 for _, t in rows[:2])
+    left = {r.doc_id: r.text for r in without_repeated_lines(spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)).collect()}
+    assert left[1] == rows[0][1] and left[4] == left[5][: len(whole)] == whole and left[5] == rows[4][1]
+    assert passage not in left[2] and passage not in left[3]  # mostly a passage of document 1, but nothing like it
