@@ -1,13 +1,13 @@
 """Line dedup by content-defined chunks: runs of lines that repeat across documents are removed from all but one.
 
-Lines end at a newline, and long ones also after words that their own hash selects (half of those that end a sentence, and a
-few others), so that a passage is cut in the same places wherever it stands. A rolling hash over the hashes of two lines chooses
-the chunk boundaries; a long line is always followed by one. For every line, the chunk from it to the first boundary that makes it
-large enough is looked up; so a repeated passage is covered from its first line to its last boundary, whatever surrounds it.
+Lines end at a newline, after each word that ends a sentence, and after the words of least hash among any WINDOW that follow each
+other. So a passage is cut in the same places wherever it stands: between the least words of its first and of its last window,
+texts that share it have the same cuts. For every line, the chunk from it to the first cut that makes it large enough is looked up;
+so of any repeated run of 2 * WINDOW - 2 + LONG_WORDS words, at least the part between these cuts is found.
 
-A chunk is large enough with MIN_WORDS words and two lines, or LONG_WORDS words. A chunk that documents of different doc_id hold stays
-in those of the smallest, after all its occurrences have been compared byte by byte (words joined by one blank); hashes
-with different contents are left alone.
+A chunk is large enough with MIN_WORDS words and the ends of two natural lines or sentences, or LONG_WORDS words. A chunk that documents of
+different doc_id hold stays in those of the smallest, after all its occurrences have been compared byte by byte (words joined by
+one blank); hashes with different contents are left alone.
 
 Defined results: null and empty texts stay as they are; rows without doc_id are neither compared nor changed; rows with one
 doc_id count as one document; repeats inside one document are no repeats; all columns are kept.
@@ -28,10 +28,11 @@ from .near_dedup import linked
 from .words import BLOCK, WHITE, mixed, prefix_powers, shingles, text_word_hashes, word_spans
 
 MIN_WORDS, LONG_WORDS = 10, 20
+#: A power of 2; of this many words that follow each other, one is the last of its line.
+WINDOW = 16
 #: A document of so many words that would lose this share of them to one other document may be a copy, if copies are to be left to document dedup.
 COPY_WORDS, COPY_SHARE = 100, 0.8
 _U = np.uint64
-_ROLL = _U(0xA0761D6478BD642F)
 _SPACE = bytes(range(9, 14)) + b" "
 
 
@@ -59,6 +60,16 @@ def chunks(texts: Sequence[bytes]) -> Iterator[Chunks]:
         yield from _group_chunks(group)
 
 
+def _least(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The words of least hash, of equal ones the first, in each WINDOW words of a text."""
+    at, step = np.arange(len(hashes)), 1
+    while step < WINDOW:
+        left, right = at[:-step], at[step:]
+        at = np.where(hashes[right] < hashes[left], right, left)
+        step *= 2
+    return at[text[: len(at)] == text[len(text) - len(at) :]]
+
+
 def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
     data = b"\n".join(group)
     hashes, start, stop = word_spans(data, WHITE)
@@ -71,10 +82,15 @@ def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
         ends_line = np.ones(n, dtype=bool)
         ends_line[:-1] = np.searchsorted(newline, start[1:]) > np.searchsorted(newline, stop[:-1])
         mark = raw[stop - 1]
-        ends_line |= ((mark == 46) | (mark == 33) | (mark == 63)) & (hashes & _U(3) != 0) | (hashes & _U(63) == 1)
+        natural = ends_line | (mark == 46) | (mark == 33) | (mark == 63)
+        ends_line = natural.copy()
+        ends_line[_least(hashes, np.searchsorted(words, np.arange(n), side="right"))] = True
         last = np.flatnonzero(ends_line) + 1  # words up to the end of each line
         first = np.concatenate([[0], last[:-1]])
         text = np.searchsorted(words, first, side="right") - 1
+        natural = natural[last - 1]
+        upto = np.cumsum(natural)  # natural ends up to each line
+        before = upto - natural
         powers, inverse = prefix_powers(n)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(hashes * powers[:n], out=total[1:])
@@ -82,25 +98,14 @@ def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
         def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
 
-        line = run(first, last)
-        rolled = line.copy()
-        rolled[1:] = np.where(text[1:] == text[:-1], mixed(line[:-1] * _ROLL + line[1:]), line[1:])
-        long = last - first >= LONG_WORDS
-        ends = np.flatnonzero((rolled & _U(63) != 0) | long)
-        # from each line to the first boundary, at or after the line that makes the chunk large enough
-        k = np.arange(len(line))
-        large = np.maximum(np.searchsorted(last, first + MIN_WORDS), k + 1)
-        large = np.where(long, k, np.minimum(large, np.searchsorted(last, first + LONG_WORDS)))
-        at = np.searchsorted(ends, large)
-        k, at = k[at < len(ends)], at[at < len(ends)]
-        to = ends[at]
+        # from each line to the first one that makes the chunk large enough
+        k = np.arange(len(last))
+        to = np.maximum(np.searchsorted(last, first + MIN_WORDS), np.searchsorted(upto, before + 2))
+        to = np.minimum(to, np.searchsorted(last, first + LONG_WORDS))
+        k, to = k[to < len(last)], to[to < len(last)]
         inside = text[to] == text[k]
         k, to = k[inside], to[inside]
-        # a long line is a chunk alone, so the short one after it would be in none that ends with it
-        after = np.flatnonzero(long[:-1] & ~long[1:] & (text[1:] == text[:-1]))
-        k, to = np.concatenate([k, after]), np.concatenate([to, after + 1])
-        order = np.argsort(k, kind="stable")
-        a, z, of = first[k[order]], last[to[order]], text[k[order]]
+        a, z, of = first[k], last[to], text[k]
         found = run(a, z)
     else:
         found, a, z, of = hashes, start, start, start
