@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks: runs of lines that repeat across documents are removed from all but one.
 
 Lines end at a newline, after each word that ends a sentence, and after the words of least hash among any WINDOW that follow each
-other. So a passage is cut in the same places wherever it stands: between the least words of its first and of its last window,
-texts that share it have the same cuts. For every line, the chunk from it to the first cut that makes it large enough is looked up;
-so of any repeated run of 2 * WINDOW - 2 + LONG_WORDS words, at least the part between these cuts is found.
+other in such a line or sentence. So a passage is cut in the same places wherever it stands: between the first and the last cut
+that its own words imply, texts that share it have the same cuts. For every line, the chunk from it to the first cut that makes it
+large enough is looked up, and the chunk to its end from the last one; so of any repeated run of 2 * WINDOW - 2 + LONG_WORDS words, the
+part between these two cuts is found whole. Up to WINDOW words before and after them stay where a run begins or ends amid a line.
 
 A chunk is large enough with MIN_WORDS words and the ends of two natural lines or sentences, or LONG_WORDS words. A chunk that documents of
 different doc_id hold stays in those of the smallest, after all its occurrences have been compared byte by byte (words joined by
@@ -60,14 +61,14 @@ def chunks(texts: Sequence[bytes]) -> Iterator[Chunks]:
         yield from _group_chunks(group)
 
 
-def _least(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """The words of least hash, of equal ones the first, in each WINDOW words of a text."""
+def _least(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The words of least hash, of equal ones the first, in each WINDOW words of a line."""
     at, step = np.arange(len(hashes)), 1
     while step < WINDOW:
         left, right = at[:-step], at[step:]
         at = np.where(hashes[right] < hashes[left], right, left)
         step *= 2
-    return at[text[: len(at)] == text[len(text) - len(at) :]]
+    return at[line[: len(at)] == line[len(line) - len(at) :]]
 
 
 def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
@@ -84,7 +85,7 @@ def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
         mark = raw[stop - 1]
         natural = ends_line | (mark == 46) | (mark == 33) | (mark == 63)
         ends_line = natural.copy()
-        ends_line[_least(hashes, np.searchsorted(words, np.arange(n), side="right"))] = True
+        ends_line[_least(hashes, np.cumsum(natural) - natural)] = True
         last = np.flatnonzero(ends_line) + 1  # words up to the end of each line
         first = np.concatenate([[0], last[:-1]])
         text = np.searchsorted(words, first, side="right") - 1
@@ -98,13 +99,18 @@ def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
         def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
 
-        # from each line to the first one that makes the chunk large enough
-        k = np.arange(len(last))
+        # from each line to the first one that makes the chunk large enough, and to each line from the last one
+        k = every = np.arange(len(last))
         to = np.maximum(np.searchsorted(last, first + MIN_WORDS), np.searchsorted(upto, before + 2))
         to = np.minimum(to, np.searchsorted(last, first + LONG_WORDS))
-        k, to = k[to < len(last)], to[to < len(last)]
+        back = np.minimum(np.searchsorted(first, last - MIN_WORDS, side="right"), np.searchsorted(before, upto - 2, side="right"))
+        back = np.maximum(back, np.searchsorted(first, last - LONG_WORDS, side="right")) - 1
+        known = (back >= 0) & (to[back] == every)  # found from its first line too
+        k, to = np.concatenate([k[to < len(last)], back[(back >= 0) & ~known]]), np.concatenate([to[to < len(last)], every[(back >= 0) & ~known]])
         inside = text[to] == text[k]
         k, to = k[inside], to[inside]
+        order = np.argsort(k, kind="stable")
+        k, to = k[order], to[order]
         a, z, of = first[k], last[to], text[k]
         found = run(a, z)
     else:

@@ -115,3 +115,18 @@ def test_passages_amid_lines_are_never_missed():
     for words in (51, 60, 100, 150):
         for sentence in (10, 20, 30, 0):
             assert found_between(rnd, words, sentence)[0] == 200
+
+
+def test_the_short_last_lines_of_a_passage_are_found():
+    rnd = random.Random(11)
+    for _ in range(100):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(60)]
+        ends = np.cumsum([20, 15, 8, 12, 3, 2])
+        p = "\n".join(" ".join(words[j - n : j]) for j, n in zip(ends, [20, 15, 8, 12, 3, 2], strict=True))
+        alone = [" ".join(sentences(rnd, 9)) for _ in range(3)]
+        a, b, last = f"{alone[0]}\n{p}\n{alone[1]}".encode(), f"{alone[2]}\n{p}\n{alone[0][::-1]}".encode(), f"{alone[2]}\n{p}".encode()
+        of_a, *others = chunks([a, b, last])
+        for t, c in zip((b, last), others, strict=True):
+            shared = np.intersect1d(of_a.hash, c.hash).view(np.int64).tolist()
+            text, _, lost, _ = cut(t, c, dict.fromkeys(shared, 0), False)
+            assert lost == 60 and text.split() == t.replace(p.encode(), b"").split()
