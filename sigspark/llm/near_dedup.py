@@ -7,8 +7,8 @@ yields groups of components whose signatures agree somewhere, and in these group
 components are compared in full until they are linked or no pair is left. So no link between components is lost to the
 star, each block hands on at most one row per vertex, and groups of copies never become all their pairs.
 
-A pair is a candidate if a band of its signatures is equal: pairs at the threshold of 0.85 are missed with a probability of
-4e-7 (BANDS of ROWS minima), and the signature check (AGREE of MINIMA) loses 2e-7. Links are confirmed on the full sets.
+A pair is a candidate if a band of its signatures is equal. Bands and the signature check follow from the threshold (`plan`): pairs
+at it are missed with a probability of at most MISS_BAND by the bands, and MISS_CHECK by the check. Links are confirmed on the full sets.
 
 Defined results: a text without words has no shingles and is linked with nothing, and so is a row without doc_id; rows that
 repeat share a component; vertices are named by their smallest doc_id; extra columns are ignored.
@@ -17,6 +17,8 @@ repeat share a component; vertices are named by their smallest doc_id; extra col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log, log1p
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,8 @@ from ._shared import discard, small_batches, store
 from .components import components
 from .words import mixed, shingles, text_word_hashes
 
-MINIMA, BANDS, ROWS = 128, 25, 5
-AGREE = 86
+MINIMA = 128
+MISS_BAND, MISS_CHECK = 4.5e-7, 2.5e-7
 #: Vertices of a group that meet as many others in one task, and their shingles at most.
 BLOCK_ROWS = 4000
 BLOCK_SHINGLES = 8_000_000
@@ -41,6 +43,28 @@ _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * _U(2) + _U(1)
 _B = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * _U(2) + _rng.integers(0, 2, MINIMA, dtype=np.uint64)
 
 
+class Plan(NamedTuple):
+    """Bands of so many rows of the signature, and how many of all minima agree at least."""
+
+    bands: int
+    rows: int
+    agree: int
+
+
+def plan(percent: int) -> Plan:
+    """The widest bands, and the strictest check, that lose no more than MISS_BAND and MISS_CHECK of the pairs at the threshold."""
+    p = min(percent, 99) / 100
+    needed = {r: ceil(log(MISS_BAND) / log1p(-(p**r))) for r in range(1, MINIMA + 1)}
+    rows = max((r for r, bands in needed.items() if bands * r <= MINIMA), default=0)
+    if not rows:
+        raise ValueError(f"{MINIMA} minima cannot find pairs at {percent} percent")
+    agree, missed = 0, (1 - p) ** MINIMA
+    while missed <= MISS_CHECK:
+        agree += 1
+        missed += comb(MINIMA, agree) * p**agree * (1 - p) ** (MINIMA - agree)
+    return Plan(needed[rows], rows, agree)
+
+
 def signature(sets: np.ndarray) -> np.ndarray:
     """Minima of MINIMA multiply-add-shift hashes, universal over 32-bit keys."""
     x, low = sets >> _U(32), np.full(MINIMA, 2**64 - 1, dtype=np.uint64)
@@ -68,19 +92,25 @@ def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist() if hasattr(column, "to_pylist") else column), dtype="<u4").reshape(-1, MINIMA)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sig = _signatures(b.column("sig")).astype(np.uint64)
-        h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sig), BANDS))
-        for i in range(ROWS):
-            h = mixed(h * _U(0xD6E8FEB86659FD93) + sig[:, i : BANDS * ROWS : ROWS])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("rep")), BANDS)), pa.array(h.ravel().view(np.int64))], names=["rep", "key"])
+def _bands(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = _signatures(b.column("sig")).astype(np.uint64)
+            h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sig), bands))
+            for i in range(rows):
+                h = mixed(h * _U(0xD6E8FEB86659FD93) + sig[:, i : bands * rows : rows])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("rep")), bands)), pa.array(h.ravel().view(np.int64))], names=["rep", "key"])
 
+    return run
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        same = (_signatures(b.column("sig_a")) == _signatures(b.column("sig_b"))).sum(axis=1) >= AGREE
-        yield b.select(["a", "b"]).filter(pa.array(same))
+
+def _agreeing(agree: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = (_signatures(b.column("sig_a")) == _signatures(b.column("sig_b"))).sum(axis=1) >= agree
+            yield b.select(["a", "b"]).filter(pa.array(same))
+
+    return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +170,7 @@ class Merged:
         return c
 
 
-def _block(block: pd.DataFrame, linked) -> pd.DataFrame:
+def _block(block: pd.DataFrame, agree: int, linked) -> pd.DataFrame:
     """Pairs of a query and a member that merge components of the block: their signatures agree, and linked(query row, member row) holds."""
     q, m = block[block["query"]], block[~block["query"]]
     out: list[tuple[int, int]] = []
@@ -149,7 +179,7 @@ def _block(block: pd.DataFrame, linked) -> pd.DataFrame:
         base, rep = _signatures(m["sig"]), m["rep"].to_numpy()
         for i, (r, c, s) in enumerate(zip(q["rep"], q["comp"], _signatures(q["sig"]), strict=True)):
             same = (base == s).sum(axis=1)
-            near = index[(same >= AGREE) & (names != c)]
+            near = index[(same >= agree) & (names != c)]
             for k in near[np.argsort(-same[near], kind="stable")]:
                 x, y = merged.root(c), merged.root(names[k])
                 if x != y and linked(i, k):
@@ -158,15 +188,15 @@ def _block(block: pd.DataFrame, linked) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _agreeing_block(block: pd.DataFrame) -> pd.DataFrame:
-    return _block(block, lambda i, k: True)
+def _agreeing_block(agree: int):
+    return lambda block: _block(block, agree, lambda i, k: True)
 
 
-def _linked_block(percent: int):
+def _linked_block(agree: int, percent: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         full = FullSets()
         q, m = block.loc[block["query"], "packed"].to_list(), block.loc[~block["query"], "packed"].to_list()
-        return _block(block, lambda i, k: linked(full(q[i]), full(m[k]), percent))
+        return _block(block, agree, lambda i, k: linked(full(q[i]), full(m[k]), percent))
 
     return run
 
@@ -192,14 +222,14 @@ def _blocks(known: DataFrame, weight: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    Rows are linked when 100 * |A and B| >= percent * |A or B| for their sets of five-word shingles; percent must be 85 or more for
-    the bounds above.
+    Rows are linked when 100 * |A and B| >= percent * |A or B| for their sets of five-word shingles.
     """
+    bands, rows_of_band, agreeing = plan(percent)
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store(slim.mapInArrow(_signed, "doc_id long, n long, hi long, lo long, sig binary"), "near-signatures")
     reps = store(signed.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("size")), "near-vertices")
-    buckets = reps.select("rep", "sig").mapInArrow(_bands, "rep long, key long")
+    buckets = reps.select("rep", "sig").mapInArrow(_bands(bands, rows_of_band), "rep long, key long")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = store(buckets.join(shared, "key"), "near-buckets")
 
@@ -208,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     star = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     a, b = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    agree = store(star.join(a, "a").join(b, "b").mapInArrow(_agreeing, "a long, b long").distinct(), "near-pairs")
+    agree = store(star.join(a, "a").join(b, "b").mapInArrow(_agreeing(agreeing), "a long, b long").distinct(), "near-pairs")
     texts = store(texts_of(agree.select(F.col("a").alias("rep")).union(agree.select(F.col("b").alias("rep"))).distinct()), "near-texts")
     a, b = (texts.select(F.col("rep").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab")
     links = store(agree.join(a, "a").join(b, "b").mapInArrow(_confirmed(percent), "a long, b long").distinct(), "near-links")
@@ -216,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = components(links)
     # buckets that hold several components: which components agree
     known = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"), F.lit(1).alias("one"))
-    agree = store(_blocks(known, "one").join(reps.select("rep", "sig"), "rep").groupBy("key", "i", "j").applyInPandas(_agreeing_block, "a long, b long").distinct(), "near-open")
+    agree = store(_blocks(known, "one").join(reps.select("rep", "sig"), "rep").groupBy("key", "i", "j").applyInPandas(_agreeing_block(agreeing), "a long, b long").distinct(), "near-open")
     discard(members)
     if not agree.isEmpty():
         comp_of = lambda x: agree.join(labels, agree[x] == labels["node"], "left").select("a", "b", F.coalesce("component", x).alias(f"comp_{x}"))
@@ -228,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         known = store(inside.unionByName(alone).join(reps.select("rep", "size"), "rep").groupBy("key", "rep", "comp").agg(F.max(F.expr(f"1 + size div {BLOCK_SHINGLES // BLOCK_ROWS}")).alias("weight")), "near-groups")
         texts = store(texts_of(known.select("rep").distinct()), "near-texts")
         rows = _blocks(known, "weight").join(reps.select("rep", "sig"), "rep").join(texts, "rep")
-        more = store(rows.groupBy("key", "i", "j").applyInPandas(_linked_block(percent), "a long, b long").distinct(), "near-links")
+        more = store(rows.groupBy("key", "i", "j").applyInPandas(_linked_block(agreeing, percent), "a long, b long").distinct(), "near-links")
         discard(texts, known)
         labels = components(links.union(more))
     vertex = reps.join(labels, reps["rep"] == labels["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))

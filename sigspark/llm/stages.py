@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ._shared import discard, store, table
 
+#: Documents are near-duplicates from this similarity of their sets of five words on; the query op1 has its own default.
+NEAR_PERCENT = 80
+
 Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 
 
@@ -23,14 +26,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one keeps; confirmed near-duplicates of documents are left to the next stage."""
     from .line_dedup import without_repeated_lines
 
-    return without_repeated_lines(docs)
+    return without_repeated_lines(docs, NEAR_PERCENT)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; rows without doc_id, which no group can name, stay."""
     from .near_dedup import near_duplicates
 
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    dropped = near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, docs["doc_id"].cast("long") == dropped["doc_id"], "left_anti")
 
 

@@ -4,7 +4,8 @@ import re
 import numpy as np
 
 from sigspark.llm.components import components
-from sigspark.llm.near_dedup import near_duplicates
+from sigspark.llm.near_dedup import near_duplicates, plan
+from sigspark.llm.stages import near_dedup
 from sigspark.llm.words import NOT_WORD, WHITE, text_word_hashes
 
 DOCS = "doc_id long, text string, component_id string, n int"
@@ -81,3 +82,19 @@ def test_word_hashes_do_not_depend_on_the_batch():
                 assert known.setdefault(w, x) == x
         assert len(set(known.values())) == len(known)
         assert [len(x) for x in (np.concatenate([*text_word_hashes([long], separator)]),)] == [len(re.findall(pattern, long))]
+
+
+def test_bands_and_check_hold_their_bounds_at_lower_thresholds():
+    assert plan(85) == (25, 5, 86) and plan(80) == (28, 4, 78)
+
+
+def test_the_near_dedup_stage_links_from_80_percent(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(0, 40, 2):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(100)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:50] + ["new"] + w[51:80] + ["new"] + w[81:]))]  # 86 of 106 shingles: 0.81
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)
+    both = shingle_set(rows[0][1]), shingle_set(rows[1][1])
+    assert 0.80 <= len(both[0] & both[1]) / len(both[0] | both[1]) < 0.85
+    assert {r.doc_id for r in near_dedup(spark, docs, "").collect()} == set(range(0, 40, 2))
