@@ -668,12 +668,12 @@ def stability_ridge(spark, sf_dir):
 
 @query()
 def svr_stability(spark, sf_dir):
-    return rounded(linear.svr_stability(v.alterations(spark, sf_dir), _cells(spark, sf_dir), v.samples(spark, sf_dir), n=2))
+    return rounded(linear.svr_stability(v.alterations(spark, sf_dir), _cells(spark, sf_dir), v.samples(spark, sf_dir)))
 
 
 @query()
 def rf_stability(spark, sf_dir):
-    return rounded(linear.forest_stability(v.alterations(spark, sf_dir), _cells(spark, sf_dir), v.samples(spark, sf_dir), trees=5, depth=4, n=2))
+    return rounded(linear.forest_stability(v.alterations(spark, sf_dir), _cells(spark, sf_dir), v.samples(spark, sf_dir)))
 
 
 @query()
@@ -690,4 +690,4 @@ def ppca_holdout(spark, sf_dir):
 
 @query()
 def deconfounder_weights(spark, sf_dir):
-    return rounded(deconfounder.deconfounded(v.alterations(spark, sf_dir), _cells(spark, sf_dir), v.samples(spark, sf_dir), candidates=(2, 4)))
+    return rounded(deconfounder.deconfounded(v.alterations(spark, sf_dir), _cells(spark, sf_dir), v.samples(spark, sf_dir)))
