@@ -576,12 +576,6 @@ def bh_adjust(spark, sf_dir):
 # ---- differential expression and theory --------------------------------------------------------------------------
 
 
-def _top_alts(spark, sf_dir, n=6):
-    alts = v.alterations(spark, sf_dir)
-    top = alts.groupBy("feature").count().orderBy(F.desc("count"), "feature").limit(n)  # the alterations that are tested
-    return alts.join(top.select("feature"), "feature", "left_semi")
-
-
 @query()
 def wald_tests(spark, sf_dir):
     return rounded(differential.wald(v.alterations(spark, sf_dir), v.expression(spark, sf_dir)))
@@ -589,7 +583,7 @@ def wald_tests(spark, sf_dir):
 
 @query()
 def moderated_t_tests(spark, sf_dir):
-    return rounded(differential.moderated_t(_top_alts(spark, sf_dir), v.expression(spark, sf_dir)))
+    return rounded(differential.moderated_t(v.alterations(spark, sf_dir), v.expression(spark, sf_dir)))
 
 
 @query()

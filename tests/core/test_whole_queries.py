@@ -24,3 +24,8 @@ def test_support_vectors_are_fitted_to_convergence():
     w = linear.support_vector(x, y)
     assert np.abs(w - linear.support_vector(x, y, sweeps=20_000)).max() < 1e-9
     assert np.abs(w - linear.support_vector(x, y, sweeps=30)).max() > 1e-3
+
+
+def test_moderated_t_tests_take_all_alterations(spark):
+    found = queries.moderated_t_tests(spark, "/root/testdata/sf0.001").select("alt").distinct().count()
+    assert found == queries.wald_tests(spark, "/root/testdata/sf0.001").select("alt").distinct().count() > 6
