@@ -18,9 +18,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or, where that is unset, a folder of our own."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where that is unset, a local session takes a folder of its own; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/sigspark-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -29,11 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: this cuts the lineage, and survives lost executors.
 
-    The table is deleted by `discard`, or when the driver ends.
+    The table is deleted by `discard`, or when the driver ends. Shuffle files of what led to it are freed at once: Spark frees them
+    when the driver collects its garbage, which may be long after.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     if not _written:
         atexit.register(_sweep)
     _written.append((spark, path))

@@ -1,22 +1,24 @@
-"""Line dedup by content-defined chunks: runs of lines that repeat across documents are removed from all but one.
+"""Line dedup by content-defined line chunks: runs of lines that repeat across documents are removed from all but one.
 
-Lines end at a newline, after each word that ends a sentence, and after the words of least hash among any WINDOW that follow each
-other in such a line or sentence. So a passage is cut in the same places wherever it stands: between the first and the last cut
-that its own words imply, texts that share it have the same cuts. For every line, the chunk from it to the first cut that makes it
-large enough is looked up, and the chunk to its end from the last one; so of any repeated run of 2 * WINDOW - 2 + LONG_WORDS words, the
-part between these two cuts is found whole. Up to WINDOW words before and after them stay where a run begins or ends amid a line.
+Lines end at a newline, after each word that ends a sentence, and, in longer ones, after the words of least hash among any SPAN that
+follow each other, so no line is longer than SPAN words. A rolling hash over the hashes of a line and the one before stands at each
+line's end; the ends whose rolling hash is the least in any WINDOW words that follow each other are chunk boundaries, and so are newlines, over
+which no window reaches. They depend on the words around them alone, so a passage is cut in the same places wherever it stands, but for its first and last words.
 
-A chunk is large enough with MIN_WORDS words and the ends of two natural lines or sentences, or LONG_WORDS words. A chunk that documents of
-different doc_id hold stays in those of the smallest, after all its occurrences have been compared byte by byte (words joined by
-one blank); hashes with different contents are left alone.
+From each boundary, the chunk to the first one that makes it large enough is looked up, and the chunk to each newline from the last one: large
+enough are MIN_WORDS words with the ends of two natural lines or sentences, or LONG_WORDS words. A chunk that documents of different
+doc_id hold stays in those of the smallest, after all its occurrences have been compared byte by byte (words joined by one blank); hashes
+with different contents are left alone. Up to about WINDOW words before the first boundary and after the last one of a passage
+stay where it begins or ends amid a line.
 
 Defined results: null and empty texts stay as they are; rows without doc_id are neither compared nor changed; rows with one
-doc_id count as one document; repeats inside one document are no repeats; all columns are kept.
+doc_id count as one document; repeats inside one document are no repeats; very long texts and lines are chunked whole; an empty table
+gives an empty result; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -28,12 +30,13 @@ from ._shared import discard, small_batches, store
 from .near_dedup import linked
 from .words import BLOCK, WHITE, mixed, prefix_powers, shingles, text_word_hashes, word_spans
 
-MIN_WORDS, LONG_WORDS = 10, 20
-#: A power of 2; of this many words that follow each other, one is the last of its line.
-WINDOW = 16
+MIN_WORDS, LONG_WORDS = 10, 16
+#: Of so many words that follow each other, one at least is the last of its line, or of its chunk.
+SPAN, WINDOW = 8, 12
 #: A document of so many words that would lose this share of them to one other document may be a copy, if copies are to be left to document dedup.
 COPY_WORDS, COPY_SHARE = 100, 0.8
 _U = np.uint64
+_ROLL = _U(0xD6E8FEB86659FD93)
 _SPACE = bytes(range(9, 14)) + b" "
 
 
@@ -61,14 +64,44 @@ def chunks(texts: Sequence[bytes]) -> Iterator[Chunks]:
         yield from _group_chunks(group)
 
 
-def _least(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """The words of least hash, of equal ones the first, in each WINDOW words of a line."""
-    at, step = np.arange(len(hashes)), 1
-    while step < WINDOW:
-        left, right = at[:-step], at[step:]
-        at = np.where(hashes[right] < hashes[left], right, left)
-        step *= 2
-    return at[line[: len(at)] == line[len(line) - len(at) :]]
+def _least(values: np.ndarray, part: np.ndarray, size: int) -> np.ndarray:
+    """The places of the least value, of equal ones the first, in each `size` places of a part that follow each other."""
+    at, step = np.arange(len(values)), 1
+    while step < size:
+        by = min(step, size - step)
+        left, right = at[:-by], at[by:]
+        at = np.where(values[right] < values[left], right, left)
+        step += by
+    return at[part[: len(at)] == part[len(part) - len(at) :]]
+
+
+def _run_hash(total: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the words a .. b, from the sums of their hashes times powers."""
+    return mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+
+def line_ends(hashes: np.ndarray, natural: np.ndarray) -> np.ndarray:
+    """Which words end a line: those that end a natural one, and the least of each SPAN words within it."""
+    out = natural.copy()
+    out[_least(hashes, np.cumsum(natural) - natural, SPAN)] = True
+    return out
+
+
+def boundaries(lines: np.ndarray, last: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
+    """Words at which chunks end, exclusive: where the rolling hash over a line's and the former line's hash is the least in WINDOW of n words.
+
+    lines, last, part: each line's hash, its last word, and the newlines before it, over which nothing rolls.
+    """
+    before = np.zeros_like(lines)
+    before[1:] = np.where(part[1:] == part[:-1], lines[:-1], _U(0))
+    value = np.full(n, 2**64 - 1, dtype=np.uint64)
+    value[last] = mixed(lines * _ROLL + before) >> _U(1)
+    of_word = np.repeat(part, np.diff(last, prepend=-1))
+    chosen = np.zeros(n, dtype=bool)
+    chosen[_least(value, of_word, WINDOW)] = True
+    is_end = np.zeros(n, dtype=bool)
+    is_end[last] = True
+    return np.flatnonzero(chosen & is_end) + 1
 
 
 def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
@@ -80,39 +113,34 @@ def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
     if n:
         raw = np.frombuffer(data, dtype=np.uint8)
         newline = np.flatnonzero(raw == 10)
-        ends_line = np.ones(n, dtype=bool)
-        ends_line[:-1] = np.searchsorted(newline, start[1:]) > np.searchsorted(newline, stop[:-1])
+        natural = np.ones(n, dtype=bool)
+        natural[:-1] = np.searchsorted(newline, start[1:]) > np.searchsorted(newline, stop[:-1])
+        lines_end = np.flatnonzero(natural) + 1
         mark = raw[stop - 1]
-        natural = ends_line | (mark == 46) | (mark == 33) | (mark == 63)
-        ends_line = natural.copy()
-        ends_line[_least(hashes, np.cumsum(natural) - natural)] = True
-        last = np.flatnonzero(ends_line) + 1  # words up to the end of each line
-        first = np.concatenate([[0], last[:-1]])
-        text = np.searchsorted(words, first, side="right") - 1
-        natural = natural[last - 1]
-        upto = np.cumsum(natural)  # natural ends up to each line
-        before = upto - natural
+        natural |= (mark == 46) | (mark == 33) | (mark == 63)
+        last = np.flatnonzero(line_ends(hashes, natural))
+        first = np.concatenate([[0], last[:-1] + 1])
+        part = np.searchsorted(lines_end, first, side="right")
         powers, inverse = prefix_powers(n)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(hashes * powers[:n], out=total[1:])
-
-        def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-
-        # from each line to the first one that makes the chunk large enough, and to each line from the last one
-        k = every = np.arange(len(last))
-        to = np.maximum(np.searchsorted(last, first + MIN_WORDS), np.searchsorted(upto, before + 2))
-        to = np.minimum(to, np.searchsorted(last, first + LONG_WORDS))
-        back = np.minimum(np.searchsorted(first, last - MIN_WORDS, side="right"), np.searchsorted(before, upto - 2, side="right"))
-        back = np.maximum(back, np.searchsorted(first, last - LONG_WORDS, side="right")) - 1
-        known = (back >= 0) & (to[back] == every)  # found from its first line too
-        k, to = np.concatenate([k[to < len(last)], back[(back >= 0) & ~known]]), np.concatenate([to[to < len(last)], every[(back >= 0) & ~known]])
-        inside = text[to] == text[k]
-        k, to = k[inside], to[inside]
-        order = np.argsort(k, kind="stable")
-        k, to = k[order], to[order]
-        a, z, of = first[k], last[to], text[k]
-        found = run(a, z)
+        rolled = boundaries(_run_hash(total, inverse, first, last + 1), last, part, n)
+        cuts = np.unique(np.concatenate([[0], rolled, lines_end]))
+        upto = np.concatenate([[0], np.cumsum(natural)])[cuts]  # natural ends up to each cut
+        at = np.arange(len(cuts))
+        to = np.maximum(np.searchsorted(cuts, cuts + MIN_WORDS), np.searchsorted(upto, upto + 2))
+        to = np.minimum(to, np.searchsorted(cuts, cuts + LONG_WORDS))
+        at, to = at[to < len(cuts)], to[to < len(cuts)]
+        z = np.searchsorted(cuts, lines_end)
+        back = np.minimum(np.searchsorted(cuts, lines_end - MIN_WORDS, side="right"), np.searchsorted(upto, upto[z] - 2, side="right"))
+        back = np.maximum(back, np.searchsorted(cuts, lines_end - LONG_WORDS, side="right")) - 1
+        z, back = z[back >= 0], back[back >= 0]
+        pairs = np.unique(np.concatenate([at * len(cuts) + to, back * len(cuts) + z]))
+        a, z = cuts[pairs // len(cuts)], cuts[pairs % len(cuts)]
+        of = np.searchsorted(words, a, side="right") - 1
+        inside = z <= np.append(words[1:], n)[of]  # in one text
+        a, z, of = a[inside], z[inside], of[inside]
+        found = _run_hash(total, inverse, a, z)
     else:
         found, a, z, of = hashes, start, start, start
     bounds, ends_of = np.searchsorted(of, np.arange(1, len(group))), words[1:]
@@ -123,33 +151,22 @@ def _group_chunks(group: list[bytes]) -> Iterator[Chunks]:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for doc_id, c in zip(b.column("doc_id").to_pylist(), chunks([(t or "").encode() for t in b.column("text").to_pylist()]), strict=True):
-            out.append(np.unique(c.hash).view(np.int64))
-            ids.append(np.full(len(out[-1]), doc_id, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(ids))], names=["hash", "doc_id"])
+        found = [np.unique(c.hash).view(np.int64) for c in chunks([(t or "").encode() for t in b.column("text").to_pylist()])]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found])))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), hashes], names=["doc_id", "hashes"])
 
 
-def _among(found: np.ndarray, wanted: Sequence[int]) -> np.ndarray:
+def _among(found: np.ndarray, wanted: Collection[int]) -> np.ndarray:
     """Which of the hashes are wanted."""
     known = set(wanted)
     return np.fromiter((h in known for h in found.view(np.int64).tolist()), dtype=bool, count=len(found))
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contents(data: bytes, c: Chunks, wanted: Collection[int]) -> dict[int, bytes]:
     """The bytes of the chunks that a document was found to share."""
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        texts = [unpack(p) for p in b.column("packed").to_pylist()]
-        hashes, contents = [], []
-        for data, shared, c in zip(texts, b.column("shared").to_pylist(), chunks(texts), strict=True):
-            wanted = _among(c.hash, [h for s in shared for h in s["hashes"]])
-            out = {h: b" ".join(data[c.start[i] : c.stop[j - 1]].split()) for h, i, j in zip(c.hash[wanted].view(np.int64).tolist(), c.first[wanted].tolist(), c.last[wanted].tolist(), strict=True)}
-            hashes += out
-            contents += out.values()
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(contents, pa.binary())], names=["hash", "content"])
+    shared = _among(c.hash, wanted)
+    return {h: b" ".join(data[c.start[i] : c.stop[j - 1]].split()) for h, i, j in zip(c.hash[shared].view(np.int64).tolist(), c.first[shared].tolist(), c.last[shared].tolist(), strict=True)}
 
 
 def _covered(n: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -194,7 +211,9 @@ def cut(data: bytes, c: Chunks, removed: dict[int, int], leave_copies: bool) ->
     return b"".join(parts).rstrip(_SPACE), n, lost, int(gone.sum())
 
 
-def _applied(leave_copies: bool, bad: frozenset[int]):
+def _applied(leave_copies: bool):
+    """Cuts the texts, and lists the contents of the chunks they share."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -202,19 +221,21 @@ def _applied(leave_copies: bool, bad: frozenset[int]):
         for b in batches:
             out: list[tuple] = []
             texts = [None if p is None else unpack(p) for p in b.column("packed").to_pylist()]
-            removed = [{h: s["keeper"] for s in shared or () if s["keeper"] != doc_id for h in s["hashes"] if h not in bad} for doc_id, shared in zip(b.column("id").to_pylist(), b.column("shared").to_pylist(), strict=True)]
-            found = chunks([t for t, r in zip(texts, removed, strict=True) if r])
-            for data, gone in zip(texts, removed, strict=True):
+            shared = [{h: s["keeper"] for s in lists or () for h in s["hashes"]} for lists in b.column("shared").to_pylist()]
+            found = chunks([t for t, s in zip(texts, shared, strict=True) if s and t is not None])
+            for data, keepers, doc_id in zip(texts, shared, b.column("id").to_pylist(), strict=True):
                 if data is None:
-                    out.append((None, 0, 0, 0, None, None))
+                    out.append((None, 0, 0, 0, None, None, []))
                     continue
-                c = next(found) if gone else None
+                c = next(found) if keepers else None
+                contents = list(_contents(data, c, keepers).items()) if keepers else []
+                gone = {h: k for h, k in keepers.items() if k != doc_id}
                 text, *counts = cut(data, c, gone, False) if gone else (data, len(data.split()), 0, 0)
                 most = copied(c, gone) if leave_copies and gone else None
-                out.append((text.decode(), *counts, most, None if most is None else cut(data, c, gone, True)[0].decode()))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["row", "id", "text", "n_words", "removed_words", "removed_chunks", "keeper", "whole"])
+                out.append((text.decode(), *counts, most, None if most is None else cut(data, c, gone, True)[0].decode(), [{"hash": h, "content": x} for h, x in contents]))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("hash", pa.int64()), ("content", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["row", "id", "text", "n_words", "removed_words", "removed_chunks", "keeper", "whole", "contents"])
 
     return run
 
@@ -244,27 +265,39 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), packed], names=["row", "id", "packed"])
 
 
-def _cut_rows(docs: DataFrame, leave_copies: bool) -> tuple[DataFrame, DataFrame, str]:
-    """The rows of `line_dedup` with id, keeper and whole (of copies: `copied` and the text that `cut` leaves them), the table they are read from, and the type of row.
+def _cut_rows(docs: DataFrame, leave_copies: bool) -> tuple[DataFrame, str]:
+    """The rows of `line_dedup` with id, keeper and whole (of copies: `copied` and the text that `cut` leaves them), stored, and the type of row.
 
-    Hashes are grouped with map-side minima, so a chunk of a third of all documents is a row per task; texts are shuffled once, packed.
+    Hashes are grouped with map-side minima, so a chunk of a third of all documents is a row per task; texts are chunked once to find
+    what they share, and shuffled once, packed, beside the chunks of their document.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashed, "hash long, doc_id long")
-    groups = found.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
-    # dealt by doc_id once, for both groupings and the join with the texts; a document's chunks are listed by the document that keeps them
-    listed = found.join(groups, "hash").select("doc_id", "keeper", "hash").repartition("doc_id").groupBy("doc_id", "keeper").agg(F.collect_list("hash").alias("hashes"))
-    shared = listed.groupBy("doc_id").agg(F.collect_list(F.struct("keeper", "hashes")).alias("shared"))
+    found = store(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashed, "doc_id long, hashes array<long>"), "line-chunks")
+    pairs = found.select("doc_id", F.explode("hashes").alias("hash"))
+    groups = pairs.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     row_type = rows.schema["row"].dataType.simpleString()
     packed = rows.mapInArrow(_packed, f"row {row_type}, id long, packed binary")
-    marked = store(packed.join(shared, packed["id"] == shared["doc_id"], "left").drop("doc_id"), "line-texts")
-    contents = marked.where("shared is not null").select("packed", "shared").mapInArrow(_contents, "hash long, content binary")
-    differ = contents.distinct().groupBy("hash").count().where("count > 1").select("hash")  # equal contents meet byte by byte, within a task first
-    bad = frozenset(r["hash"] for r in differ.collect())  # collisions of 64-bit hashes: about one in 10^9 pairs of 10^10 chunks
-    cut_rows = marked.mapInArrow(_applied(leave_copies, bad), f"row {row_type}, id long, text string, n_words long, removed_words long, removed_chunks long, keeper long, whole string")
-    return cut_rows, marked, row_type
+
+    def done(listed: DataFrame) -> DataFrame:
+        # dealt by doc_id once, for both groupings and the join with the texts; a document's chunks are listed by the document that keeps them
+        by_keeper = listed.repartition("doc_id").groupBy("doc_id", "keeper").agg(F.collect_list("hash").alias("hashes"))
+        shared = by_keeper.groupBy("doc_id").agg(F.collect_list(F.struct("keeper", "hashes")).alias("shared"))
+        marked = packed.join(shared, packed["id"] == shared["doc_id"], "left").drop("doc_id")
+        return store(marked.mapInArrow(_applied(leave_copies), f"row {row_type}, id long, text string, n_words long, removed_words long, removed_chunks long, keeper long, whole string, contents array<struct<hash:long,content:binary>>"), "line-cut")
+
+    listed = pairs.join(groups, "hash")
+    out = done(listed)
+    contents = out.select(F.explode("contents").alias("x")).select("x.*")
+    differ = contents.groupBy("hash").agg(F.min("content").alias("least"), F.max("content").alias("most")).where("least <> most").select("hash")
+    if not differ.isEmpty():  # a collision of 64-bit hashes: cut anew without these chunks
+        bad = store(differ, "line-collisions")
+        discard(out)
+        out = done(listed.join(bad, "hash", "left_anti"))
+        discard(bad)
+    discard(found)
+    return out.drop("contents"), row_type
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -284,9 +317,7 @@ def without_repeated_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts reach percent by the measure of `near_dedup`, so that the next stage links them. All others lose their repeated chunks, and
     so do documents whose keeper would itself lose that share. Of a keeper of several rows, one is compared.
     """
-    rows, marked, row_type = _cut_rows(docs, True)
-    done = store(rows, "line-cut")
-    discard(marked)
+    done, row_type = _cut_rows(docs, True)
     copies, others = done.where("keeper is not null"), done.where("keeper is null")
     kept = others.select(F.col("id").alias("keeper"), F.col("text").alias("kept")).join(copies.select("keeper").distinct(), "keeper", "left_semi").groupBy("keeper").agg(F.min("kept").alias("kept"))
     told = copies.join(kept, "keeper", "left").select("row", "text", "whole", "kept").mapInArrow(_compared(percent), f"row {row_type}, text string, whole string, near boolean")
