@@ -13,7 +13,9 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -34,51 +36,148 @@ FREQUENT = 96
 MEMO_WORDS = 500_000
 #: Documents of one length that one task ranks.
 RANK_ROWS = 100_000
+#: The parts of a tokenizer file, other than its vocabulary, whose texts are encoded word by word.
+_WORDWISE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+    {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+)
+#: UTF-8 of letters a-z, and of the lower-case ones up to U+00FF, with ASCII marks after them: two pieces to the tokenizer. NFC leaves them as they are.
+_SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]){1,40})([!-/:-@\[-`{-~]{0,20})")
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class WordMerges:
+    """Byte-pair merges of many words at once: in each, the pair of least rank is merged, of equal ones the first, until no pair has a rank."""
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        char = {int(b): c for b, c in enumerate(_byte_chars())}
+        self.first = np.array([vocab[char[b]] for b in range(256)], dtype=np.int64)
+        self.final = np.array([vocab[char[b] + suffix] for b in range(256)], dtype=np.int64)
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.base = max(vocab.values()) + 1
+        keys = np.array([vocab[a] * self.base + vocab[b] for a, b in pairs], dtype=np.int64)
+        order = np.argsort(keys, kind="stable")
+        made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        self.none = len(pairs)  # the rank of pairs that are never merged
+        self.keys, self.rank, self.made = np.append(keys[order], self.base**2), np.append(order, self.none), np.append(made[order], 0)
+
+    def _place(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.base + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, at, self.none)
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        out: list[bytes] = [b""] * len(words)
+        for size in np.unique(sizes):
+            which = np.flatnonzero(sizes == size)
+            ids, left = self._merged(np.frombuffer(b"".join([words[i] for i in which]), dtype=np.uint8).reshape(-1, size))
+            flat = ids[np.arange(size) < left[:, None]].astype("<u4").tobytes()
+            ends = np.cumsum(left) * 4
+            for i, x, y in zip(which.tolist(), (ends - left * 4).tolist(), ends.tolist(), strict=True):
+                out[i] = flat[x:y]
+        return out
+
+    def _merged(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, and how many are left of each."""
+        n, size = raw.shape
+        ids = self.first[raw]
+        ids[:, -1] = self.final[raw[:, -1]]
+        left = np.full(n, size)
+        rows, own = np.arange(n), ids
+        place = self._place(ids[:, :-1], ids[:, 1:])
+        while len(rows) and place.shape[1]:
+            rank = self.rank[place]
+            at = rank.argmin(axis=1)
+            open_ = rank[np.arange(len(rows)), at] < self.none
+            ids[rows[~open_], : own.shape[1]] = own[~open_]
+            rows, own, place, at = rows[open_], own[open_], place[open_], at[open_]
+            if not len(rows):
+                return ids, left
+            every = np.arange(len(rows))
+            left[rows] -= 1
+            made = self.made[place[every, at]]
+            kept = np.arange(own.shape[1] - 1)
+            own = np.take_along_axis(own, kept + (kept > at[:, None]), axis=1)
+            own[every, at] = made
+            kept = kept[:-1]
+            place = np.take_along_axis(place, kept + (kept >= at[:, None]), axis=1)
+            if place.shape[1]:
+                for shift in (-1, 0):  # the pairs on both sides of the new token
+                    j = at + shift
+                    there = np.flatnonzero((j >= 0) & (j + 1 < own.shape[1]))
+                    place[there, j[there]] = self._place(own[there, j[there]], own[there, j[there] + 1])
+        ids[rows, : own.shape[1]] = own
+        return ids, left
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible, else the next one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b if b in set(seen) else next(other)) for b in range(256)]
+
+
 class WordIds:
-    """Token ids of texts as little-endian uint32 bytes, word by word with a bounded memory.
+    """Token ids of texts as little-endian uint32 bytes, the same as the tokenizer gives for whole texts without special tokens added.
 
-    Correct for tokenizers that never join tokens across ASCII white space and lower-case their input.
+    A tokenizer of `_WORDWISE`'s kind never joins tokens across ASCII white space and lower-cases: its texts are encoded word by word, with a
+    bounded memory, and words of lower-case Latin letters, with or without ASCII marks after them, by `WordMerges`. Texts that
+    may hold special tokens, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        model = spec["model"]
+        kind = (spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"], {k: v for k, v in model.items() if k not in ("vocab", "merges")})
+        self.merges = WordMerges(model) if kind == _WORDWISE and all(t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec["added_tokens"]) else None
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)", re.IGNORECASE)
         self.memo: dict[bytes, bytes] = {}
-        self.marks = {c: self._ids([c])[0] for c in (b".", b",")}
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        memo, split, other = self.memo, [], []
+        for w in new:
+            m = _SIMPLE.fullmatch(w)
+            if m:
+                split.append((w, *m.groups()))
+            else:
+                other.append(w)
+        memo.update(zip(other, self._ids([w.decode() for w in other]), strict=True))
+        marks = sorted({m for _, _, m in split if m and m not in memo})
+        memo.update(zip(marks, self._ids([m.decode() for m in marks]), strict=True))
+        stems = list({s for _, s, _ in split if s not in memo})
+        memo.update(zip(stems, self.merges(stems), strict=True))
+        memo.update((w, memo[s] + memo[m]) for w, s, m in split if m)
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode().lower().split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        marked: dict[bytes, bytes] = {}
-        new: set[bytes] = set()
-        for words in split:
-            for w in words:
-                if w not in memo:
-                    # a mark after an ASCII letter is a token of its own, so the word before it can be looked up
-                    if w[-1:] in self.marks and b"a" <= w[-2:-1] <= b"z":
-                        marked[w] = w[:-1]
-                        if w[:-1] not in memo:
-                            new.add(w[:-1])
-                    else:
-                        new.add(w)
-        fresh = sorted(new)
-        memo.update(zip(fresh, self._ids(fresh), strict=True))
-        for w, stem in marked.items():
-            memo[w] = memo[stem] + self.marks[w[-1:]]
-        get = memo.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        whole = [t or "" for t in texts]
+        apart = [self.merges is None or ("<" in t and self.special.search(t) is not None) for t in whole]
+        split = [[] if a else t.encode().lower().split() for t, a in zip(whole, apart, strict=True)]
+        used = set().union(*split)
+        if len(self.memo) > MEMO_WORDS:  # starts anew with the words of this batch
+            self.memo = {w: x for w in used if (x := self.memo.get(w)) is not None}
+        self._learn([w for w in used if w not in self.memo])
+        known = iter(self._ids([t for t, a in zip(whole, apart, strict=True) if a]))
+        get = self.memo.__getitem__
+        for words, a in zip(split, apart, strict=True):
+            yield next(known) if a else b"".join(map(get, words))
 
 
 _word_ids: dict[str, WordIds] = {}
