@@ -10,8 +10,12 @@ star, each block hands on at most one row per vertex, and groups of copies never
 A pair is a candidate if a band of its signatures is equal. Bands and the signature check follow from the threshold (`plan`): pairs
 at it are missed with a probability of at most MISS_BAND by the bands, and MISS_CHECK by the check. Links are confirmed on the full sets.
 
-Defined results: a text without words has no shingles and is linked with nothing, and so is a row without doc_id; rows that
-repeat share a component; vertices are named by their smallest doc_id; extra columns are ignored.
+Vertices are named by numbers of their own, so rows of one doc_id with different texts are different vertices; only at the end does a
+component take the smallest doc_id of its rows.
+
+Defined results: a text without words, null or empty, has no shingles and is linked with nothing, and so is a row without doc_id; rows that
+repeat share a component; of rows of one doc_id with different texts, each has the component of its own text; very long texts are compared whole;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,7 +89,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi.append(int(a))
             lo.append(int(z))
             sig.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "hi", "lo", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), b.column("mark")], names=["doc_id", "n", "hi", "lo", "sig", "mark"])
 
 
 def _signatures(column) -> np.ndarray:
@@ -219,30 +223,33 @@ def _blocks(known: DataFrame, weight: str) -> DataFrame:
     return base.join(asked, ["key", "j"], "left_semi").select(*columns).unionByName(asks.select(*columns))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _slim(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of the text by which rows of one doc_id are told apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
 
-    Rows are linked when 100 * |A and B| >= percent * |A or B| for their sets of five-word shingles.
-    """
+
+def labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, mark, n_shingles, component_id, kept."""
     bands, rows_of_band, agreeing = plan(percent)
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = store(slim.mapInArrow(_signed, "doc_id long, n long, hi long, lo long, sig binary"), "near-signatures")
-    reps = store(signed.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n").alias("size")), "near-vertices")
+    slim = _slim(docs)
+    signed = store(slim.mapInArrow(_signed, "doc_id long, n long, hi long, lo long, sig binary, mark long"), "near-signatures")
+    vertices = signed.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("sig").alias("sig"), F.first("n").alias("size"))
+    # unique numbers, fixed by the table that holds them
+    reps = store(vertices.select(F.monotonically_increasing_id().alias("rep"), "hi", "lo", "row.doc_id", "row.mark", "sig", "size"), "near-vertices")
     buckets = reps.select("rep", "sig").mapInArrow(_bands(bands, rows_of_band), "rep long, key long")
     shared = buckets.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = store(buckets.join(shared, "key"), "near-buckets")
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        return slim.withColumnRenamed("doc_id", "rep").mapInArrow(_packed, "rep long, packed binary").join(ids, "rep", "left_semi").distinct()
+    # texts of the vertices that share a bucket: joined as they are, and packed then
+    meeting = reps.select("rep", "doc_id", "mark").join(members.select("rep").distinct(), "rep", "left_semi")
+    needed = slim.where("doc_id is not null").join(meeting, ["doc_id", "mark"]).select("rep", "text")
+    texts = store(needed.mapInArrow(_packed, "rep long, packed binary").groupBy("rep").agg(F.max("packed").alias("packed")), "near-texts")
 
     star = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     a, b = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    agree = store(star.join(a, "a").join(b, "b").mapInArrow(_agreeing(agreeing), "a long, b long").distinct(), "near-pairs")
-    texts = store(texts_of(agree.select(F.col("a").alias("rep")).union(agree.select(F.col("b").alias("rep"))).distinct()), "near-texts")
+    agree = star.join(a, "a").join(b, "b").mapInArrow(_agreeing(agreeing), "a long, b long")
     a, b = (texts.select(F.col("rep").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab")
-    links = store(agree.join(a, "a").join(b, "b").mapInArrow(_confirmed(percent), "a long, b long").distinct(), "near-links")
-    discard(agree, texts)
+    links = store(agree.join(a, "a").join(b, "b").mapInArrow(_confirmed(percent), "a long, b long"), "near-links")
     labels = components(links)
     # buckets that hold several components: which components agree
     known = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"), F.lit(1).alias("one"))
@@ -255,13 +262,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         groups = components(pairs).select(F.col("node").alias("comp"), F.col("component").alias("key"))
         alone = groups.join(labels, groups["comp"] == labels["component"], "left_anti").select(F.col("comp").alias("rep"), "comp", "key")
         inside = labels.join(groups, labels["component"] == groups["comp"]).select(F.col("node").alias("rep"), "comp", "key")
-        known = store(inside.unionByName(alone).join(reps.select("rep", "size"), "rep").groupBy("key", "rep", "comp").agg(F.max(F.expr(f"1 + size div {BLOCK_SHINGLES // BLOCK_ROWS}")).alias("weight")), "near-groups")
-        texts = store(texts_of(known.select("rep").distinct()), "near-texts")
+        known = store(inside.unionByName(alone).join(reps.select("rep", "size"), "rep").select("key", "rep", "comp", F.expr(f"1 + size div {BLOCK_SHINGLES // BLOCK_ROWS}").alias("weight")), "near-groups")
         rows = _blocks(known, "weight").join(reps.select("rep", "sig"), "rep").join(texts, "rep")
         more = store(rows.groupBy("key", "i", "j").applyInPandas(_linked_block(agreeing, percent), "a long, b long").distinct(), "near-links")
-        discard(texts, known)
+        discard(known)
         labels = components(links.union(more))
-    vertex = reps.join(labels, reps["rep"] == labels["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("doc_id", "n", "hi", "lo").join(vertex, ["hi", "lo"], "left")
+    discard(texts)
+    first = reps.select("rep", F.col("doc_id").alias("first"))
+    named = labels.join(first, labels["node"] == first["rep"]).groupBy("component").agg(F.min("first").alias("component_id"))
+    linked_ = labels.join(named, "component").select(F.col("node").alias("rep"), "component_id")
+    vertex = reps.select("rep", "hi", "lo", "doc_id").join(linked_, "rep", "left").select("hi", "lo", F.coalesce("component_id", "doc_id").alias("component"))
+    rows = signed.select("doc_id", "mark", "n", "hi", "lo").join(vertex, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Rows are linked when 100 * |A and B| >= percent * |A or B| for their sets of five-word shingles.
+    """
+    return labelled(docs, percent).drop("mark")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id names their component; rows without doc_id, which no group can name, stay."""
+    dropped = labelled(docs, percent).where(~F.col("kept")).select("doc_id", "mark").distinct()
+    return docs.join(dropped, (docs["doc_id"].cast("long") == dropped["doc_id"]) & (F.xxhash64(docs["text"]) == dropped["mark"]), "left_anti")

@@ -30,11 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows without doc_id, which no group can name, stay."""
-    from .near_dedup import near_duplicates
+    """One document of each group of near-duplicates, by its text: rows of one doc_id with different texts are told apart; rows without doc_id, which no group can name, stay."""
+    from .near_dedup import without_near_duplicates
 
-    dropped = near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["doc_id"], "left_anti")
+    return without_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql.functions import lit
 
 from sigspark.llm.components import components
 from sigspark.llm.near_dedup import near_duplicates, plan
@@ -64,6 +65,16 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    rnd = random.Random(5)
+    a, b, c = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, a), (5, a + " more"), (5, b), (7, b + " more"), (7, c), (8, c), (2, a + " too"), (2, "alone")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS).withColumns({"mark": lit(1), "_dropped": lit(2)})
+    assert sorted(map(tuple, near_duplicates(docs).collect())) == brute(rows)
+    left = near_dedup(spark, docs, "")
+    assert left.columns == docs.columns and sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(2, a + " too"), (2, "alone"), (5, b), (7, c)])
+
+
 def test_components_of_long_paths(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
