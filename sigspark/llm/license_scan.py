@@ -1,13 +1,17 @@
 """License scan as an exact set-similarity join between text blocks and license templates, in native expressions only.
 
-Blocks are windows of BLOCK words, one every STEP words, over the whole text; a template of at most BLOCK - STEP + 1
-words that stands in a text is whole in some block. Tokens are ordered by their frequency in the corpus, rarest first. A block B and
+Blocks are windows of words, one every half window, over the whole text; the window follows from the longest template, so that every
+template that stands in a text is whole in some block. Tokens are ordered by their frequency in the corpus, rarest first. A block B and
 a template T can only reach |B and T| >= need if they share a token among the first |B| - need + 1 and |T| - need + 1 (prefix filter),
 if |B| >= need (length filter), and if enough tokens follow the shared one on both sides (positional filter); pairs that pass are
-counted in full, so the join is exact. Blocks keep template tokens only: others cannot be shared.
+counted in full, so the join is exact. Blocks keep known tokens only: others cannot be shared.
 
-Defined results: null and empty texts have no words, null places, empty labels and score 0; equal texts have equal results;
-extra columns are ignored. The vocabulary, its frequencies and the template index are bounded by TEMPLATES.
+Templates of up to SHORT tokens have to be there in full, longer ones by THRESHOLD of their tokens. Of a license's name, the words `having` have to be
+in the block, and those of a like license, `lacking`, must not. A block then keeps its best template: by containment, shared tokens, order.
+
+Defined results: null and empty texts have no words, null places, empty labels and score 0; equal texts have equal results; very long
+texts are scanned whole; an empty table gives an empty result; extra columns are ignored. The vocabulary, its frequencies and the template
+index are bounded by the templates.
 """
 
 from __future__ import annotations
@@ -15,33 +19,45 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from fractions import Fraction
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, STEP = 64, 32
-#: Share of a template's tokens that a block must hold.
-THRESHOLD = Fraction(4, 5)
+#: Share of a template's tokens that a block must hold, unless the template has no more than SHORT tokens.
+THRESHOLD, SHORT = Fraction(4, 5), 9
+
+
+class Template(NamedTuple):
+    label: str
+    text: str
+    having: str = ""
+    lacking: str = ""
+
+
 #: Phrases that the scan counts place by place, and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Sentences of public license notices, and their labels.
+#: Sentences of public license notices, their labels, and the words that tell them from other licenses.
 TEMPLATES = (
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("agpl", "under the terms of the GNU Affero General Public License"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-    ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu general public", "lesser affero"),
+    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general public", "lesser affero"),
+    Template("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "gnu lesser general public"),
+    Template("lgpl", "under the terms of the GNU Lesser General Public License"),
+    Template("agpl", "under the terms of the GNU Affero General Public License"),
+    Template("apache", "Licensed under the Apache License, Version 2.0."),
+    Template("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    Template("mit", "Released under the MIT License."),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    Template("bsd", "Licensed under the BSD License."),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public"),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution", "sharealike noncommercial noderivatives"),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons attribution sharealike", "noncommercial"),
+    Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution noncommercial", "sharealike noderivatives"),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    Template("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
+    Template("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "reserved"),
 )
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -53,8 +69,13 @@ def tokens(text: str) -> list[str]:
 
 
 def need(n: int) -> int:
-    """Tokens of n that reach the threshold."""
-    return -(-n * THRESHOLD.numerator // THRESHOLD.denominator)
+    """Tokens of n that have to be shared."""
+    return n if n <= SHORT else -(-n * THRESHOLD.numerator // THRESHOLD.denominator)
+
+
+def block_step(templates: Sequence[Template]) -> int:
+    """Words from block to block, half of a block: the power of 2 that holds the longest template."""
+    return 1 << (max(len(re.findall("[0-9a-z]+", t.text.lower())) for t in templates) - 1).bit_length()
 
 
 def _lowered(text: Column) -> Column:
@@ -98,25 +119,29 @@ def token_order(docs: DataFrame, vocabulary: Sequence[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
 
-def template_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Per distinct text (key, check: two hashes of it) the labels of the templates that some block meets, and the best containment."""
-    spark = docs.sparkSession
-    sets = [(label, tokens(t)) for label, t in templates]
-    order = token_order(docs, sorted({w for _, s in sets for w in s}))
+def template_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
+    """Per distinct text (key, check: two hashes of it) the labels of the best templates of its blocks, and the best containment."""
+    spark, step = docs.sparkSession, block_step(templates)
+    sets = [tokens(t.text) for t in templates]
+    lacking = [t.lacking.split() for t in templates]
+    order = token_order(docs, sorted({w for s in [*sets, *lacking] for w in s}))
     at = {w: i for i, w in enumerate(order)}
     index = []
-    for label, words in sets:
+    for k, (t, words) in enumerate(zip(templates, sets, strict=True)):
         ranked = sorted(words, key=at.__getitem__)
-        index += [(w, i, len(ranked), need(len(ranked)), label, ranked) for i, w in enumerate(ranked[: len(ranked) - need(len(ranked)) + 1])]
-    index = F.broadcast(spark.createDataFrame(index, "token string, i int, t int, need int, label string, template array<string>"))  # at most the templates' tokens
-    least = min(need(len(s)) for _, s in sets)
+        index += [(w, i, len(ranked), need(len(ranked)), k, t.label, ranked, t.having.split(), lacking[k]) for i, w in enumerate(ranked[: len(ranked) - need(len(ranked)) + 1])]
+    index = F.broadcast(spark.createDataFrame(index, "token string, i int, t int, need int, template int, label string, words array<string>, having array<string>, lacking array<string>"))  # at most the templates' tokens
+    least = min(need(len(s)) for s in sets)
     words = docs.select(F.xxhash64("text").alias("key"), F.hash("text").alias("check"), _words(_lowered(F.col("text"))).alias("words")).where("size(words) > 0")
-    known = F.expr(f"filter(transform(sequence(0, size(words) - 1, {STEP}), s -> filter(slice(words, s + 1, {BLOCK}), w -> w in ({_literal(order)}))), b -> size(b) >= {least})")
-    blocks = words.select("key", "check", F.explode(known).alias("block")).select("key", "check", F.expr(f"array_intersect(array({_literal(order)}), block)").alias("block")).where(f"size(block) >= {least}")
-    prefix = blocks.select("key", "check", "block", F.posexplode(F.expr(f"slice(block, 1, size(block) - {least} + 1)")).alias("j", "token"))
+    known = F.expr(f"transform(sequence(0, size(words) - 1, {step}), s -> filter(slice(words, s + 1, {2 * step}), w -> w in ({_literal(order)})))")
+    blocks = words.select("key", "check", F.posexplode(known).alias("place", "block")).where(f"size(block) >= {least}")
+    blocks = blocks.select("key", "check", "place", F.expr(f"array_intersect(array({_literal(order)}), block)").alias("block")).where(f"size(block) >= {least}")
+    prefix = blocks.select("key", "check", "place", "block", F.posexplode(F.expr(f"slice(block, 1, size(block) - {least} + 1)")).alias("j", "token"))
     pairs = prefix.join(index, "token").where("size(block) >= need and j <= size(block) - need and 1 + least(t - i - 1, size(block) - j - 1) >= need")
-    shared = pairs.select("key", "check", "label", "need", "t", F.size(F.array_intersect("template", "block")).alias("shared")).where("shared >= need")
-    return shared.groupBy("key", "check").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("t")).alias("best"))
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("words", "block"))).where("shared >= need and size(array_except(having, block)) = 0 and not arrays_overlap(lacking, block)")
+    rank = F.struct((F.col("shared") / F.col("t")).alias("part"), "shared", (-F.col("template")).alias("order"), "label")
+    best = pairs.groupBy("key", "check", "place").agg(F.max(rank).alias("best"))
+    return best.groupBy("key", "check").agg(F.collect_set("best.label").alias("found"), F.max("best.part").alias("best"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -143,16 +168,19 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 def sql() -> str:
     """The same in DuckDB SQL, without the filters: every block against every template."""
-    values = ", ".join(f"('{label}', [{_literal(tokens(t))}])" for label, t in TEMPLATES)
+    step = block_step(TEMPLATES)
+    strings = lambda words: f"[{_literal(words)}]::VARCHAR[]"
+    values = ", ".join(f"({k}, '{t.label}', {strings(tokens(t.text))}, {need(len(tokens(t.text)))}, {strings(t.having.split())}, {strings(t.lacking.split())})" for k, t in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{label}', [{_literal(p.split())}])" for p, label in PHRASES)
     return f"""
-        WITH templates(label, words) AS (VALUES {values}), phrases(label, words) AS (VALUES {phrases}),
+        WITH templates(k, label, words, need, having_, lacking) AS (VALUES {values}), phrases(label, words) AS (VALUES {phrases}),
         d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}+') AS words FROM documents),
         places AS (SELECT rid, label, len(p.words) AS size, unnest(list_filter(range(len(d.words)), lambda i: d.words[i + 1 : i + len(p.words)] = p.words)) AS pos FROM d, phrases p),
         base AS (SELECT rid, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS found FROM places GROUP BY rid),
-        blocks AS (SELECT rid, list_distinct(words[pos + 1 : pos + {BLOCK}]) AS block FROM (SELECT rid, words, unnest(range(0, len(words), {STEP})) AS pos FROM d)),
-        pairs AS (SELECT rid, label, len(t.words) AS t, len(list_intersect(t.words, block)) AS shared FROM blocks, templates t),
-        found AS (SELECT rid, list(DISTINCT label) AS found, max(shared / t) AS best FROM pairs WHERE {THRESHOLD.denominator} * shared >= {THRESHOLD.numerator} * t GROUP BY rid)
+        blocks AS (SELECT rid, pos, list_distinct(words[pos + 1 : pos + {2 * step}]) AS block FROM (SELECT rid, words, unnest(range(0, len(words), {step})) AS pos FROM d)),
+        pairs AS (SELECT rid, pos, k, label, need, len(t.words) AS t, len(list_intersect(t.words, block)) AS shared FROM blocks, templates t WHERE list_has_all(block, having_) AND NOT list_has_any(block, lacking)),
+        top AS (SELECT rid, label, shared / t AS part, row_number() OVER (PARTITION BY rid, pos ORDER BY shared / t DESC, shared DESC, k) AS place FROM pairs WHERE shared >= need),
+        found AS (SELECT rid, list(DISTINCT label) AS found, max(part) AS best FROM top WHERE place = 1 GROUP BY rid)
         SELECT doc_id, len(words) AS n_words, coalesce(b.n, 0) AS n_base, first_word, last_word, coalesce(list_aggregate(b.found, 'string_agg', ','), '') AS base_labels,
                coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(f.found, [])))), 'string_agg', ','), '') AS labels,
                greatest(coalesce(best, 0.0), CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score

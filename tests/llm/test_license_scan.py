@@ -1,4 +1,7 @@
-from sigspark.llm.license_scan import TEMPLATES, license_scan, need, tokens
+import random
+import re
+
+from sigspark.llm.license_scan import TEMPLATES, block_step, license_scan, need, tokens
 
 DOCS = "doc_id long, text string, labels string, score int"
 
@@ -23,17 +26,70 @@ def test_phrases_and_places(spark):
     assert got[7][:5] == (4, 2, 0, 2, "cc-by")
 
 
-def test_every_template_is_found_anywhere_and_by_its_share_only(spark):
+def brute(text):
+    """Labels of templates and the best containment, block by block, from sets of words."""
+    words = re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    step, found, best = block_step(TEMPLATES), set(), 0.0
+    for at in range(0, len(words), step):
+        block, fits = set(words[at : at + 2 * step]), []
+        for k, t in enumerate(TEMPLATES):
+            own = set(re.findall("[0-9a-z]+", t.text.lower()))
+            shared = len(own & block)
+            enough = shared == len(own) if len(own) <= 9 else 5 * shared >= 4 * len(own)
+            if enough and set(t.having.split()) <= block and not set(t.lacking.split()) & block:
+                fits.append((-shared / len(own), -shared, k))
+        if fits:
+            found.add(TEMPLATES[min(fits)[2]].label)
+            best = max(best, -min(fits)[0])
+    return found, best
+
+
+def test_every_template_is_found_anywhere_and_alone(spark):
     rows, labels = [], []
-    for k, (label, text) in enumerate(TEMPLATES):
-        for shift in (0, 31, 63, 200):
-            rows.append((len(rows), "foo " * shift + text + " bar" * (k * 7)))
-            labels.append(label)
+    for k, t in enumerate(TEMPLATES):
+        for shift in (0, 31, 32, 63, 200):
+            rows.append((len(rows), "foo " * shift + t.text + " bar" * (k * 7)))
+            labels.append(t.label)
     got = scan(spark, rows)
-    assert all(label in got[i][5].split(",") and got[i][6] == 1.0 for i, label in enumerate(labels))
-    few = [(i, " ".join(w[: need(len(w)) - 1])) for i, w in enumerate(tokens(t) for _, t in TEMPLATES)]
+    assert all(got[i][5] == ",".join(sorted({label, *got[i][4].split(",")} - {""})) and got[i][6] == 1.0 for i, label in enumerate(labels))
+    assert {got[i][4] for i, label in enumerate(labels) if label not in ("gpl", "apache", "mit", "cc-by-nc")} == {""}
+    few = [(i, " ".join(w[: need(len(w)) - 1])) for i, w in enumerate(tokens(t.text) for t in TEMPLATES)]
     got = scan(spark, few)
-    assert all(TEMPLATES[i][0] not in got[i][5].split(",") or got[i][1] for i, _ in few if TEMPLATES[i][0] in ("lgpl", "isc", "unlicense"))
+    assert all(TEMPLATES[i].label not in got[i][5].split(",") or got[i][1] for i, _ in few)
+
+
+def test_notices_of_like_licenses(spark):
+    notices = [
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "lgpl"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.", "agpl"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("Released under the Apache License.", "apache"),
+        ("Licensed under the BSD License, Version 2.0.", "bsd"),
+        ("The figures were released under the same license last year.", ""),
+        ("Permission to use the hall was granted free of charge to any person.", ""),
+    ]
+    got = scan(spark, [(i, "word " * 50 + t + " word" * 50) for i, (t, _) in enumerate(notices)])
+    assert [got[i][5] for i in range(len(notices))] == [label for _, label in notices]
+
+
+def test_matches_brute_force(spark):
+    rnd, pool = random.Random(3), sorted({w for t in TEMPLATES for w in tokens(t.text)})
+    rows = [(0, None), (1, "word " * 20_000 + TEMPLATES[1].text + " word" * 20_000)]
+    for i in range(2, 300):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            w = rnd.choice(TEMPLATES).text.split()
+            for _ in range(rnd.choice([0, 1, 1, 2, 4])):
+                w[rnd.randrange(len(w))] = rnd.choice(pool + ["other"])
+            parts += [*rnd.choices(["word", *pool], k=rnd.randint(0, 30)), *w]
+        rows.append((i, " ".join(parts)))
+    got = scan(spark, rows)
+    for i, text in rows:
+        found, best = brute(text)
+        base = set(got[i][4].split(",")) - {""}
+        assert got[i][5] == ",".join(sorted(base | found)) and got[i][6] == max(best, float(got[i][1] > 0)), text
 
 
 def test_repeated_rows_and_empty_table(spark):
