@@ -4,13 +4,15 @@ A suffix automaton of each language's sample recognises exactly the substrings o
 begun anew at its root whenever no transition fits, yields the longest matches. The language that needs the fewest phrases wins, after
 phrases are weighed by the logarithm of the sample's length, the cost of pointing into it.
 
-Texts are lower-cased UTF-8 in which runs of ASCII characters other than letters are one blank. They are parsed whole, in
-blocks of LANE bytes that walk side by side through one transition table; a phrase ends with its block.
-
-The samples are bounded: SAMPLE_DOCS labelled rows of each language, chosen by a hash of doc_id, and SAMPLE_BYTES of their text
-(fewer where there are many languages: ALL_BYTES in all).
-Defined results: `und` with score 0 for null, for texts without a letter, and if nothing was learnt; ties go to the first language by code
-point; rows that repeat are predicted alike; extra columns are ignored.
+Texts are lower-cased UTF-8 in which runs of ASCII characters other than letters are one blank. They are parsed whole. So that many bytes walk
+side by side through one transition table, a text is begun at every LANE bytes; each walk goes on OVER bytes into the next one's
+lane, and from the first byte at which phrases of both begin, they are the same parse. The phrases before it are counted by the walk that
+came from the text's beginning, so the count is that of one walk through the whole text. A text whose walks do not meet is walked once more, alone.
+
+The samples are bounded: SAMPLE_DOCS labelled rows of each language, chosen by a hash of doc_id, and of each PIECE characters that begin where
+a hash of doc_id says in the whole text, up to SAMPLE_BYTES a language (fewer where there are many languages: ALL_BYTES in all).
+Defined results: `und` with score 0 for null, for texts without a letter, and if nothing was learnt (an empty table has no rows); ties go to the
+first language by code point; very long texts are parsed whole; rows that repeat are predicted alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ._shared import small_batches
 
-SAMPLE_DOCS, SAMPLE_BYTES, ALL_BYTES = 80, 32_000, 800_000
-LANE = 256
+SAMPLE_DOCS, PIECE, SAMPLE_BYTES, ALL_BYTES = 100, 400, 32_000, 800_000
+LANE, OVER = 512, 128
 #: Bytes of text that walk at the same time.
 BATCH_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -96,34 +98,64 @@ class CrossParser:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Rows: samples; columns: texts."""
-        owner = np.concatenate([np.full(-(-len(t) // LANE), i) for i, t in enumerate(texts)] or [np.zeros(0)]).astype(np.int64)
-        lanes = [t[i : i + LANE] for t in texts for i in range(0, len(t), LANE)]
+        out = np.zeros((len(self.roots), len(texts)), dtype=np.int64)
+        if not sum(map(len, texts)):
+            return out
+        owner = np.concatenate([np.full(-(-len(t) // LANE), i) for i, t in enumerate(texts)])
+        lanes = [t[i : i + LANE + OVER] for t in texts for i in range(0, len(t), LANE)]
+        begins = self._begins(lanes)
+        counts = begins[:LANE].sum(axis=0)
+        # where a lane follows another one: phrases of the former one up to the first byte at which phrases of both begin
+        first = np.flatnonzero(owner[1:] == owner[:-1])
+        if len(first):
+            ours, theirs = begins[LANE:, :, first], begins[:OVER, :, first + 1]
+            both = ours & theirs
+            until = np.arange(OVER)[:, None, None] < np.where(both.any(axis=0), both.argmax(axis=0), OVER)
+            counts[:, first] += (ours & until).sum(axis=0) - (theirs & until).sum(axis=0)
+            lost = ~both.any(axis=0) & (np.array([len(lanes[k]) for k in first + 1]) > OVER)
+        for i in range(len(out)):
+            out[i] = np.bincount(owner, counts[i], minlength=len(texts))
+            if len(first):
+                for k in np.unique(owner[first[lost[i]]]):
+                    out[i, k] = self._walk(self.roots[i], texts[k])
+        return out
+
+    def _begins(self, lanes: list[np.ndarray]) -> np.ndarray:
+        """By byte, sample and lane: whether a phrase begins there."""
         sizes = np.array([len(x) for x in lanes], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
-        text = np.full((LANE, len(lanes)), self.width - 1, dtype=np.int32)
+        text = np.full((LANE + OVER, len(lanes)), self.width - 1, dtype=np.int32)
         for place, k in enumerate(order):
             text[: sizes[k], place] = self.symbol[lanes[k]]
-        active = np.searchsorted(-sizes[order], -np.arange(LANE), side="left")  # lanes longer than j
+        active = np.searchsorted(-sizes[order], -np.arange(LANE + OVER), side="left")  # lanes longer than j
         roots = np.array(self.roots, dtype=np.int32)[:, None]
         state = np.broadcast_to(roots, (len(roots), len(lanes))).copy()
-        count = np.zeros(state.shape, dtype=np.int32)
-        for j in range(LANE):
+        begins = np.zeros((LANE + OVER, *state.shape), dtype=bool)
+        for j in range(LANE + OVER):
             n = active[j]
             if not n:
                 break
             c = text[j, :n]
             to = self.table[state[:, :n] + c]
-            which, lane = np.nonzero(to == 0)
-            count[which, lane] += 1
+            ends = to == 0
+            begins[j, :, :n] = ends | (state[:, :n] == roots)
+            which, lane = np.nonzero(ends)
             again = self.table[roots[which, 0] + c[lane]]  # the symbol begins the next phrase, or is one that the sample lacks
             to[which, lane] = np.where(again == 0, roots[which, 0], again)
             state[:, :n] = to
-        count += state != roots
-        out = np.zeros((len(roots), len(texts)), dtype=np.int64)
-        for i in range(len(roots)):
-            out[i] = np.bincount(owner[order], count[i], minlength=len(texts))
+        out = np.empty_like(begins)
+        out[:, :, order] = begins
         return out
 
+    def _walk(self, root: int, text: np.ndarray) -> int:
+        table, state, count = self.table, root, 0
+        for c in self.symbol[text].tolist():
+            to = int(table[state + c])
+            if not to or state == root:
+                count += 1
+            state = to or int(table[root + c]) or root
+        return count
+
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         group: list[np.ndarray | None] = []
         size = 0
@@ -167,18 +199,15 @@ def learn(docs: DataFrame) -> tuple[tuple[str, bytes], ...]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.rlike("text", F.lit(r"\p{L}")))
     first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("learn"), "doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_DOCS)
-    texts = rows.join(ids.select("lang", "doc_id").distinct(), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).distinct().collect()
+    ids = rows.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_DOCS)
+    begin = F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.greatest(F.lit(1), F.length("text") - PIECE + 1)).cast("int") + 1
+    piece = F.substring(F.col("text"), begin, F.lit(PIECE)).alias("text")
+    texts = rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "doc_id", "rank", piece).distinct().collect()  # SAMPLE_DOCS pieces a language
     by: dict[str, list] = {}
     for r in texts:
         by.setdefault(r.lang, []).append(r)
     share = min(SAMPLE_BYTES, max(500, ALL_BYTES // max(1, len(by))))
-    out = []
-    for lang in sorted(by):
-        own = sorted(by[lang], key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.text))
-        each = max(200, 2 * share // len(own))  # no text fills the sample alone
-        out.append((lang, b" ".join(normalised(r.text)[:each].tobytes() for r in own)[:share]))
-    return tuple(out)
+    return tuple((lang, b" ".join(normalised(r.text).tobytes() for r in sorted(by[lang], key=lambda r: (r["rank"], r.text)))[:share]) for lang in sorted(by))
 
 
 def language_id(docs: DataFrame) -> DataFrame:

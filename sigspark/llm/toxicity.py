@@ -4,10 +4,11 @@ Only documents have labels. A sentence's score is the logistic function of a bia
 a document's is 1 - product of (1 - score) over its sentences. Weights are fitted to the document labels through that product,
 which shows, once fitted, where a document's offending sentences are (`offending_sentences`).
 
-The fit takes a bounded sample of labelled rows, chosen by a hash of doc_id: MAX_TOXIC and MAX_CLEAN documents and the first
-FIT_WORDS words of each; clean rows weigh as many as they stand for. Scoring reads whole texts.
-Defined results: null, empty and wordless texts score 0; labels other than 0 and 1 are not learnt from; without labelled rows of both
-kinds every score is 0; rows that repeat score alike; extra columns are ignored.
+The fit takes a bounded sample of labelled rows, chosen by a hash of doc_id: MAX_TOXIC and MAX_CLEAN documents, whole, up to FIT_FEATURES words and
+prefixes in all; clean rows weigh as many as they stand for. Scoring reads whole texts.
+Defined results: null, empty and wordless texts score 0; labels other than 0 and 1 are not learnt from; a document with both labels is toxic;
+of rows of one doc_id with different texts, the fit takes one; without labelled rows of both kinds, or with an empty table of labels, every score is 0 but for rounding;
+very long texts are read whole; rows that repeat score alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ._shared import small_batches
 from .words import NOT_WORD, text_sentences
 
-MAX_TOXIC, MAX_CLEAN, FIT_WORDS = 2000, 4000, 1500
+MAX_TOXIC, MAX_CLEAN, FIT_FEATURES = 2000, 4000, 30_000_000
 THRESHOLD = 0.3
 BUCKETS = 1 << 22
 #: Bytes of the prefixes that are features beside the word.
@@ -56,10 +57,8 @@ def _features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column("text").to_pylist()
-        cut = [" ".join(t.split(" ")[:FIT_WORDS]) if t else "" for t in texts]
-        found = [(f.tobytes(), s.tobytes()) for f, s in _features(cut)]
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["toxic", "features", "sentences"])
+        found = [(f.tobytes(), s.tobytes()) for f, s in _features(b.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("place"), b.column("toxic"), pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["place", "toxic", "features", "sentences"])
 
 
 def _noisy_or(z: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,15 +112,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits to the rows of labels (doc_id, toxic) that are not held out. One task takes the bounded sample, and the driver the weights."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = [F.xxhash64(F.lit("fit"), "doc_id"), "doc_id"]
-    ids = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN)).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("place", F.xxhash64(F.lit("fit"), "doc_id"))
+    order = ["place", "doc_id"]
+    ids = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
     n_clean = known.where("toxic = 0").count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")  # at most MAX_TOXIC + MAX_CLEAN ids
-    sample = texts.limit(2 * (MAX_TOXIC + MAX_CLEAN)).mapInArrow(_sampled, "toxic int, features binary, sentences binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # at most MAX_TOXIC + MAX_CLEAN ids
+    sample = texts.groupBy("doc_id", "place", "toxic").agg(F.max("text").alias("text")).select("place", "toxic", "text").mapInArrow(_sampled, "place long, toxic int, features binary, sentences binary")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("toxic", "features", "sentences")), strict=True))
-        model = fit(rows, max(1.0, n_clean / max(1, sum(not r[0] for r in rows))))
+        found, size = [], 0
+        for row in sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("place", "toxic", "features", "sentences")), strict=True)):
+            size += len(row[2]) // 4
+            if size > FIT_FEATURES and found:
+                break
+            found.append(row[1:])
+        model = fit(found, max(1.0, n_clean / max(1, sum(not r[0] for r in found))))
         yield pa.RecordBatch.from_arrays([pa.array([model.buckets.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["buckets", "weights", "bias"])
 
     r = sample.coalesce(1).mapInArrow(fitted, "buckets binary, weights binary, bias double").first()

@@ -1,9 +1,13 @@
+import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.llm.toxicity import THRESHOLD, offending_sentences, toxicity, train, without_toxic
+from sigspark.llm.words import NOT_WORD, text_sentences, text_word_hashes
+from sigspark.llm.toxicity import PREFIXES, THRESHOLD, offending_sentences, toxicity, train, without_toxic
 
 DOCS = "doc_id long, text string, score string, toxic int"
 
@@ -38,6 +42,45 @@ def test_held_out_documents_and_their_sentences(spark):
     assert left.schema == docs.schema and left.count() == sum(not r.predicted for r in got)
 
 
+def test_scores_match_brute_force(spark):
+    rows, known = corpus(300)
+    rows += [(1000, "Vilething " * 30_000, "x", 1), (1001, "É vile. Grawlix!\nw1 w2", "x", 1), (1002, "...", "x", 1)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(known, "doc_id long, toxic int")
+    model = train(docs, labels)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+
+    def feature(data):
+        """The weight of a word or prefix, which is hashed as a text of its own."""
+        return weight.get(int(next(text_word_hashes([data.decode("utf-8", "surrogateescape")], NOT_WORD))[0] >> np.uint64(42)), 0.0)
+
+    got = {r.doc_id: r.score for r in toxicity(docs, labels).collect()}
+    for doc_id, text, *_ in rows[:40] + rows[-2:]:
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", sentence)]
+            if words:
+                clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(feature(w) for w in words) + sum(prefix(w, k, weight) for w in words for k in PREFIXES if len(w) > k))))
+        assert got[doc_id] == pytest.approx(1 - clean, abs=1e-4)
+    assert got[1000] == pytest.approx(1.0)
+
+
+def prefix(word, k, weight):
+    rows = next(text_sentences([word.decode()], NOT_WORD, None, (k,)))[0]
+    return weight.get(int(rows[1] >> np.uint64(42)), 0.0)
+
+
+def test_a_late_sentence_of_a_long_document_is_learnt_from(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(160):
+        text = ". ".join(" ".join(rnd.choices(words, k=10)) for _ in range(200))
+        docs.append((i, text + (". some Vilething here" if i % 4 == 0 else ""), "x", 1))
+        labels.append((i, int(i % 4 == 0)))
+    got = toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in got) >= 0.9 * len(got)
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     rows, known = corpus(200)
     docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(known, "doc_id long, toxic int")
@@ -51,4 +94,5 @@ def test_nulls_empty_texts_and_tables(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
     assert [(r.score, r.predicted) for r in toxicity(docs, labels).collect()][:2] == [(0.0, 0)] * 2
     assert without_toxic(docs, labels).count() == 5
+    assert all(r.score < 1e-9 for r in toxicity(docs, labels.limit(0)).collect())
     assert toxicity(docs.limit(0), labels).collect() == []
