@@ -32,15 +32,15 @@ def header(name: str) -> str:
     return name.strip().upper().replace(" ", "_")
 
 
-def r_names(columns: Sequence[str]) -> dict[str, str]:
-    """Names that formula languages accept; repeats get a number."""
+def r_names(columns: Sequence[str]) -> list[str]:
+    """Names that formula languages accept, in order; the n-th repeat of a name ends in __n."""
     seen: dict[str, int] = {}
-    out = {}
+    out = []
     for c in columns:
         name = re.sub(r"[^0-9A-Za-z_]", "_", c) or "X"
         name = f"X_{name}" if name[0].isdigit() else name
-        seen[name] = seen.get(name, 0) + 1
-        out[c] = name if seen[name] == 1 else f"{name}__{seen[name]}"
+        seen[name] = seen.get(name, -1) + 1
+        out.append(f"{name}__{seen[name]}" if seen[name] else name)
     return out
 
 
@@ -159,8 +159,9 @@ def _spread(mean: Column, median: Column) -> Column:
 
 
 def effect_cap(mean: Column, largest: Column, k: float = 8.0, most: float = 12.0) -> Column:
-    """Cap on absolute effects: the larger of the largest seen and k means, at most `most`; `most` if either is missing."""
-    return F.coalesce(F.when(finite(mean).isNotNull() & finite(largest).isNotNull(), F.least(F.greatest(largest, k * mean), F.lit(most))), F.lit(most))
+    """Cap on absolute effects: the larger of the largest seen and k means, at most `most`; `most` unless both are positive."""
+    known = (finite(mean) > 0) & (finite(largest) > 0)
+    return F.coalesce(F.when(known, F.least(F.greatest(largest, k * mean), F.lit(most))), F.lit(most))
 
 
 def theory_c1(mu1: float, mu0: float, n1: float, n0: float, p: float, q: float) -> float:

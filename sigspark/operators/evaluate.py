@@ -102,18 +102,20 @@ def _cells(rna: DataFrame, pseudo: float) -> DataFrame:
     return rna.where("count > 0").join(size_factors(rna), "sample").select("sample", "gene", y.alias("u"))
 
 
-def group_moments(alts: DataFrame, cells: DataFrame, pairs: DataFrame, samples: DataFrame) -> DataFrame:
+def group_moments(alts: DataFrame, cells: DataFrame, pairs: DataFrame, samples: DataFrame, square: Column | None = None) -> DataFrame:
     """Per (alt, gene) of pairs: n, sum and sum of squares of u among samples with the alteration (1) and without (0).
 
-    cells: sample, gene, u with absent cells 0. The second group is the total less the first, so no dense matrix is made.
+    cells: sample, gene, u with absent cells 0; square: what is summed as the square, if it is not u * u. The second group is the
+    total less the first, so no dense matrix is made.
     """
     n = F.broadcast(samples.agg(F.count_distinct("sample").alias("n")))  # one row
     u = F.col("u")
-    total = cells.groupBy("gene").agg(F.sum(u).alias("s"), F.sum(u * u).alias("ss"))
+    square = u * u if square is None else square
+    total = cells.groupBy("gene").agg(F.sum(u).alias("s"), F.sum(square).alias("ss"))
     has = alts.select("sample", F.col("feature").alias("alt")).distinct().join(samples.select("sample").distinct(), "sample", "left_semi")
     carriers = has.groupBy("alt").agg(F.count("*").alias("n1"))
     wanted = cells.join(pairs.select("gene").distinct(), "gene", "left_semi")
-    one = has.join(wanted, "sample").join(pairs.select("alt", "gene").distinct(), ["alt", "gene"], "left_semi").groupBy("alt", "gene").agg(F.sum(u).alias("s1"), F.sum(u * u).alias("ss1"))
+    one = has.join(wanted, "sample").join(pairs.select("alt", "gene").distinct(), ["alt", "gene"], "left_semi").groupBy("alt", "gene").agg(F.sum(u).alias("s1"), F.sum(square).alias("ss1"))
     rows = pairs.select("alt", "gene").distinct().join(carriers, "alt").join(total, "gene", "left").join(one, ["alt", "gene"], "left").crossJoin(n).fillna(0.0, subset=["s", "ss", "s1", "ss1"])
     return rows.select("alt", "gene", "n1", (F.col("n") - F.col("n1")).alias("n0"), "s1", (F.col("s") - F.col("s1")).alias("s0"), "ss1", (F.col("ss") - F.col("ss1")).alias("ss0"))
 

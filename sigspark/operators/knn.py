@@ -15,14 +15,13 @@ BLOCK = 1000
 
 def _packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     v = np.stack(rows["vec"].to_numpy()).astype("<f8")
-    return pd.DataFrame({"part": [key[0]], "ids": [rows["id"].tolist()], "vecs": [v.tobytes()], "width": [v.shape[1]]})
+    return pd.DataFrame({"part": [key[0]], "block": [key[1]], "ids": [rows["id"].tolist()], "vecs": [v.tobytes()], "width": [v.shape[1]]})
 
 
-def _blocks(rows: DataFrame, side: str) -> DataFrame:
-    """rows (id, vec, part) as few rows of many vectors."""
-    n = max(1, -(-rows.count() // BLOCK))
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("part", "block").applyInPandas(_packed, "part string, ids array<string>, vecs binary, width int")
-    return packed.select("part", *(F.col(c).alias(f"{side}_{c}") for c in ("ids", "vecs", "width")))
+def _blocks(rows: DataFrame, side: str, n: int) -> DataFrame:
+    """rows (id, vec, part) as few rows of many vectors, in n blocks by part."""
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("part", "block").applyInPandas(_packed, "part string, block long, ids array<string>, vecs binary, width int")
+    return packed.select("part", F.col("block").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("ids", "vecs", "width")))
 
 
 def _nearest(k: int, metric: str):
@@ -48,13 +47,16 @@ def _nearest(k: int, metric: str):
 def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(query, neighbor, distance, rank) of the k rows of base nearest to each query; ties by neighbor. Both are (id string, vec array<double>).
 
-    With a column part in both, only rows of the same part are neighbours. Blocks meet pairwise, so work is spread over
-    (queries / BLOCK) * (base / BLOCK) tasks, and each hands on k rows per query.
+    With a column part in both, only rows of the same part are neighbours. All distances are computed: every block of queries meets every block of
+    base, dealt by the pair of blocks, so work is spread over (queries / BLOCK) * (base / BLOCK) keys, and each hands on k rows per query.
     """
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unknown metric {metric!r}")
     parted = lambda df: df.select("id", "vec", *(["part"] if "part" in df.columns else [F.lit("").alias("part")]))
-    pairs = _blocks(parted(queries), "q").join(_blocks(parted(base), "b"), "part")
+    q, b = parted(queries), parted(base)
+    n_q, n_b = (max(1, -(-df.count() // BLOCK)) for df in (q, b))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pairs = _blocks(q, "q", n_q).withColumn("b", every(n_b)).join(_blocks(b, "b", n_b).withColumn("q", every(n_q)), ["part", "q", "b"])
     found = pairs.mapInPandas(_nearest(k, metric), "query string, neighbor string, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -102,22 +102,55 @@ def draw_clinical(near: DataFrame, clinical: DataFrame, seed: int = 44) -> DataF
     return rows.withColumn("rank", rank).where("rank = 1").select("sim", "feature", "value")
 
 
-def simulate_alterations(space_vectors: DataFrame, subtypes: DataFrame, mut: DataFrame, cna: DataFrame, n: int, k: int = 3, seed: int = 44) -> DataFrame:
-    """(sim, subtype, feature, value): n synthetic samples with mutations (GENE_...) and copy-number states (GENE_CNA)."""
+def simulate_alterations(space_vectors: DataFrame, subtypes: DataFrame, n: int, mut: DataFrame | None = None, fusion: DataFrame | None = None, cna: DataFrame | None = None, clinical: DataFrame | None = None, k: int = 3, seed: int = 44) -> DataFrame:
+    """(sim, subtype, block, feature, value): n synthetic samples with the blocks that are given.
+
+    Mutations (sample, feature) and fusions are drawn as 0 or 1, copy numbers (sample, gene, value) as states -2 to 2 of GENE_CNA, clinical columns
+    (sample, feature, value) are a neighbour's. value is text, as clinical values may be.
+    """
     synthetic = synthetic_samples(subtypes, n, seed)
     near = neighbourhoods(space_vectors, subtypes, synthetic, k)
-    ones = draw_binary(neighbour_shares(near, mut, mut), seed, 0.02, 0.98)
-    states = draw_states(near, cna, subtypes, seed).select("sim", F.concat("gene", F.lit("_CNA")).alias("feature"), "value")
-    return ones.unionByName(states).join(synthetic.select("sim", "subtype"), "sim").select("sim", "subtype", "feature", "value")
+    parts = [("mut", draw_binary(neighbour_shares(near, mut, mut), seed, 0.02, 0.98))] if mut is not None else []
+    if fusion is not None:
+        parts.append(("fusion", draw_binary(neighbour_shares(near, fusion, fusion), seed)))
+    if cna is not None:
+        parts.append(("cna", draw_states(near, cna, subtypes, seed).select("sim", F.concat("gene", F.lit("_CNA")).alias("feature"), "value")))
+    if clinical is not None:
+        parts.append(("clinical", draw_clinical(near, clinical, seed)))
+    if not parts:
+        raise ValueError("no block to simulate")
+    rows = [df.select("sim", F.lit(name).alias("block"), "feature", F.col("value").cast("string").alias("value")) for name, df in parts]
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.unionByName(df)
+    return out.join(synthetic.select("sim", "subtype"), "sim").select("sim", "subtype", "block", "feature", "value")
+
+
+def _gamma(shape: float, seed: int, *key: Column | str) -> Column:
+    """Gamma numbers, seeded by each row's key."""
+
+    @F.pandas_udf("double")
+    def draw(keys: pd.Series) -> pd.Series:
+        return pd.Series([max(np.random.default_rng(int(k)).gamma(shape), 1e-300) for k in keys])
+
+    return draw(_seed(seed, *key))
+
+
+def _seed(seed: int, *key: Column | str) -> Column:
+    """A number of 60 bits for each key."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.lit(k) if isinstance(k, str) else k for k in key))), 1, 15), 16, 10).cast("long")
 
 
 def mixed_background(near: DataFrame, rna: DataFrame, seed: int = 44, concentration: float = 1.0, residual: float = 0.0) -> DataFrame:
     """(sim, gene, mu): a random convex mixture of the neighbours' logarithms, taken back; near: sim, neighbor.
 
-    Weights are exponentials divided by their sum, that is Dirichlet with concentration 1 (others by powers of them). As they sum to 1, mixing
+    Weights are Dirichlet: gammas of the concentration divided by their sum; for 1 these are exponentials. As they sum to 1, mixing
     z-scores and undoing them is mixing ln(1 + count): one join, one sum, absent cells add nothing.
     """
-    raw = F.pow(exponential(seed, "mix", F.col("sim"), F.col("neighbor")), F.lit(1.0 / concentration))
+    if concentration <= 0:
+        raise ValueError("the concentration must be positive")
+    key = (F.col("sim"), F.col("neighbor"))
+    raw = exponential(seed, "mix", *key) if concentration == 1 else _gamma(concentration, seed, "mix", *key)
     w = near.withColumn("w", raw).withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("sim")))
     logs = rna.where("count > 0").select(F.col("sample").alias("neighbor"), "gene", F.log1p("count").alias("l"))
     mixed = w.join(logs, "neighbor").groupBy("sim", "gene").agg(F.sum(F.col("w") * F.col("l")).alias("l"))
@@ -225,13 +258,20 @@ def moment_dispersions(rna: DataFrame, samples: DataFrame) -> DataFrame:
     return rows.withColumn("dispersion", F.coalesce(clipped(raw, 1e-6, 1e6), F.lit(0.1)))
 
 
-def resampled_factors(factors: DataFrame, synthetic: DataFrame, seed: int = 44) -> DataFrame:
-    """(sim, size_factor): a factor drawn with replacement for each synthetic sample; ValueError without factors."""
-    n = factors.count()
-    if not n:
+def resampled_factors(factors: DataFrame, synthetic: DataFrame, seed: int = 44, subtypes: DataFrame | None = None) -> DataFrame:
+    """(sim, size_factor): a factor drawn with replacement for each synthetic sample; ValueError without factors.
+
+    With subtypes (sample, subtype), from the factors of the synthetic sample's own subtype, so that subtypes keep their quotas.
+    """
+    if factors.isEmpty():
         raise ValueError("no size factors to draw from")
-    ranked = factors.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("sample")) - 1)  # a row per sample
-    return synthetic.select("sim", F.floor(uniform(seed, "factor", F.col("sim")) * n).cast("int").alias("place")).join(ranked, "place").select("sim", "size_factor")
+    part = F.col("subtype") if subtypes is not None else F.lit("")
+    pool = factors.join(subtypes, "sample") if subtypes is not None else factors
+    pool = pool.select("sample", "size_factor", part.alias("part"))
+    sizes = pool.groupBy("part").agg(F.count("*").alias("n"))
+    ranked = pool.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("sample")) - 1)
+    wanted = synthetic.select("sim", part.alias("part")).join(sizes, "part")
+    return wanted.select("sim", "part", F.floor(uniform(seed, "factor", F.col("sim")) * F.col("n")).cast("int").alias("place")).join(ranked, ["part", "place"]).select("sim", "size_factor")
 
 
 def nb_counts(mu: DataFrame, dispersions: DataFrame, drawn_genes: DataFrame | None = None, seed: int = 44) -> DataFrame:
@@ -250,8 +290,7 @@ def nb_counts(mu: DataFrame, dispersions: DataFrame, drawn_genes: DataFrame | No
 
     rows = mu.join(dispersions.select("gene", "dispersion"), "gene")
     drawn = rows if drawn_genes is None else rows.join(drawn_genes.select("gene").distinct(), "gene", "left_semi")
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("nb"), "sample", "gene")), 1, 15), 16, 10).cast("long")
-    out = drawn.select("sample", "gene", draw(key, F.col("mu"), F.col("dispersion")).alias("count"))
+    out = drawn.select("sample", "gene", draw(_seed(seed, "nb", F.col("sample"), F.col("gene")), F.col("mu"), F.col("dispersion")).alias("count"))
     if drawn_genes is None:
         return out
     rest = mu.join(drawn.select("gene").distinct(), "gene", "left_anti")

@@ -39,7 +39,7 @@ def test_fusions_and_names(spark):
     assert [r[0] for r in ids.select(patient_id(F.col("s"), "TCGA")).collect()] == ["TCGA-AB-1234", "TCGA-ZZ-9999", None, None]
     texts = spark.createDataFrame([(None,), ("",), ("A;B",), ("A, B",), ("A",)], "t string")
     assert [r[0] for r in texts.select(as_list(F.col("t"))).collect()] == [[], [], ["A", "B"], ["A", "B"], ["A"]]
-    assert r_names(["a-b", "a b", "1x", ""]) == {"a-b": "a_b", "a b": "a_b__2", "1x": "X_1x", "": "X"}
+    assert r_names(["a-b", "a b", "1x", "", "a-b"]) == ["a_b", "a_b__1", "X_1x", "X", "a_b__2"]
 
 
 def test_copy_numbers(spark):
