@@ -258,6 +258,11 @@ def moment_dispersions(rna: DataFrame, samples: DataFrame) -> DataFrame:
     return rows.withColumn("dispersion", F.coalesce(clipped(raw, 1e-6, 1e6), F.lit(0.1)))
 
 
+def gene_set(stats: DataFrame, altered: DataFrame, n: int = 10_000) -> DataFrame:
+    """(gene): the n genes of largest mean in stats (gene, mean), and those of the altered ones that stats has."""
+    return stats.orderBy(F.desc("mean"), "gene").limit(n).select("gene").union(altered.select("gene")).distinct().join(stats, "gene", "left_semi")
+
+
 def resampled_factors(factors: DataFrame, synthetic: DataFrame, seed: int = 44, subtypes: DataFrame | None = None) -> DataFrame:
     """(sim, size_factor): a factor drawn with replacement for each synthetic sample; ValueError without factors.
 

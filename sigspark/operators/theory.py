@@ -38,3 +38,9 @@ def replicates(spark: SparkSession, n0: int = 1000, n1: int = 1000, p: float = 0
     x = single_slope(rows, "rep", "x", "y").withColumnRenamed("slope", "slope_x")
     z = single_slope(rows, "rep", "z", "y").withColumnRenamed("slope", "slope_z")
     return x.join(z, "rep").withColumn("theory_z", F.lit(theory_c1(mu0 * exp(log_fc), mu0, n1, n0, p, q)))
+
+
+def replicate_means(rows: DataFrame) -> DataFrame:
+    """(replicates, mean_slope_x, mean_slope_z, theory_z, bias_z): means over the replicates, and how far the slope of z alone is from the expected one."""
+    out = rows.agg(F.count("*").alias("replicates"), F.avg("slope_x").alias("mean_slope_x"), F.avg("slope_z").alias("mean_slope_z"), F.avg("theory_z").alias("theory_z"))
+    return out.withColumn("bias_z", F.col("mean_slope_z") - F.col("theory_z"))

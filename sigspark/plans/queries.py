@@ -401,9 +401,21 @@ def simulate_mutations(spark, sf_dir):
 @query()
 def simulate_alterations(spark, sf_dir):
     alts, states, subtypes = v.alterations(spark, sf_dir), v.copies(spark, sf_dir), v.subtypes(spark, sf_dir)
-    space = simulate.weighted_space(subtypes, mut=alts.withColumn("value", F.lit(1)), cna=states)
+    listed = v.fusions(spark, sf_dir)
+    fusion = listed.where(F.col("site1") != F.col("site2")).select("sample", F.concat("site1", F.lit("--"), "site2", F.lit("_FUSION")).alias("feature")).distinct()
+    numbers = v.customers(spark, sf_dir).join(subtypes, "sample", "left_semi").select("sample", F.lit("c_acctbal").alias("feature"), F.col("c_acctbal").cast("double").alias("value"))
+    one = F.lit(1)
+    space = simulate.weighted_space(subtypes, mut=alts.withColumn("value", one), fusion=fusion.withColumn("value", one), cna=states, clinical=numbers)
     names = sorted(r["feature"] for r in space.select("feature").distinct().collect())
-    return simulate.simulate_alterations(knn.vectors(space, subtypes, names), subtypes, alts, states, 100)
+    table = numbers.withColumn("value", F.col("value").cast("string"))
+    return simulate.simulate_alterations(knn.vectors(space, subtypes, names), subtypes, 100, mut=alts, fusion=fusion, cna=states, clinical=table)
+
+
+@query(f"{with_views('fus', 'subtype')}, {_SYN}, f AS (SELECT DISTINCT sample, site1 || '--' || site2 || '_FUSION' AS feature FROM fus WHERE site1 <> site2), p AS (SELECT sim, x.feature, (f.sample IS NOT NULL)::INT AS p FROM syn CROSS JOIN (SELECT DISTINCT feature FROM f) x LEFT JOIN f ON f.sample = anchor AND f.feature = x.feature) SELECT sim, feature, ({u_sql("'44'", "'binary'", 'sim', 'feature')} < p)::INT AS value FROM p")
+def simulate_fusions(spark, sf_dir):
+    fusion = v.fusions(spark, sf_dir).where(F.col("site1") != F.col("site2")).select("sample", F.concat("site1", F.lit("--"), "site2", F.lit("_FUSION")).alias("feature")).distinct()
+    near = simulate.synthetic_samples(v.subtypes(spark, sf_dir), 100).select("sim", F.col("anchor").alias("neighbor"))
+    return simulate.draw_binary(simulate.neighbour_shares(near, fusion, fusion), 44)
 
 
 _NEAR = "near AS (SELECT sim, anchor AS neighbor FROM syn UNION ALL SELECT sim, sample FROM (SELECT sim, s.sample, row_number() OVER (PARTITION BY sim ORDER BY md5(sim || s.sample)) AS r FROM syn JOIN subtype s ON s.subtype = syn.subtype AND s.sample <> anchor) WHERE r <= 2)"
@@ -456,26 +468,32 @@ def signature_targets(spark, sf_dir):
     return simulate.signature_targets(sized, v.expression(spark, sf_dir))
 
 
-_PAIRED = "named AS (SELECT gene AS base, gene || k AS alt, k FROM (SELECT gene FROM expr GROUP BY gene ORDER BY count(*) DESC, gene LIMIT 20) g, (SELECT unnest(['_GOF', '_AMP']) AS k) x)"
+_PAIRED = "named AS (SELECT gene AS base, gene || k AS alt, k FROM (SELECT DISTINCT gene FROM brand) g, (SELECT unnest(['_GOF', '_AMP']) AS k) x)"
 _DRAW = u_sql("'44'", "'target'", "alt", "gene")
 
 
-@query(f"""{with_views('expr')}, {_PAIRED}, pool AS (SELECT alt, base, k, gene, gene = base AS own, CASE WHEN gene = base THEN -1.0 ELSE {_DRAW} END AS draw FROM named, (SELECT DISTINCT gene FROM expr) g),
+@query(f"""{with_views('brand')}, {_PAIRED}, pool AS (SELECT alt, base, k, gene, gene = base AS own, CASE WHEN gene = base THEN -1.0 ELSE {_DRAW} END AS draw FROM named, (SELECT DISTINCT gene FROM brand) g),
     dflt AS (SELECT alt, gene FROM (SELECT *, row_number() OVER (PARTITION BY alt ORDER BY draw, gene) AS r FROM pool) WHERE r <= 12),
     amp AS (SELECT p.*, d.gene IS NOT NULL AS in_ref FROM pool p LEFT JOIN dflt d ON d.alt = p.base || '_GOF' AND d.gene = p.gene WHERE k = '_AMP'),
     pl AS (SELECT *, row_number() OVER (PARTITION BY alt, in_ref, own ORDER BY draw, gene) AS pr FROM amp),
     fin AS (SELECT alt, gene, row_number() OVER (PARTITION BY alt ORDER BY CASE WHEN own THEN 0 WHEN in_ref AND pr <= 8 THEN 1 ELSE 2 END, draw, gene) AS r FROM pl)
     SELECT alt, gene FROM fin WHERE r <= 12 UNION ALL SELECT alt, gene FROM dflt WHERE alt LIKE '%GOF'""")
 def signature_shared_targets(spark, sf_dir):
-    genes = v.expression(spark, sf_dir)
-    base = genes.groupBy("gene").count().orderBy(F.desc("count"), "gene").limit(20)
-    sized = base.select(F.explode(F.array(F.concat("gene", F.lit("_GOF")), F.concat("gene", F.lit("_AMP")))).alias("alt"), F.lit(12).alias("size"))
+    genes = v.brand_counts(spark, sf_dir).select("gene").distinct()
+    sized = genes.select(F.explode(F.array(F.concat("gene", F.lit("_GOF")), F.concat("gene", F.lit("_AMP")))).alias("alt"), F.lit(12).alias("size"))
     return simulate.signature_targets(sized, genes)
 
 
-@query()
+_NORMAL = f"sqrt(-2 * ln(greatest({u_sql(chr(39) + '44' + chr(39), chr(39) + 'effect' + chr(39), 'alt', 'gene', chr(39) + 'r' + chr(39))}, 1e-12))) * cos(2 * pi() * {u_sql(chr(39) + '44' + chr(39), chr(39) + 'effect' + chr(39), 'alt', 'gene', chr(39) + 'a' + chr(39))})"
+
+
+@query(f"""{with_views('alt', 'expr', 'truth')}, s AS (SELECT alt, avg(abs(log2fc)) AS m, CASE WHEN alt > 'Brand#3' THEN median(abs(log2fc)) END AS med, max(abs(log2fc)) AS mx FROM truth GROUP BY 1),
+    pa AS (SELECT alt, ln(med) AS mu, CASE WHEN med > 0 THEN sqrt(greatest(2 * (ln(m) - ln(med)), 1e-6)) END AS sigma, least(greatest(mx, 8 * m), 12) AS cap, 10 + floor({u_sql("'44'", "'size'", 'alt')} * 291)::INT AS size FROM s),
+    tg AS (SELECT * FROM (SELECT pa.*, gene, row_number() OVER (PARTITION BY alt ORDER BY {_DRAW}, gene) AS r FROM pa, (SELECT DISTINCT gene FROM expr) g) WHERE r <= size),
+    ef AS (SELECT alt, gene, least(CASE WHEN sigma > 0 THEN exp(mu + sigma * {_NORMAL}) ELSE 1 + {u_sql("'44'", "'effect'", 'alt', 'gene')} END, cap) AS e, CASE WHEN alt LIKE '%_GOF' THEN 0.85 WHEN alt LIKE '%_LOF' THEN 0.15 ELSE 0.0 END AS share, {u_sql("'44'", "'sign'", 'alt', 'gene')} AS u FROM tg)
+    SELECT alt, gene, round(CASE WHEN u < share THEN e ELSE -e END, 6) AS log2fc FROM ef""")
 def signature_effects(spark, sf_dir):
-    return rounded(simulate.signatures(simulate.alteration_params(_summary(spark, sf_dir)), v.expression(spark, sf_dir), sizes=(10, 50)))
+    return rounded(simulate.signatures(simulate.alteration_params(_summary(spark, sf_dir)), v.expression(spark, sf_dir)))
 
 
 @query(f"{with_views('alt', 'expr', 'truth')}, l AS (SELECT sample, gene, sum(log2fc) AS l FROM alt JOIN truth ON feature = alt GROUP BY 1, 2) SELECT sample, gene, round(count * pow(2, coalesce(l, 0)), 5) AS mu FROM expr LEFT JOIN l USING (sample, gene)")
@@ -601,7 +619,11 @@ def quasi_f_joint(spark, sf_dir):
     return rounded(differential.quasi_f_joint(v.alterations(spark, sf_dir), v.expression(spark, sf_dir)))
 
 
-@query()
+@query(f"""{with_views('expr')}, z AS (SELECT sample, sum(count) AS size, quantile_cont(count, 0.75) / sum(count) AS q FROM expr GROUP BY 1), rf AS (SELECT sample AS ref, size AS ref_size FROM z ORDER BY abs(q - (SELECT avg(q) FROM z)), sample LIMIT 1),
+    b AS (SELECT gene, count AS ref_count, ref_size FROM expr JOIN rf ON sample = ref), x AS (SELECT e.sample, log2((count / size) / (ref_count / ref_size)) AS m, log2((count / size) * (ref_count / ref_size)) / 2 AS a, (size - count) / size / count + (ref_size - ref_count) / ref_size / ref_count AS v FROM expr e JOIN b USING (gene) JOIN z USING (sample)),
+    k AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n, rank() OVER (PARTITION BY sample ORDER BY m) AS rm, rank() OVER (PARTITION BY sample ORDER BY a) AS ra FROM x),
+    w AS (SELECT sample, pow(2, sum(m / v) / sum(1 / v)) AS raw FROM k WHERE v > 0 AND rm >= floor(n * 0.3) + 1 AND rm <= n - floor(n * 0.3) AND ra >= floor(n * 0.05) + 1 AND ra <= n - floor(n * 0.05) GROUP BY 1),
+    f AS (SELECT sample, size, coalesce(raw, 1) AS raw FROM z LEFT JOIN w USING (sample)) SELECT sample, round(raw / (SELECT exp(avg(ln(raw))) FROM f), 6) AS factor, size::BIGINT AS size FROM f""")
 def tmm_factors(spark, sf_dir):
     return rounded(differential.tmm_factors(v.expression(spark, sf_dir)))
 
@@ -624,7 +646,7 @@ def nb_single_slope(spark, sf_dir):
 
 @query()
 def theory_replicates(spark, sf_dir):
-    return rounded(theory.replicates(spark, 200, 200, reps=20))
+    return rounded(theory.replicates(spark))
 
 
 # ---- models ------------------------------------------------------------------------------------------------------

@@ -44,6 +44,17 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("sample", pick(GENES, F.col("l_partkey")).alias("gene"), pick(VARIANTS, F.col("l_suppkey") + F.col("l_linenumber")).alias("variant"))
 
 
+def fusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two genes for the first line of each order."""
+    pick = lambda n: F.element_at(F.array(*map(F.lit, GENES)), (n % len(GENES) + 1).cast("int"))
+    return lines(spark, sf_dir).where("l_linenumber = 1").select("sample", pick(F.col("l_partkey")).alias("site1"), pick(F.col("l_suppkey")).alias("site2"))
+
+
+def brand_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expression of the brands, as few columns as a wide file holds."""
+    return lines(spark, sf_dir).groupBy("sample", F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").cast("long").alias("count"))
+
+
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.greatest(F.lit(-2), F.least(F.lit(2), F.max(F.rint(F.col("l_discount") * 100).cast("int")) - 5))
     return lines(spark, sf_dir).groupBy("sample", F.col("p_brand").alias("gene")).agg(v.alias("value"))
@@ -103,6 +114,8 @@ SQL = {
     "alt": f"SELECT DISTINCT 'C' || o_custkey AS sample, p_brand || '_' || CASE l_returnflag WHEN 'R' THEN 'GOF' WHEN 'A' THEN 'LOF' ELSE 'MUT' END AS feature FROM {_LINES} WHERE l_quantity >= 45",
     "expr": f"SELECT 'C' || o_custkey AS sample, p_type || '_' || p_size AS gene, sum(l_quantity)::BIGINT AS count FROM {_LINES} GROUP BY 1, 2",
     "maf": f"SELECT 'C' || o_custkey AS sample, {_pick_sql(GENES, 'l_partkey')} AS gene, {_pick_sql(VARIANTS, 'l_suppkey + l_linenumber')} AS variant FROM {_LINES}",
+    "fus": f"SELECT 'C' || o_custkey AS sample, {_pick_sql(GENES, 'l_partkey')} AS site1, {_pick_sql(GENES, 'l_suppkey')} AS site2 FROM {_LINES} WHERE l_linenumber = 1",
+    "brand": f"SELECT 'C' || o_custkey AS sample, p_brand AS gene, sum(l_quantity)::BIGINT AS count FROM {_LINES} GROUP BY 1, 2",
     "cna": f"SELECT 'C' || o_custkey AS sample, p_brand AS gene, greatest(-2, least(2, max(round_even(l_discount * 100, 0)::INT) - 5)) AS value FROM {_LINES} GROUP BY 1, 2",
     "clin": "SELECT 'C' || c_custkey AS sample, * FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "subtype": "SELECT sample, c_mktsegment AS subtype FROM clin WHERE sample IN (SELECT sample FROM samples)",

@@ -70,7 +70,7 @@ def simulate_expression(rna_counts: DataFrame, real_alts: DataFrame, sim_alts: D
     samples = rna_counts.select("sample").distinct()
     stats = simulate.moment_dispersions(rna_counts, samples)
     altered = sim_alts.select(F.explode(simulated_genes(F.col("feature"))).alias("gene")).distinct()
-    genes = stats.orderBy(F.desc("mean"), "gene").limit(n_genes).select("gene").union(altered).distinct().join(stats, "gene", "left_semi")
+    genes = simulate.gene_set(stats, altered, n_genes)
     used = rna_counts.join(genes, "gene", "left_semi")
     features = knn.common_features(real_alts, sim_alts)
     to_vectors = lambda df: knn.vectors(df, df, features)
@@ -113,15 +113,15 @@ def evaluate_predictions(dataset: str, alts: DataFrame, samples: DataFrame, rna_
     return Evaluation(individual, overall, fates, robust, {"dataset": dataset, "robustness": status, "min_group": min_group, "min_residual": min_residual, "filtered": filter_alts})
 
 
-def evaluate_dataset(spark: SparkSession, dataset: str, base_dir: str, out: str | None = None) -> Evaluation:
-    """Reads a data set's folder, scores its predictions, and writes the results."""
+def evaluate_dataset(spark: SparkSession, dataset: str, base_dir: str, out: str | None = None, **options) -> Evaluation:
+    """Reads a data set's folder, scores its predictions by `evaluate_predictions` with the options, and writes the results."""
     at = f"{base_dir}/{dataset}"
     alts = readers.read_alterations(spark, f"{at}/alterations_{dataset}.csv")
     counts = readers.read_rna(spark, f"{at}/rna_simulated_{dataset}.csv").where("count <> 0")
     nested = readers.read_truth(spark, f"{at}/true_signatures_{dataset}.json")
     truth = nested.select("alt", F.explode("targets").alias("gene"), "effects").select("alt", "gene", F.try_element_at("effects", F.col("gene")).alias("log2fc"))
     said = evaluate.method_first(readers.read_predictions(spark, f"{at}/signatures_{dataset}.json"), truth).select("method", "alt", F.explode("genes").alias("gene"))
-    result = evaluate_predictions(dataset, alts, counts.select("sample").distinct(), counts, truth, said, readers.gene_universe(spark, f"{at}/rna_simulated_{dataset}.csv"))
+    result = evaluate_predictions(dataset, alts, counts.select("sample").distinct(), counts, truth, said, readers.gene_universe(spark, f"{at}/rna_simulated_{dataset}.csv"), **options)
     if out:
         fates = result.fates.groupBy("fate").count().withColumn("dataset", F.lit(dataset))
         writers.write_evaluation(out, dataset, result.individual, result.overall, said.groupBy("method", "alt").agg(F.collect_list("gene").alias("genes")), fates)

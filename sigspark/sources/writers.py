@@ -57,3 +57,8 @@ def write_evaluation(out: str, dataset: str, individual: DataFrame, overall: Dat
     write_csv(overall, f"{out}/overall_results_{dataset}.csv")
     write_json(predictions, f"{out}/predicted_signatures_{dataset}.json")
     write_json(diagnostics, f"{out}/diagnostics_{dataset}.json")
+
+
+def write_theory(replicates: DataFrame, path: str) -> None:
+    """The fitted and expected slopes of all replicates."""
+    write_csv(replicates.orderBy("rep"), path)
