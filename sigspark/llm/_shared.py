@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: ASCII white space, as a Java/Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -29,16 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: this cuts the lineage, and survives lost executors.
 
-    The table is deleted by `discard`, or when the driver ends. Shuffle files of what led to it are freed at once: Spark frees them
+    The table is deleted by `discard`, or when the driver ends. free: shuffle files of what led to it go at once; Spark deletes them
     when the driver collects its garbage, which may be long after.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()
+    if free:
+        spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # the listeners still hold the plan
+        for pause in (0.3, 0.4):  # what the first collection only finds to be unused goes with the second one
+            time.sleep(pause)
+            spark._jvm.System.gc()
     if not _written:
         atexit.register(_sweep)
     _written.append((spark, path))
@@ -69,6 +75,11 @@ def _sweep() -> None:
             return
 
 
+def row_schema(row: DataType, columns: str) -> StructType:
+    """A column row of that type, and the columns of a DDL string: names inside of row may be anything."""
+    return StructType([StructField("row", row), *StructType.fromDDL(columns).fields])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Limits Arrow batches to BATCH_ROWS rows unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Null ends and loops link nothing. Each step is two shuffles of the links; their number falls towards one per
     node, and the steps grow with the logarithm of the nodes. Nothing is collected but a count and a checksum.
     """
-    edges = store(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = store(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", free=False)
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = store(small, "links")
+        new = store(small, "links", free=False)
         discard(edges)
         edges = new
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from ._shared import discard, small_batches, store
+from ._shared import discard, row_schema, small_batches, store
 from .near_dedup import linked
 from .words import BLOCK, WHITE, mixed, prefix_powers, shingles, text_word_hashes, word_spans
 
@@ -265,7 +266,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), packed], names=["row", "id", "packed"])
 
 
-def _cut_rows(docs: DataFrame, leave_copies: bool) -> tuple[DataFrame, str]:
+def _cut_rows(docs: DataFrame, leave_copies: bool) -> tuple[DataFrame, DataType]:
     """The rows of `line_dedup` with id, keeper and whole (of copies: `copied` and the text that `cut` leaves them), stored, and the type of row.
 
     Hashes are grouped with map-side minima, so a chunk of a third of all documents is a row per task; texts are chunked once to find
@@ -273,30 +274,32 @@ def _cut_rows(docs: DataFrame, leave_copies: bool) -> tuple[DataFrame, str]:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    found = store(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashed, "doc_id long, hashes array<long>"), "line-chunks")
-    pairs = found.select("doc_id", F.explode("hashes").alias("hash"))
-    groups = pairs.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
-    row_type = rows.schema["row"].dataType.simpleString()
-    packed = rows.mapInArrow(_packed, f"row {row_type}, id long, packed binary")
-
-    def done(listed: DataFrame) -> DataFrame:
-        # dealt by doc_id once, for both groupings and the join with the texts; a document's chunks are listed by the document that keeps them
-        by_keeper = listed.repartition("doc_id").groupBy("doc_id", "keeper").agg(F.collect_list("hash").alias("hashes"))
-        shared = by_keeper.groupBy("doc_id").agg(F.collect_list(F.struct("keeper", "hashes")).alias("shared"))
+    row_type = rows.schema["row"].dataType
+    packed = rows.mapInArrow(_packed, row_schema(row_type, "id long, packed binary"))
+
+    def done(but: DataFrame | None) -> DataFrame:
+        found = store(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashed, "doc_id long, hashes array<long>"), "line-chunks")
+        pairs = found.select("doc_id", F.explode("hashes").alias("hash"))
+        groups = pairs.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
+        groups = groups if but is None else groups.join(but, "hash", "left_anti")
+        # dealt by doc_id once for both groupings; a document's chunks are listed by the document that keeps them
+        by_keeper = pairs.join(groups, "hash").repartition("doc_id").groupBy("doc_id", "keeper").agg(F.collect_list("hash").alias("hashes"))
+        shared = store(by_keeper.groupBy("doc_id").agg(F.collect_list(F.struct("keeper", "hashes")).alias("shared")), "line-shared")
+        discard(found)
         marked = packed.join(shared, packed["id"] == shared["doc_id"], "left").drop("doc_id")
-        return store(marked.mapInArrow(_applied(leave_copies), f"row {row_type}, id long, text string, n_words long, removed_words long, removed_chunks long, keeper long, whole string, contents array<struct<hash:long,content:binary>>"), "line-cut")
+        cut_rows = store(marked.mapInArrow(_applied(leave_copies), row_schema(row_type, "id long, text string, n_words long, removed_words long, removed_chunks long, keeper long, whole string, contents array<struct<hash:long,content:binary>>")), "line-cut")
+        discard(shared)
+        return cut_rows
 
-    listed = pairs.join(groups, "hash")
-    out = done(listed)
+    out = done(None)
     contents = out.select(F.explode("contents").alias("x")).select("x.*")
     differ = contents.groupBy("hash").agg(F.min("content").alias("least"), F.max("content").alias("most")).where("least <> most").select("hash")
-    if not differ.isEmpty():  # a collision of 64-bit hashes: cut anew without these chunks
-        bad = store(differ, "line-collisions")
+    bad = store(differ, "line-collisions")
+    if not bad.isEmpty():  # contents of equal 64-bit hashes: cut anew without these chunks
         discard(out)
-        out = done(listed.join(bad, "hash", "left_anti"))
-        discard(bad)
-    discard(found)
+        out = done(bad)
+    discard(bad)
     return out.drop("contents"), row_type
 
 
@@ -320,6 +323,6 @@ def without_repeated_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
     done, row_type = _cut_rows(docs, True)
     copies, others = done.where("keeper is not null"), done.where("keeper is null")
     kept = others.select(F.col("id").alias("keeper"), F.col("text").alias("kept")).join(copies.select("keeper").distinct(), "keeper", "left_semi").groupBy("keeper").agg(F.min("kept").alias("kept"))
-    told = copies.join(kept, "keeper", "left").select("row", "text", "whole", "kept").mapInArrow(_compared(percent), f"row {row_type}, text string, whole string, near boolean")
+    told = copies.join(kept, "keeper", "left").select("row", "text", "whole", "kept").mapInArrow(_compared(percent), row_schema(row_type, "text string, whole string, near boolean"))
     out = others.select("row", "text").unionByName(told.select("row", F.when(F.col("near"), F.col("whole")).otherwise(F.col("text")).alias("text")))
     return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
