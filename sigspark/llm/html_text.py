@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -184,6 +185,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     total = max(1, nodes[0].chars)
     rows = []
     paths: list[tuple[float, ...]] = []
+    tags = [Counter(c.tag for c in node.children) for node in nodes]
     for node in nodes:
         up = node.parent
         own = _tokens(node.tag, " ".join(node.attrs.get(k, "") for k in ("class", "id", "role")))
@@ -192,7 +194,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         path = tuple(map(max, flags, paths[up.index])) if up else flags
         paths.append(path)
         siblings = up.children if up else [node]
-        same = sum(s.tag == node.tag for s in siblings) if len(siblings) < 200 else 200
+        same = tags[up.index][node.tag] if up else 1
         held = max(1, up.chars if up else node.chars)
         before = siblings[node.place - 1].chars if node.place else 0
         after = siblings[node.place + 1].chars if node.place + 1 < len(siblings) else 0

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import small_batches
 from .words import NOT_WORD, text_sentences
@@ -170,9 +171,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for b in batches:
-            yield b.filter(pa.array([x[0] < THRESHOLD for x in _document_scores(model, table, b.column("text").to_pylist())], pa.bool_()))
+            kept = pa.array([x[0] < THRESHOLD for x in _document_scores(model, table, b.column("text").to_pylist())], pa.bool_())
+            yield b.select(["row"]).filter(kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")  # columns may have any names
+    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select("row.*")
 
 
 def offending_sentences(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -64,6 +64,20 @@ def test_sources_come_near_their_targets(spark):
     for r in got:
         assert r.source_size == size[source[r.doc_id]] and r.target == pytest.approx(want[source[r.doc_id]])
     assert all(abs(taken[s] - want[s]) <= BLOCK_WORDS for s in names)
+    # whole passes of a source, then its first blocks: all of a document, nothing, or, of one, its first words
+    seats = dict(zip(names, seats_one_by_one([want[s] for s in names], round(sum(want.values()) / BLOCK_WORDS)), strict=True))
+    for name in names:
+        take = min(seats[name] * BLOCK_WORDS, 3 * size[name])
+        passes, rest = divmod(take, size[name]) if size[name] else (0, 0)
+        more = [(r.taken - passes * r.size, r.size) for r in got if source[r.doc_id] == name]
+        assert sum(m for m, _ in more) == rest and all(0 <= m <= n for m, n in more) and sum(0 < m < n for m, n in more) <= 1
+
+
+def test_rows_of_one_doc_id_stand_in_one_order(spark):
+    rows = [(7, f"{w} one two three four", "a", "x") for w in "abcdefghij"] + [(8, "word " * 400, "b", "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = [sorted(r.text for r in mixed_documents(docs.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert taken[0] == taken[1] == taken[2]
 
 
 def test_small_shards_keep_the_totals(spark):
