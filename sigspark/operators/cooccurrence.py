@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finite, odds, odds_smooth
@@ -38,23 +40,29 @@ def expected(alts: DataFrame, samples: DataFrame) -> DataFrame:
     return t.select("alt1", "alt2", F.col("a").alias("obs"), exp.alias("exp"), (F.col("a") - exp).alias("diff"))
 
 
+def _exact_p(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided exact p of a table. The hypergeometric weights over its support come from the ratios of neighbours, as running sums of logarithms."""
+    row, col, n = a + b, a + c, a + b + c + d
+    first = max(0, row + col - n)
+    k = np.arange(first + 1, min(row, col) + 1, dtype=float)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((row - k + 1) * (col - k + 1) / (k * (n - row - col + k))))])
+    w = np.exp(logs - logs.max())
+    return min(1.0, float(w[w <= w[a - first] * (1 + 1e-7)].sum() / w.sum()))
+
+
+def _exact_ps(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    known: dict[tuple, float] = {}
+    return pd.Series([known[t] if t in known else known.setdefault(t, _exact_p(*map(int, t))) for t in zip(a, b, c, d, strict=True)], dtype=float)
+
+
+def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Two-sided p of Fisher's exact test, in Arrow batches: weights up to the observed one, with a tolerance of 1e-7, add up to it."""
+    return F.pandas_udf(_exact_ps, "double")(*(x.cast("long") for x in (a, b, c, d)))
+
+
 def fisher(tables: DataFrame, *keys: str) -> DataFrame:
-    """(keys, p): two-sided exact p of the tables (a, b, c, d).
-
-    The hypergeometric weights over a table's support come from the ratios of neighbours, as running sums of logarithms,
-    so neither factorials nor their table are needed; weights up to the observed one (with a tolerance of 1e-7) add up to p.
-    """
-    a, r, c, n = F.col("a"), F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("a") + F.col("b") + F.col("c") + F.col("d")
-    support = tables.select(*keys, a.alias("a"), r.alias("r"), c.alias("c"), n.alias("n"), F.explode(F.sequence(F.greatest(F.lit(0), r + c - n), F.least(r, c))).alias("k"))
-    first = F.greatest(F.lit(0), F.col("r") + F.col("c") - F.col("n"))
-    k = F.col("k")
-    up = ((F.col("r") - k + 1) * (F.col("c") - k + 1)).cast("double") / F.when(k > first, k * (F.col("n") - F.col("r") - F.col("c") + k))
-    along = Window.partitionBy(*keys).orderBy("k")
-    logs = support.withColumn("w", F.sum(F.when(k == first, 0.0).otherwise(F.ln(up))).over(along))
-    whole = Window.partitionBy(*keys)
-    logs = logs.withColumn("w", F.exp(F.col("w") - F.max("w").over(whole)))
-    seen = F.max(F.when(k == F.col("a"), F.col("w"))).over(whole)
-    return logs.withColumn("seen", seen).groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("w") <= F.col("seen") * (1 + 1e-7), F.col("w"))) / F.sum("w")).alias("p"))
+    """(keys, p): two-sided exact p of the tables (a, b, c, d)."""
+    return tables.select(*keys, fisher_p(*(F.col(x) for x in "abcd")).alias("p"))
 
 
 def fisher_pairs(alts: DataFrame, samples: DataFrame) -> DataFrame:
@@ -62,8 +70,7 @@ def fisher_pairs(alts: DataFrame, samples: DataFrame) -> DataFrame:
     t = contingency(alts, samples)
     cells = [F.col(x) for x in "abcd"]
     share = F.col("a") / F.col("n")
-    out = t.select("alt1", "alt2", F.col("a").alias("co_count"), share.alias("co_percent"), odds(*cells).alias("odds_ratio"), odds_smooth(*cells).alias("odds_smooth"))
-    return out.join(fisher(t, "alt1", "alt2"), ["alt1", "alt2"])
+    return t.select("alt1", "alt2", F.col("a").alias("co_count"), share.alias("co_percent"), odds(*cells).alias("odds_ratio"), odds_smooth(*cells).alias("odds_smooth"), fisher_p(*cells).alias("p"))
 
 
 def by_member(pairs: DataFrame) -> DataFrame:

@@ -30,6 +30,14 @@ def single_slope(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return rows.groupBy(by).agg((F.ln(mean(1)) - F.ln(mean(0))).alias("slope"))
 
 
+def slopes_by_alteration(alts: DataFrame, y: DataFrame) -> DataFrame:
+    """(alt, slope) of the same model for each alteration (sample, feature) and y (sample, y): the samples without it are the total less those with it."""
+    total = F.broadcast(y.agg(F.count("*").alias("n"), F.sum("y").alias("s")))  # one row
+    mine = alts.select("sample", F.col("feature").alias("alt")).distinct().join(y, "sample", "left").groupBy("alt").agg(F.count("y").alias("n1"), F.sum("y").alias("s1"))
+    mean1, mean0 = F.try_divide("s1", "n1"), F.try_divide(F.col("s") - F.col("s1"), F.col("n") - F.col("n1"))
+    return mine.crossJoin(total).select("alt", (F.ln(mean1) - F.ln(mean0)).alias("slope"))
+
+
 def replicates(spark: SparkSession, n0: int = 1000, n1: int = 1000, p: float = 0.8, q: float = 0.2, mu0: float = 100.0, log_fc: float = 1.0, dispersion: float = 0.1, reps: int = 100, seed: int = 44) -> DataFrame:
     """(rep, slope_x, slope_z, theory_z): fitted slopes of all replicates at once, and the expected one of z alone."""
     from math import exp

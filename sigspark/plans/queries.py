@@ -638,10 +638,8 @@ def theory_c1_by_region(spark, sf_dir):
 
 @query(f"{with_views('alt', 'expr')}, y AS (SELECT sample, sum(count) AS y FROM expr GROUP BY 1) SELECT a.feature AS alt, round(ln(avg(y) FILTER (x.sample IS NOT NULL)) - ln(avg(y) FILTER (x.sample IS NULL)), 6) AS slope FROM (SELECT DISTINCT feature FROM alt) a CROSS JOIN y LEFT JOIN alt x ON x.feature = a.feature AND x.sample = y.sample GROUP BY 1")
 def nb_single_slope(spark, sf_dir):
-    alts = v.alterations(spark, sf_dir)
-    y = v.expression(spark, sf_dir).groupBy("sample").agg(F.sum("count").alias("y"))
-    grid = alts.select("feature").distinct().crossJoin(y).join(alts.withColumn("x", F.lit(1)), ["feature", "sample"], "left").fillna(0, subset=["x"])
-    return rounded(theory.single_slope(grid, "feature", "x", "y").withColumnRenamed("feature", "alt"))
+    y = v.expression(spark, sf_dir).groupBy("sample").agg(F.sum("count").cast("double").alias("y"))
+    return rounded(theory.slopes_by_alteration(v.alterations(spark, sf_dir), y))
 
 
 @query()
