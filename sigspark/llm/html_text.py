@@ -6,7 +6,9 @@ it holds main text. The decoding picks the likeliest set of nodes in which a nod
 no kept run stands in a dropped subtree; the texts of the kept runs are the page's main text.
 
 Pages carry no labels, so the trees are fitted to TRAINING_PAGES pages that `training_page` writes, whose main text is known.
-Defined results: null, empty and textless pages give the empty text; broken markup is read as far as browsers would; rows that
+Text runs end at the tags of block elements and at br and hr. Inline elements, images and other void elements, and what is left out amid a line
+(select, button, svg and the like) neither end a run nor split a word: a<img>b reads ab.
+Defined results: null, empty and textless pages give the empty text; very long pages are read whole; an empty table gives an empty result; broken markup is read as far as browsers would; rows that
 repeat give equal results; extra columns are ignored.
 """
 
@@ -32,6 +34,7 @@ TRAINING_PAGES, SEED = 500, 8
 MAX_DEPTH = 200
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BREAKS = frozenset("br hr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 UNREAD = frozenset("head script style noscript template textarea select option button svg math iframe object canvas audio video title datalist".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
@@ -125,9 +128,11 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body", "head"):
             continue
-        flush()
         if tag in VOID:
+            if tag in BREAKS:
+                flush()
             continue
+        flush()
         if closing:
             up = at
             while up.parent and up.tag != tag:

@@ -27,6 +27,32 @@ def test_layouts():
     assert text_of(f"<body><article><p><b>{P}<br><p>{P}</article></body>") == f"{P} {P}"
 
 
+def test_what_ends_a_run():
+    runs = lambda page: [n.text for n in nodes_of(parse(page)) if n.tag == "#text"]
+    assert runs("<p>a<img src=x>b <i>c</i>d</p>") == ["ab cd"] and runs("<p>x<select><option>1</select>y</p>") == ["xy"]
+    assert runs("<p>a<br>b<hr>c<input>d</p>") == ["a", "b", "cd"] and runs("a<div>b</div>c") == ["a", "b", "c"]
+
+
+def test_trees_match_a_walk_through_each():
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(400, 3)).astype(np.float32)
+    model = boost(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=8)
+    for row, z in zip(x[:60], model.logits(x[:60]), strict=True):
+        total = model.start
+        for f, v, leaf in zip(model.feature, model.value, model.leaf, strict=True):
+            node = 0
+            for _ in range(model.depth):
+                node = 2 * node + (2 if row[f[node]] > v[node] else 1)
+            total += leaf[node - (2**model.depth - 1)]
+        assert abs(total - z) < 1e-9
+
+
+def test_sibling_counts_have_no_limit():
+    nodes = nodes_of(parse("<ul>" + "<li>x</li>" * 700 + "<b>y</b><p>z</ul>"))
+    same = {n.tag: row[12] for n, row in zip(nodes, features(nodes), strict=True)}
+    assert same["li"] == 700 and same["p"] == 1
+
+
 def test_held_out_generated_pages():
     rnd, right = random.Random(77), 0
     for _ in range(150):
