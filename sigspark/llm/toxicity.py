@@ -32,7 +32,7 @@ BUCKETS = 1 << 22
 #: Bytes of the prefixes that are features beside the word.
 PREFIXES = (4, 5, 6, 7)
 #: Share of labels that are taken to be wrong either way, penalty on squared weights, documents that must have a feature, and steps of the fit.
-NOISE, PENALTY, LEAST_DOCS, STEPS = 0.02, 0.3, 4, 120
+NOISE, PENALTY, LEAST_DOCS, STEPS = 0.02, 0.1, 4, 120
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[list(b".!?\n")] = True
 _SENTENCE = re.compile(r"[.!?\n]")
