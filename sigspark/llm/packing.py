@@ -224,8 +224,8 @@ def _encoded(path: str):
     return run
 
 
-def nnls(columns: list[tuple[tuple[int, int], ...]], goal: np.ndarray, sweeps: int = 60) -> np.ndarray:
-    """Non-negative x with the least squares of A x - goal, by cyclic coordinate descent; a column is ((row, entry), ...)."""
+def nnls(columns: list[tuple[tuple[int, int], ...]], goal: np.ndarray, sweeps: int = 5000, tol: float = 0.05) -> np.ndarray:
+    """Non-negative x with the least squares of A x - goal, by cyclic coordinate descent until nothing moves by tol; a column is ((row, entry), ...)."""
     x, left = np.zeros(len(columns)), goal.astype(float)
     norms = [sum(v * v for _, v in c) for c in columns]
     for _ in range(sweeps):
@@ -237,7 +237,7 @@ def nnls(columns: list[tuple[tuple[int, int], ...]], goal: np.ndarray, sweeps: i
                 for i, v in c:
                     left[i] -= v * step
                 moved = max(moved, abs(step))
-        if moved < 0.25:
+        if moved < tol:
             break
     return x
 
