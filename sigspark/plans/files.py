@@ -285,16 +285,6 @@ def ppca_generated(spark, sf_dir):
     return rounded(deconfounder.generate(samples, deconfounder.ppca(cov, means, names, 3)))
 
 
-@query()
-def simulate_study(spark, sf_dir):
-    """Counts of 100 synthetic samples: background of near real samples, drawn signatures, their effects, noise."""
-    alts = v.alterations(spark, sf_dir).withColumn("value", F.lit(1))
-    near = simulate.synthetic_samples(v.subtypes(spark, sf_dir), 100).select("sim", F.col("anchor").alias("neighbor"))
-    drawn = simulate.draw_binary(simulate.neighbour_shares(near, alts, alts), 44, 0.02, 0.98).where("value = 1").withColumnRenamed("sim", "sample")
-    summary = evaluate.effect_summary(v.truth(spark, sf_dir)).select("alt", *(F.col(f"{x}_abs").alias(f"{x}_abs_log2fc") for x in ("mean", "median", "max")))
-    return workflows.simulate_expression(v.expression(spark, sf_dir), alts, drawn, summary=summary).counts
-
-
 @query()
 def integrate_files(spark, sf_dir):
     """The blocks of a study read from its files, mapped, aligned and filtered: features per sample."""

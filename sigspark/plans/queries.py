@@ -616,7 +616,7 @@ def quasi_f_tests(spark, sf_dir):
 
 @query()
 def quasi_f_joint(spark, sf_dir):
-    return rounded(differential.quasi_f_joint(v.alterations(spark, sf_dir), v.expression(spark, sf_dir)))
+    return rounded(differential.quasi_f_joint(v.alterations(spark, sf_dir), v.brand_counts(spark, sf_dir)))
 
 
 @query(f"""{with_views('expr')}, z AS (SELECT sample, sum(count) AS size, quantile_cont(count, 0.75) / sum(count) AS q FROM expr GROUP BY 1), rf AS (SELECT sample AS ref, size AS ref_size FROM z ORDER BY abs(q - (SELECT avg(q) FROM z)), sample LIMIT 1),
