@@ -7,7 +7,8 @@ no kept run stands in a dropped subtree; the texts of the kept runs are the page
 
 Pages carry no labels, so the trees are fitted to TRAINING_PAGES pages that `training_page` writes, whose main text is known.
 Text runs end at the tags of block elements and at br and hr. Inline elements, images and other void elements, and what is left out amid a line
-(select, button, svg and the like) neither end a run nor split a word: a<img>b reads ab.
+(select, button, svg and the like) neither end a run nor split a word: a<img>b reads ab. What is left out goes to its own end tag, nested ones of its kind counted, but no
+further than the end tag of the block it stands in or, except for drawings and formulas, the start of a section: an unclosed button or object costs its block's rest, not the page.
 Defined results: null, empty and textless pages give the empty text; very long pages are read whole; an empty table gives an empty result; broken markup is read as far as browsers would; rows that
 repeat give equal results; extra columns are ignored.
 """
@@ -38,6 +39,9 @@ BREAKS = frozenset("br hr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 UNREAD = frozenset("head script style noscript template textarea select option button svg math iframe object canvas audio video title datalist".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
+#: Of what is left out, the kinds that hold others of their kind, and those in which the start of a section is nothing but their content.
+NESTED, DRAWN = frozenset("svg math object canvas audio video".split()), frozenset(("svg", "math"))
+SECTIONS = frozenset("main article section nav aside header footer".split())
 #: Elements that end when one of the others begins, up to the elements that hold them.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -85,6 +89,7 @@ def parse(page: str) -> Node:
     root = Node("body", None)
     at, parts, link, linked = root, [], 0, 0
     pos, end = 0, len(page)
+    unread, level = "", 0
 
     def flush():
         nonlocal parts, linked
@@ -97,10 +102,18 @@ def parse(page: str) -> Node:
 
     def add(s: str):
         nonlocal linked
+        if unread:
+            return
         parts.append(s)
         if link:
             linked += len(s.strip())
 
+    def holds(tag: str) -> bool:
+        up = at
+        while up.parent and up.tag != tag:
+            up = up.parent
+        return up.tag == tag and up.parent is not None
+
     while pos < end:
         m = _TOKEN.search(page, pos)
         if not m:
@@ -112,6 +125,14 @@ def parse(page: str) -> Node:
         if not m[2]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if unread and (closing or tag not in RAW):
+            if tag == unread:
+                level += -1 if closing else tag in NESTED and not m[3].rstrip().endswith("/")
+                unread = unread if level else ""
+                continue
+            if tag in INLINE or tag in VOID or not (holds(tag) if closing else tag in SECTIONS and unread not in DRAWN):
+                continue
+            unread = ""
         if tag in INLINE:
             if tag == "a":
                 link = 0 if closing else 1
@@ -123,8 +144,8 @@ def parse(page: str) -> Node:
                 continue
             if tag == "head":  # its elements are left out one by one
                 continue
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
-            pos = stop.end() if stop else pos
+            if not (tag in DRAWN and m[3].rstrip().endswith("/")):
+                unread, level = tag, 1
             continue
         if tag in ("html", "body", "head"):
             continue

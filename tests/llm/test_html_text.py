@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 
@@ -33,6 +34,54 @@ def test_what_ends_a_run():
     assert runs("<p>a<br>b<hr>c<input>d</p>") == ["a", "b", "cd"] and runs("a<div>b</div>c") == ["a", "b", "c"]
 
 
+def test_unclosed_and_nested_elements_that_are_not_read():
+    menu = '<nav class="menu"><ul><li><a href="/a">Home</a></li></ul>{}</nav>'
+    art = f'<article><h1>A title</h1><p>{P}</p><p>{P} <button>Like</button></p></article><footer><button>Top</button><select><option>en</select> &copy; example</footer>'
+    want = f"A title {P} {P}"
+    for tag in ("button", "video", "canvas", "object", "select", "svg", "audio"):
+        assert text_of(menu.format(f"<{tag}>Menu") + art) == want
+        assert text_of(f'<div class="menu"><a href=x>Home</a><{tag}>More</div>' + art) == want
+        if tag not in ("svg",):
+            assert text_of(f"<{tag}>More" + art) == want
+    runs = lambda page: [n.text for n in nodes_of(parse(page)) if n.tag == "#text"]
+    assert runs("<p>a<svg><g><svg>x</svg>y</g></svg>b<svg/>c</p>") == ["abc"] and runs("<svg><section>x</section></svg>y") == ["y"]
+    assert runs("<p>a<button>b<button>c</button>d</p>") == ["ad"] and runs("<p>a<object><object>b</object>c</object>d</p>") == ["ad"]
+    assert runs("<div>a<video><script></div></script>b</video>c</div>") == ["ac"] and runs("<p>a<button>b</p>c") == ["a", "c"]
+
+
+def test_unclosed_elements_take_linear_time():
+    began = time.time()
+    for tag in ("button", "svg", "object"):
+        assert text_of(f"<nav>{f'<{tag}>x' * 100_000}</nav><article><h1>A title</h1><p>{P}</p></article>") == f"A title {P}"
+    assert time.time() - began < 20
+
+
+def other_layout(rnd):
+    """A page of another make than those the trees are fitted to: tables for layout, names that say nothing, end tags left out; and its main text."""
+    words = "river stone market letter window garden winter engine paper silver simple people number answer travel".split()
+    sentence = lambda k: " ".join(rnd.choice(words) for _ in range(k)).capitalize() + "."
+    paragraphs = [" ".join(sentence(rnd.randint(8, 16)) for _ in range(rnd.randint(2, 5))) for _ in range(rnd.randint(3, 7))]
+    title, links = sentence(5), [f'<a href="/{rnd.choice(words)}">{rnd.choice(words)}</a>' for _ in range(12)]
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{p}" + rnd.choice(["", "</p>"]) for p in paragraphs)
+    kind = rnd.randrange(3)
+    if kind == 0:
+        page = f"<table><tr><td colspan=2>{' | '.join(links[:6])}<tr><td>{'<br>'.join(links[6:])}<td>{body}</table><center>{links[0]} {links[1]}</center>"
+    elif kind == 1:
+        page = f"<div class=c1><ul>{''.join(f'<li>{a}' for a in links)}</ul></div><div class=c2><div class=x7>{body}</div></div><div class=c3>{' '.join(links[:4])}</div>"
+    else:
+        page = f"<header>{' '.join(links[:5])}</header><main>{body}</main><aside><ul>{''.join(f'<li>{a}</li>' for a in links)}</ul></aside><footer>{links[0]}</footer>"
+    return f"<html><body>{page}</body></html>", " ".join([title, *paragraphs])
+
+
+def test_pages_of_other_makes():
+    rnd, right = random.Random(5), 0
+    for _ in range(90):
+        page, want = other_layout(rnd)
+        right += text_of(page) == want
+    print("pages of other makes:", right, "of 90")
+    assert right >= 60
+
+
 def test_trees_match_a_walk_through_each():
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(400, 3)).astype(np.float32)
