@@ -34,8 +34,8 @@ from .words import BLOCK, WHITE, mixed, prefix_powers, shingles, text_word_hashe
 MIN_WORDS, LONG_WORDS = 10, 16
 #: Of so many words that follow each other, one at least is the last of its line, or of its chunk.
 SPAN, WINDOW = 8, 12
-#: A document of so many words that would lose this share of them to one other document may be a copy, if copies are to be left to document dedup.
-COPY_WORDS, COPY_SHARE = 100, 0.8
+#: A document that would lose this share of its words to one other document may be a copy, if copies are to be left to document dedup: their similarity decides.
+COPY_SHARE = 0.25
 _U = np.uint64
 _ROLL = _U(0xD6E8FEB86659FD93)
 _SPACE = bytes(range(9, 14)) + b" "
@@ -180,7 +180,7 @@ def _covered(n: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
 def copied(c: Chunks, removed: dict[int, int]) -> int | None:
     """The document to which this one would lose COPY_SHARE of its words, if there is one."""
     gone, n = _among(c.hash, removed), len(c.start)
-    if n < COPY_WORDS or not gone.any():
+    if not gone.any():
         return None
     keeper = np.array([removed[h] for h in c.hash[gone].view(np.int64).tolist()])
     names, counts = np.unique(keeper, return_counts=True)
@@ -316,7 +316,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs, its columns, with the remaining texts; near-duplicates of what is left of the document that keeps their text are left to document dedup.
 
-    A document of COPY_WORDS words that would lose COPY_SHARE of them to one other document keeps these words only if both remaining
+    A document of any length that would lose COPY_SHARE of its words to one other document keeps these words only if both remaining
     texts reach percent by the measure of `near_dedup`, so that the next stage links them. All others lose their repeated chunks, and
     so do documents whose keeper would itself lose that share. Of a keeper of several rows, one is compared.
     """

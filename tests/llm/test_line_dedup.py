@@ -130,3 +130,17 @@ def test_the_short_last_lines_of_a_passage_are_found():
             shared = np.intersect1d(of_a.hash, c.hash).view(np.int64).tolist()
             text, _, lost, _ = cut(t, c, dict.fromkeys(shared, 0), False)
             assert lost == 60 and text.split() == t.replace(p.encode(), b"").split()
+
+
+def test_near_duplicates_of_any_length_stay_whole(spark):
+    rnd = random.Random(12)
+    rows = []
+    for n in (24, 30, 45, 60, 61, 80, 99, 100, 101, 150, 300):
+        for marks in (6, 15, 0):
+            words = [f"w{rnd.randrange(5000)}" + ("." if marks and rnd.random() < 1 / marks else "") for _ in range(n)]
+            other = [*words[:-1], "end"]
+            if n >= 60:
+                other[n // 2] = "changed"
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    left = {r.doc_id: r.text for r in without_repeated_lines(spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS), 80).collect()}
+    assert [d for d, t in rows if left[d] != t] == []
