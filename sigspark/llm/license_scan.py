@@ -6,8 +6,9 @@ a template T can only reach |B and T| >= need if they share a token among the fi
 if |B| >= need (length filter), and if enough tokens follow the shared one on both sides (positional filter); pairs that pass are
 counted in full, so the join is exact. Blocks keep known tokens only: others cannot be shared.
 
-Templates of up to SHORT tokens have to be there in full, longer ones by THRESHOLD of their tokens. Of a license's name, the words `having` have to be
-in the block, and those of a like license, `lacking`, must not. A block then keeps its best template: by containment, shared tokens, order.
+Templates of up to SHORT tokens have to be there in full and in their order, longer ones by THRESHOLD of their tokens, within a span of the block that is
+little longer than the template; of a license's name the words `having` have to be in that span, and those of a like license, `lacking`, must not. Every template that is
+met gives its label: a text under two licenses has both, even side by side.
 
 Defined results: null and empty texts have no words, null places, empty labels and score 0; equal texts have equal results; very long
 texts are scanned whole; an empty table gives an empty result; extra columns are ignored. The vocabulary, its frequencies and the template
@@ -55,8 +56,22 @@ TEMPLATES = (
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution", "sharealike noncommercial noderivatives"),
     Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons attribution sharealike", "noncommercial"),
     Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution noncommercial", "sharealike noderivatives"),
+    Template("cc-by", "Licensed under CC BY 4.0."),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     Template("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     Template("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
+    Template("apache", "SPDX-License-Identifier: Apache"),
+    Template("mit", "SPDX-License-Identifier: MIT"),
+    Template("gpl", "SPDX-License-Identifier: GPL"),
+    Template("lgpl", "SPDX-License-Identifier: LGPL"),
+    Template("agpl", "SPDX-License-Identifier: AGPL"),
+    Template("bsd", "SPDX-License-Identifier: BSD"),
+    Template("isc", "SPDX-License-Identifier: ISC"),
+    Template("mpl", "SPDX-License-Identifier: MPL"),
+    Template("unlicense", "SPDX-License-Identifier: Unlicense"),
+    Template("cc-by", "SPDX-License-Identifier: CC-BY", "", "sa nc nd"),
+    Template("cc-by-sa", "SPDX-License-Identifier: CC-BY-SA"),
+    Template("cc-by-nc", "SPDX-License-Identifier: CC-BY-NC", "", "sa nd"),
     Template("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "reserved"),
 )
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -73,9 +88,15 @@ def need(n: int) -> int:
     return n if n <= SHORT else -(-n * THRESHOLD.numerator // THRESHOLD.denominator)
 
 
+def span(t: Template) -> int:
+    """Words of a text among which the template has to be found: its own number and an eighth more, 2 at least."""
+    n = len(re.findall("[0-9a-z]+", t.text.lower()))
+    return n + max(2, n // 8)
+
+
 def block_step(templates: Sequence[Template]) -> int:
-    """Words from block to block, half of a block: the power of 2 that holds the longest template."""
-    return 1 << (max(len(re.findall("[0-9a-z]+", t.text.lower())) for t in templates) - 1).bit_length()
+    """Words from block to block, half of a block: the power of 2 that holds the longest span. A span is looked for in the block in whose first half it begins."""
+    return 1 << (max(map(span, templates)) - 1).bit_length()
 
 
 def _lowered(text: Column) -> Column:
@@ -120,7 +141,7 @@ def token_order(docs: DataFrame, vocabulary: Sequence[str]) -> list[str]:
 
 
 def template_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
-    """Per distinct text (key, check: two hashes of it) the labels of the best templates of its blocks, and the best containment."""
+    """Per distinct text (key, check: two hashes of it) the labels of all templates that it meets, and the best containment."""
     spark, step = docs.sparkSession, block_step(templates)
     sets = [tokens(t.text) for t in templates]
     lacking = [t.lacking.split() for t in templates]
@@ -129,19 +150,22 @@ def template_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES)
     index = []
     for k, (t, words) in enumerate(zip(templates, sets, strict=True)):
         ranked = sorted(words, key=at.__getitem__)
-        index += [(w, i, len(ranked), need(len(ranked)), k, t.label, ranked, t.having.split(), lacking[k]) for i, w in enumerate(ranked[: len(ranked) - need(len(ranked)) + 1])]
-    index = F.broadcast(spark.createDataFrame(index, "token string, i int, t int, need int, template int, label string, words array<string>, having array<string>, lacking array<string>"))  # at most the templates' tokens
+        index += [(w, i, len(ranked), need(len(ranked)), k, t.label, ranked, words, span(t), t.having.split(), lacking[k]) for i, w in enumerate(ranked[: len(ranked) - need(len(ranked)) + 1])]
+    index = F.broadcast(spark.createDataFrame(index, "token string, i int, t int, need int, template int, label string, words array<string>, ordered array<string>, span int, having array<string>, lacking array<string>"))  # at most the templates' tokens
     least = min(need(len(s)) for s in sets)
     words = docs.select(F.xxhash64("text").alias("key"), F.hash("text").alias("check"), _words(_lowered(F.col("text"))).alias("words")).where("size(words) > 0")
-    known = F.expr(f"transform(sequence(0, size(words) - 1, {step}), s -> filter(slice(words, s + 1, {2 * step}), w -> w in ({_literal(order)})))")
-    blocks = words.select("key", "check", F.posexplode(known).alias("place", "block")).where(f"size(block) >= {least}")
-    blocks = blocks.select("key", "check", "place", F.expr(f"array_intersect(array({_literal(order)}), block)").alias("block")).where(f"size(block) >= {least}")
-    prefix = blocks.select("key", "check", "place", "block", F.posexplode(F.expr(f"slice(block, 1, size(block) - {least} + 1)")).alias("j", "token"))
+    # words that no template has count for spans, so a block that may meet one keeps them all
+    part = F.expr(f"transform(sequence(0, size(words) - 1, {step}), s -> named_struct('raw', slice(words, s + 1, {2 * step}), 'block', array_intersect(array({_literal(order)}), slice(words, s + 1, {2 * step}))))")
+    blocks = words.select("key", "check", F.posexplode(F.filter(part, lambda x: F.size(x["block"]) >= least)).alias("place", "x")).select("key", "check", "place", "x.raw", "x.block")
+    prefix = blocks.select("key", "check", "place", "raw", "block", F.posexplode(F.expr(f"slice(block, 1, size(block) - {least} + 1)")).alias("j", "token"))
     pairs = prefix.join(index, "token").where("size(block) >= need and j <= size(block) - need and 1 + least(t - i - 1, size(block) - j - 1) >= need")
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect("words", "block"))).where("shared >= need and size(array_except(having, block)) = 0 and not arrays_overlap(lacking, block)")
-    rank = F.struct((F.col("shared") / F.col("t")).alias("part"), "shared", (-F.col("template")).alias("order"), "label")
-    best = pairs.groupBy("key", "check", "place").agg(F.max(rank).alias("best"))
-    return best.groupBy("key", "check").agg(F.collect_set("best.label").alias("found"), F.max("best.part").alias("best"))
+    pairs = pairs.where("size(array_intersect(words, block)) >= need and size(array_except(having, block)) = 0")
+    met = f"""size(array_intersect(words, x)) >= need and size(array_except(having, x)) = 0 and not arrays_overlap(lacking, x)
+        and (t > {SHORT} or transform(ordered, w -> array_position(x, w)) = array_sort(transform(ordered, w -> array_position(x, w))))"""
+    spans = f"transform(filter(sequence(0, least({step}, size(raw)) - 1), i -> array_contains(words, raw[i])), i -> slice(raw, i + 1, span))"
+    shared = F.expr(f"array_max(transform(filter({spans}, x -> {met}), x -> size(array_intersect(words, x))))")
+    pairs = pairs.withColumn("shared", shared).where("shared is not null")
+    return pairs.groupBy("key", "check").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("t")).alias("best"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -167,20 +191,24 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB SQL, without the filters: every block against every template."""
+    """The same in DuckDB SQL, without the filters: every span of the blocks that hold enough tokens of a template."""
     step = block_step(TEMPLATES)
     strings = lambda words: f"[{_literal(words)}]::VARCHAR[]"
-    values = ", ".join(f"({k}, '{t.label}', {strings(tokens(t.text))}, {need(len(tokens(t.text)))}, {strings(t.having.split())}, {strings(t.lacking.split())})" for k, t in enumerate(TEMPLATES))
+    values = ", ".join(f"({k}, '{t.label}', {strings(tokens(t.text))}, {need(len(tokens(t.text)))}, {span(t)}, {strings(t.having.split())}, {strings(t.lacking.split())})" for k, t in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{label}', [{_literal(p.split())}])" for p, label in PHRASES)
     return f"""
-        WITH templates(k, label, words, need, having_, lacking) AS (VALUES {values}), phrases(label, words) AS (VALUES {phrases}),
+        WITH templates(k, label, words, need, span, having_, lacking) AS (VALUES {values}), phrases(label, words) AS (VALUES {phrases}),
         d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}+') AS words FROM documents),
         places AS (SELECT rid, label, len(p.words) AS size, unnest(list_filter(range(len(d.words)), lambda i: d.words[i + 1 : i + len(p.words)] = p.words)) AS pos FROM d, phrases p),
         base AS (SELECT rid, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS found FROM places GROUP BY rid),
-        blocks AS (SELECT rid, pos, list_distinct(words[pos + 1 : pos + {2 * step}]) AS block FROM (SELECT rid, words, unnest(range(0, len(words), {step})) AS pos FROM d)),
-        pairs AS (SELECT rid, pos, k, label, need, len(t.words) AS t, len(list_intersect(t.words, block)) AS shared FROM blocks, templates t WHERE list_has_all(block, having_) AND NOT list_has_any(block, lacking)),
-        top AS (SELECT rid, label, shared / t AS part, row_number() OVER (PARTITION BY rid, pos ORDER BY shared / t DESC, shared DESC, k) AS place FROM pairs WHERE shared >= need),
-        found AS (SELECT rid, list(DISTINCT label) AS found, max(part) AS best FROM top WHERE place = 1 GROUP BY rid)
+        tok AS (SELECT k, need, unnest(words) AS w FROM templates), places_of AS (SELECT rid, generate_subscripts(words, 1) - 1 AS pos, unnest(words) AS w FROM d),
+        near AS (SELECT rid, k, need, w, unnest([pos // {step}, pos // {step} - 1]) AS b FROM places_of JOIN tok USING (w)),
+        blocks AS (SELECT rid, k, b FROM near WHERE b >= 0 GROUP BY rid, k, need, b HAVING count(DISTINCT w) >= need),
+        starts AS (SELECT rid, label, t.words, need, span, having_, lacking, d.words AS all_, unnest(range(b * {step} + 1, least((b + 1) * {step}, len(d.words)) + 1)) AS i FROM blocks JOIN templates t USING (k) JOIN d USING (rid)),
+        spans AS (SELECT rid, label, words, need, having_, lacking, all_[i : i + span - 1] AS x FROM starts WHERE list_contains(words, all_[i])),
+        met AS (SELECT rid, label, len(list_intersect(words, x)) / len(words) AS part FROM spans WHERE len(list_intersect(words, x)) >= need AND list_has_all(x, having_) AND NOT list_has_any(x, lacking)
+                AND (len(words) > {SHORT} OR list_transform(words, lambda w: list_position(x, w)) = list_sort(list_transform(words, lambda w: list_position(x, w))))),
+        found AS (SELECT rid, list(DISTINCT label) AS found, max(part) AS best FROM met GROUP BY rid)
         SELECT doc_id, len(words) AS n_words, coalesce(b.n, 0) AS n_base, first_word, last_word, coalesce(list_aggregate(b.found, 'string_agg', ','), '') AS base_labels,
                coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(f.found, [])))), 'string_agg', ','), '') AS labels,
                greatest(coalesce(best, 0.0), CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
