@@ -27,11 +27,9 @@ _HALF_NORMAL = 0.6744897501960817
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after eight steps up."""
-    y = x + 8
-    inner = x * (x + 1) * (x + 2) * (x + 3)
-    inner = np.log(inner) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    y, u = x + 8, x * (x + 7)
     v = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - v * (1 / 360 - v * (1 / 1260 - v / 1680))) / y - inner
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - v * (1 / 360 - v * (1 / 1260 - v / 1680))) / y - np.log(u * (u + 6) * (u + 10) * (u + 12))
 
 
 class Group:
@@ -42,37 +40,42 @@ class Group:
         bins = np.array_split(np.sort(sizes), min(BINS, len(sizes)))
         self.bin_size, self.bin_n = np.array([b.mean() for b in bins]), np.array([len(b) for b in bins])
         self.total = np.bincount(gene, count / size, minlength=genes)
-        self.mean = self.total / self.n
+        self.mean, self.cells = self.total / self.n, np.bincount(gene, minlength=genes)
 
-    def sums(self, f, *by_gene: np.ndarray, zeros=None) -> np.ndarray:
-        """Per gene the sum of f(count, size, ...) over all samples; zeros(size, ...) is f at a count of 0."""
-        at = [v[self.gene] for v in by_gene]
-        own = f(self.count, self.size, *at) - zeros(self.size, *at)
-        rest = zeros(self.bin_size[None, :], *(v[:, None] for v in by_gene)) @ self.bin_n
-        return np.bincount(self.gene, own, minlength=self.genes) + rest
+    def over_cells(self, f, *by_gene: np.ndarray) -> np.ndarray:
+        """Per gene the sum of f(count, size, ...) over the cells that exist."""
+        return np.bincount(self.gene, f(self.count, self.size, *(v[self.gene] for v in by_gene)), minlength=self.genes)
+
+    def over_samples(self, f, *by_gene: np.ndarray) -> np.ndarray:
+        """Per gene the sum of f(size, ...) over all samples, whatever their counts."""
+        return f(self.bin_size[None, :], *(v[:, None] for v in by_gene)) @ self.bin_n
 
 
 def _mu(size: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.maximum(size * q, LEAST)
 
 
+def _weight(size: np.ndarray, q: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    m = _mu(size, q)
+    return m / (1 + alpha * m)
+
+
 def profile(groups: list[Group], log_alpha: np.ndarray) -> np.ndarray:
-    """Per gene the log-likelihood of its dispersion, but for a constant, with the Cox-Reid term."""
+    """Per gene the log-likelihood of its dispersion, but for a constant, with the Cox-Reid term. What a sample adds beyond a count of 0 is its cell's."""
     alpha, out = np.exp(log_alpha), 0.0
-    for g in groups:
-        zeros = lambda s, q, a: -np.log1p(a * _mu(s, q)) / a
 
-        def cell(k, s, q, a):
-            m = _mu(s, q)
-            return log_gamma(k + 1 / a) - log_gamma(1 / a) + k * np.log(a * m / (1 + a * m)) - np.log1p(a * m) / a
+    def cell(k, s, q, a):
+        m = a * _mu(s, q)
+        return log_gamma(k + 1 / a) + k * np.log(m / (1 + m))
 
-        weight = lambda s, q, a: _mu(s, q) / (1 + a * _mu(s, q))
-        out = out + g.sums(cell, g.mean, alpha, zeros=zeros) - 0.5 * np.log(g.sums(lambda k, s, q, a: weight(s, q, a), g.mean, alpha, zeros=weight))
+    for g in groups:
+        out = out + g.over_cells(cell, g.mean, alpha) - g.cells * log_gamma(1 / alpha)
+        out = out - g.over_samples(lambda s, q, a: np.log1p(a * _mu(s, q)), g.mean, alpha) / alpha - 0.5 * np.log(g.over_samples(_weight, g.mean, alpha))
     return out
 
 
-def maximised(value, low: float, high: float, genes: int, coarse: int = 14, steps: int = 26) -> np.ndarray:
-    """Per gene the argument between low and high at which value(arguments) is largest: the best of a coarse grid, then golden sections around it."""
+def maximised(value, low: float, high: float, genes: int, coarse: int = 12, steps: int = 9) -> np.ndarray:
+    """Per gene the argument between low and high at which value(arguments) is largest: the best of a coarse grid, golden sections around it, and the top of a parabola."""
     grid = np.linspace(low, high, coarse)
     best = np.stack([value(np.full(genes, x)) for x in grid]).argmax(axis=0)
     a, b = grid[np.maximum(best - 1, 0)], grid[np.minimum(best + 1, coarse - 1)]
@@ -85,7 +88,12 @@ def maximised(value, low: float, high: float, genes: int, coarse: int = 14, step
         new = np.where(left, b - ratio * (b - a), a + ratio * (b - a))
         f = value(new)
         x, y, fx, fy = np.where(left, new, y), np.where(left, x, new), np.where(left, f, fy), np.where(left, fx, f)
-    return (a + b) / 2
+    mid, half = (a + b) / 2, (b - a) / 2
+    fa, fm, fb = value(a), value(mid), value(b)
+    bend = fa - 2 * fm + fb
+    with np.errstate(divide="ignore", invalid="ignore"):
+        top = np.where(bend < 0, half * (fa - fb) / (2 * bend), np.where(fa > fb, -half, half))
+    return mid + np.clip(top, -half, half)
 
 
 def gene_wise(groups: list[Group]) -> np.ndarray:
@@ -105,15 +113,15 @@ def fold_changes(groups: list[Group], alpha: np.ndarray, rounds: int = 30) -> tu
     for g in groups:
         q = np.maximum(g.mean, LEAST / 10)
         for _ in range(rounds):
-            weight = lambda s, q, a: _mu(s, q) / (1 + a * _mu(s, q))
-            work = lambda k, s, q, a: weight(s, q, a) * (np.log(_mu(s, q) / s) + (k - _mu(s, q)) / _mu(s, q))
-            w = g.sums(lambda k, s, q, a: weight(s, q, a), q, alpha, zeros=weight)
-            new = np.exp(np.clip(g.sums(work, q, alpha, zeros=lambda s, q, a: work(0.0, s, q, a)) / w, -30, 30))
+            # the working value is log(mu / size) + (count - mu) / mu: a count adds count / (1 + alpha mu) to its weighted sum
+            zero = g.over_samples(lambda s, m, a: _weight(s, m, a) * (np.log(_mu(s, m) / s) - 1), q, alpha)
+            own = g.over_cells(lambda k, s, m, a: k / (1 + a * _mu(s, m)), q, alpha)
+            new = np.exp(np.clip((zero + own) / g.over_samples(_weight, q, alpha), -30, 30))
             moved, q = np.abs(np.log(new / q)).max(initial=0.0), new
             if moved < 1e-8:
                 break
         level.append(np.log(q))
-        information.append(g.sums(lambda k, s, q, a: weight(s, q, a), q, alpha, zeros=weight))
+        information.append(g.over_samples(_weight, q, alpha))
     return level[0] - level[1], np.sqrt(1 / information[0] + 1 / information[1])
 
 
