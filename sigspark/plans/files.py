@@ -21,7 +21,7 @@ __all__ = ["QUERIES", "SQL"]
 
 def _written(rows: DataFrame, column: str, value: str, **options) -> str:
     path = f"{scratch.folder(rows.sparkSession)}/table.csv"
-    writers.write_csv(writers.wide(rows, column, value), path, **options)
+    writers.write_matrix(rows, column, value, path, **options)
     return path
 
 
@@ -30,14 +30,14 @@ def source_copy_numbers(spark, sf_dir):
     return readers.read_cna(spark, _written(v.copies(spark, sf_dir), "gene", "value"), genes_in_rows=False)
 
 
-@query(f"{with_views('brand')} SELECT sample, gene, count::DOUBLE AS count FROM brand WHERE count <> 0")
+@query(f"{with_views('expr')} SELECT sample, gene, count::DOUBLE AS count FROM expr WHERE count <> 0")
 def source_expression(spark, sf_dir):
-    return readers.read_rna(spark, _written(v.brand_counts(spark, sf_dir), "gene", "count", compress=True)).where("count <> 0")
+    return readers.read_rna(spark, _written(v.expression(spark, sf_dir), "gene", "count", compress=True)).where("count <> 0")
 
 
-@query(f"{with_views('brand')} SELECT DISTINCT gene FROM brand")
+@query(f"{with_views('expr')} SELECT DISTINCT gene FROM expr")
 def source_gene_universe(spark, sf_dir):
-    return readers.gene_universe(spark, _written(v.brand_counts(spark, sf_dir), "gene", "count"))
+    return readers.gene_universe(spark, _written(v.expression(spark, sf_dir), "gene", "count"))
 
 
 @query(f"{with_views('alt')} SELECT sample, feature, 1 AS value FROM alt")
@@ -113,9 +113,9 @@ def source_summary(spark, sf_dir):
     return rounded(readers.read_summary(spark, path))
 
 
-@query(f"{with_views('alt', 'brand')} SELECT 'alteration' AS kind, sample, feature AS name, 1.0::DOUBLE AS value FROM alt UNION ALL SELECT 'count', sample, gene, count::DOUBLE FROM brand WHERE count <> 0 UNION ALL SELECT 'real', sample, gene, count::DOUBLE FROM brand WHERE count <> 0")
+@query(f"{with_views('alt', 'expr')} SELECT 'alteration' AS kind, sample, feature AS name, 1.0::DOUBLE AS value FROM alt UNION ALL SELECT 'count', sample, gene, count::DOUBLE FROM expr WHERE count <> 0 UNION ALL SELECT 'real', sample, gene, count::DOUBLE FROM expr WHERE count <> 0")
 def sink_simulation(spark, sf_dir):
-    out, counts = scratch.folder(spark), v.brand_counts(spark, sf_dir)
+    out, counts = scratch.folder(spark), v.expression(spark, sf_dir)
     writers.write_simulation(out, "DRIVER", counts, v.alterations(spark, sf_dir).withColumn("value", F.lit(1)), v.truth(spark, sf_dir), compress=True, rna_real=counts, alt_gistic=None)
     named = lambda kind, df, c, x: df.select(F.lit(kind).alias("kind"), "sample", F.col(c).alias("name"), F.col(x).cast("double").alias("value"))
     back = [named(kind, readers.read_rna(spark, f"{out}/{name}_DRIVER.csv").where("count <> 0"), "gene", "count") for kind, name in (("count", "rna_simulated"), ("real", "rna_real"))]
@@ -131,28 +131,28 @@ def sink_robustness(spark, sf_dir):
     return back.select("query_alteration", "alt1", "alt2", F.col("co_count").cast("long").alias("co_count"))
 
 
-_BRANDS = "SELECT alt, gene FROM (SELECT alt, gene, row_number() OVER (PARTITION BY alt ORDER BY md5(concat_ws('|', '{0}', alt, gene)), gene) AS place FROM (SELECT DISTINCT feature AS alt FROM alt) a, (SELECT DISTINCT gene FROM brand) g) WHERE place <= {1}"
+_PICKS = "SELECT alt, gene FROM (SELECT alt, gene, row_number() OVER (PARTITION BY alt ORDER BY md5(concat_ws('|', '{0}', alt, gene)), gene) AS place FROM (SELECT DISTINCT feature AS alt FROM alt) a, (SELECT DISTINCT gene FROM expr) g) WHERE place <= {1}"
 
 
-def _brand_picks(spark, sf_dir, tag: str, n: int) -> DataFrame:
+def _gene_picks(spark, sf_dir, tag: str, n: int) -> DataFrame:
     from pyspark.sql import Window
 
     alts = v.alterations(spark, sf_dir).select(F.col("feature").alias("alt")).distinct()
     order = Window.partitionBy("alt").orderBy(F.md5(F.concat_ws("|", F.lit(tag), "alt", "gene")), "gene")
-    return alts.crossJoin(v.brand_counts(spark, sf_dir).select("gene").distinct()).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("alt", "gene")
+    return alts.crossJoin(v.expression(spark, sf_dir).select("gene").distinct()).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("alt", "gene")
 
 
-@query(f"""{with_views('alt', 'brand')}, t AS ({_BRANDS.format('btruth', 8)}), p AS (SELECT 'half' AS method, * FROM ({_BRANDS.format('btruth', 4)}) UNION ALL SELECT 'guess', * FROM ({_BRANDS.format('bguess', 8)})), n AS (SELECT count(DISTINCT gene) AS n FROM brand),
+@query(f"""{with_views('alt', 'expr')}, t AS ({_PICKS.format('btruth', 8)}), p AS (SELECT 'half' AS method, * FROM ({_PICKS.format('btruth', 4)}) UNION ALL SELECT 'guess', * FROM ({_PICKS.format('bguess', 8)})), n AS (SELECT count(DISTINCT gene) AS n FROM expr),
     k AS (SELECT method, p.alt, count(*) AS said, count(t.gene) AS tp FROM p LEFT JOIN t USING (alt, gene) GROUP BY 1, 2), s AS (SELECT *, tp / said AS precision, tp / 8 AS recall, (n - said - 8 + 2 * tp) / n AS accuracy, tp / (said + 8 - tp) AS jaccard FROM k, n)
     SELECT method, round(avg(CASE WHEN tp > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END), 6) AS f1, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(accuracy), 6) AS accuracy, round(avg(jaccard), 6) AS jaccard, count(*) AS n_signatures_evaluated, 'DRIVER' AS dataset FROM s GROUP BY 1""")
 def evaluate_folder(spark, sf_dir):
     """A data set's folder is written, read as a bundle, scored, and its results are written and read again."""
     base = scratch.folder(spark)
     at, out = f"{base}/DRIVER", f"{base}/out"
-    truth = _brand_picks(spark, sf_dir, "btruth", 8).withColumn("log2fc", F.lit(1.0))
-    said = _brand_picks(spark, sf_dir, "btruth", 4).withColumn("method", F.lit("half")).unionByName(_brand_picks(spark, sf_dir, "bguess", 8).withColumn("method", F.lit("guess")))
-    writers.write_csv(writers.wide(v.alterations(spark, sf_dir).withColumn("value", F.lit(1)), "feature", "value"), f"{at}/alterations_DRIVER.csv")
-    writers.write_csv(writers.wide(v.brand_counts(spark, sf_dir), "gene", "count"), f"{at}/rna_simulated_DRIVER.csv")
+    truth = _gene_picks(spark, sf_dir, "btruth", 8).withColumn("log2fc", F.lit(1.0))
+    said = _gene_picks(spark, sf_dir, "btruth", 4).withColumn("method", F.lit("half")).unionByName(_gene_picks(spark, sf_dir, "bguess", 8).withColumn("method", F.lit("guess")))
+    writers.write_matrix(v.alterations(spark, sf_dir).withColumn("value", F.lit(1)), "feature", "value", f"{at}/alterations_DRIVER.csv")
+    writers.write_matrix(v.expression(spark, sf_dir), "gene", "count", f"{at}/rna_simulated_DRIVER.csv")
     for rows, name in ((_signatures(truth), "true_signatures"), (said.groupBy("alt", "method").agg(F.collect_list("gene").alias("genes")).groupBy("alt").agg(F.map_from_entries(F.collect_list(F.struct("method", "genes"))).alias("sig")), "signatures")):
         rows.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("alt", "sig")))).alias("value")).write.text(f"{at}/{name}_DRIVER.json")
     workflows.evaluate_dataset(spark, "DRIVER", base, out, filter_alts=False)
@@ -291,10 +291,10 @@ def integrate_files(spark, sf_dir):
     base = scratch.folder(spark)
     paths = {n: f"{base}/{n}" for n in ("maf", "cna", "fusion", "clinical", "rna")}
     v.variants(spark, sf_dir).select(F.col("sample").alias("Tumor_Sample_Barcode"), F.col("gene").alias("Hugo_Symbol"), F.col("variant").alias("Variant_Classification")).write.option("sep", "\t").option("header", True).csv(paths["maf"])
-    writers.write_csv(writers.wide(v.copies(spark, sf_dir), "gene", "value"), paths["cna"])
+    writers.write_matrix(v.copies(spark, sf_dir), "gene", "value", paths["cna"])
     writers.write_csv(v.fusions(spark, sf_dir).select(F.col("sample").alias("sample_id"), F.concat("site1", F.lit("--"), "site2").alias("fusion_name")), paths["fusion"])
     writers.write_csv(v.customers(spark, sf_dir).select(F.col("sample").alias("Patient"), F.col("c_mktsegment").alias("Subtype")), paths["clinical"])
-    writers.write_csv(writers.wide(v.brand_counts(spark, sf_dir), "gene", "count"), paths["rna"])
+    writers.write_matrix(v.expression(spark, sf_dir), "gene", "count", paths["rna"])
     study = workflows.integrate(spark, paths["maf"], paths["cna"], paths["fusion"], paths["clinical"], paths["clinical"], paths["rna"], "DRIVER", "ALL", cna_genes_in_rows=False, metadata_rows=0)
     rows = [(name, df.select("sample", "feature")) for name, df in (("mutation", study.mutations), ("cna", study.cna), ("fusion", study.fusions))]
     out = None

@@ -44,19 +44,34 @@ def read_table(spark: SparkSession, path: str, comment: str | None = None, mode:
     return df.toDF(*names)
 
 
-def _long(df: DataFrame, key: str, columns: list[str], name: str, value: str = "value") -> DataFrame:
-    return df.unpivot([F.col(f"`{key}`")], [F.col(f"`{c}`") for c in columns], name, value)
+def fields(line: Column, sep: str) -> Column:
+    """The fields of a delimited line as an array: split at once, or, where there are quotes, taken one by one. Empty ones are null."""
+    s = "\\t" if sep == "\t" else f"\\{sep}"
+    quoted = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{s}("(?:[^"\\]|\\.|"")*"|[^{s}]*)'), F.lit(1))
+    plain = F.transform(quoted, lambda x: F.when(x.startswith('"'), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r'\\(.)|"(")', "$1$2")).otherwise(x))
+    return F.transform(F.when(line.contains('"'), plain).otherwise(F.split(line, s, -1)), lambda x: F.when(x != "", x))
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(row, name, value) of a wide delimited file: its first column, the header of each other column, and the cell as text, null where it is empty or missing.
+
+    Lines are split into arrays, so thousands of columns are one column to Spark. Every file of a folder begins with the header. Quoted fields don't go over lines.
+    """
+    line = first_line(spark, path, None)
+    sep = delimiter(line)
+    names = spark.createDataFrame([(line,)], "line string").select(F.transform(fields(F.col("line"), sep), lambda x: F.trim(x)).alias("names"))  # one row
+    rows = spark.read.text(path).where((F.col("value") != line) & (F.length("value") > 0)).select(fields(F.col("value"), sep).alias("cells"))
+    rows = rows.crossJoin(F.broadcast(names)).select(F.col("cells")[0].alias("row"), "names", F.posexplode(F.expr("transform(sequence(2, greatest(size(names), 2)), i -> try_element_at(cells, i))")).alias("at", "value"))
+    return rows.select("row", F.try_element_at("names", F.col("at") + 2).alias("name"), "value").where("name is not null")
 
 
 def read_cna(spark: SparkSession, path: str, genes_in_rows: bool = True, rename: bool = True) -> DataFrame:
     """(sample, gene, feature, value). With genes in rows, columns that name Entrez ids or hold a '|' are no samples. rename: features end in _CNA."""
-    df = read_table(spark, path)
-    key = df.columns[0]
+    cells = read_matrix(spark, path)
     if genes_in_rows:
-        samples = [c for c in df.columns[1:] if "Entrez" not in c and "|" not in c]
-        long = _long(df, key, samples, "sample").select("sample", F.col(f"`{key}`").alias("gene"), "value")
+        long = cells.where("not (contains(name, 'Entrez') or contains(name, '|'))").select(F.col("name").alias("sample"), F.col("row").alias("gene"), "value")
     else:
-        long = _long(df, key, df.columns[1:], "gene").select(F.col(f"`{key}`").alias("sample"), "gene", "value")
+        long = cells.select(F.col("row").alias("sample"), F.col("name").alias("gene"), "value")
     return long.select("sample", "gene", (F.concat("gene", F.lit("_CNA")) if rename else F.col("gene")).alias("feature"), number(F.col("value")).alias("value"))
 
 
@@ -71,10 +86,8 @@ def read_clinical(spark: SparkSession, path: str, metadata_rows: int = 0) -> Dat
 
 def read_rna(spark: SparkSession, path: str, genes_in_rows: bool = False) -> DataFrame:
     """(sample, gene, count) of a matrix, as it is. The orientation is the caller's to say."""
-    df = read_table(spark, path)
-    key = df.columns[0]
-    long = _long(df, key, df.columns[1:], "sample" if genes_in_rows else "gene", "count")
-    return long.select(*(F.col(f"`{key}`" if c == ("gene" if genes_in_rows else "sample") else c).alias(c) for c in ("sample", "gene")), number(F.col("count")).alias("count"))
+    sample, gene = ("name", "row") if genes_in_rows else ("row", "name")
+    return read_matrix(spark, path).select(F.col(sample).alias("sample"), F.col(gene).alias("gene"), number(F.col("value")).alias("count"))
 
 
 def read_fusions(spark: SparkSession, path: str) -> DataFrame:
@@ -106,17 +119,15 @@ def read_maf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_alterations(spark: SparkSession, path: str) -> DataFrame:
     """(sample, feature, value) of a sample-by-feature table of 0 and 1, cells of 0 left out."""
-    df = read_table(spark, path)
-    key = df.columns[0]
-    long = _long(df, key, df.columns[1:], "feature").select(F.col(f"`{key}`").cast("string").alias("sample"), "feature", number(F.col("value")).cast("int").alias("value"))
+    long = read_matrix(spark, path).select(F.col("row").alias("sample"), F.col("name").alias("feature"), number(F.col("value")).cast("int").alias("value"))
     return long.where("value <> 0")
 
 
 def gene_universe(spark: SparkSession, path: str) -> DataFrame:
     """(gene): the header of an expression table; its rows are not read."""
     line = first_line(spark, path)
-    genes = [c.strip().strip('"') for c in line.split(delimiter(line))][1:]
-    return spark.createDataFrame([(g,) for g in genes], "gene string")
+    names = spark.createDataFrame([(line,)], "line string").select(F.posexplode(fields(F.col("line"), delimiter(line))).alias("at", "gene"))
+    return names.where("at > 0").select(F.trim("gene").alias("gene"))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:

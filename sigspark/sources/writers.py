@@ -1,7 +1,8 @@
-"""Writers. Tables are written by the executors; wide CSV is made at this edge only."""
+"""Writers. Tables are written by the executors; wide text is made at this edge only."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,30 @@ def wide(rows: DataFrame, column: str, value: str) -> DataFrame:
     return rows.groupBy("sample").pivot(column, names).agg(F.first(value)).fillna(0)
 
 
+def _quoted(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"' if any(c in text for c in '",\\') else text
+
+
+def write_matrix(rows: DataFrame, column: str, value: str, path: str, compress: bool = False) -> None:
+    """A line per sample and a column for each feature, absent cells 0, as comma-separated text. Nothing is pivoted: a sample's cells are
+    an array in the order of the columns, and between two of them stand as many zeros as there are columns. Of cells that repeat, the least counts.
+    """
+    names = [r[column] for r in rows.select(column).distinct().orderBy(column).collect()]  # a dimension
+    head = ",".join(["sample", *map(_quoted, names)])
+    places = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _at int")
+    cells = rows.groupBy("sample", F.col(column).alias("_name")).agg(F.min(value).alias("_value")).join(places, "_name")
+    lines = cells.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), F.coalesce(F.col("_value").cast("string"), F.lit("0")).alias("v")))).alias("cells"))
+    id_ = F.when(F.col("sample").rlike('[",\\\\]'), F.concat(F.lit('"'), F.regexp_replace("sample", '(["\\\\])', "\\\\$1"), F.lit('"'))).otherwise(F.col("sample"))
+    text = F.expr("array_join(transform(cells, (x, i) -> concat(repeat(',0', x.at - if(i = 0, -1, cells[greatest(i, 1) - 1].at) - 1), ',', x.v)), '')")
+    lines = lines.select(F.concat(F.coalesce(id_, F.lit("")), text, F.expr(f"repeat(',0', {len(names)} - 1 - element_at(cells, -1).at)")).alias("value"))
+
+    def headed(batches):
+        yield pd.DataFrame({"value": [head]})
+        yield from batches
+
+    lines.mapInPandas(headed, "value string").write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
+
+
 def write_csv(df: DataFrame, path: str, compress: bool = False) -> None:
     df.write.mode("overwrite").option("header", True).option("compression", "gzip" if compress else "none").csv(path)
 
@@ -36,7 +61,7 @@ def write_simulation(out: str, suffix: str, counts: DataFrame, alterations: Data
             tables[name] = (df, *(("gene", df.columns[-1]) if "gene" in df.columns else ("feature", "value")))
     for name, (df, column, value) in tables.items():
         paths.append(f"{out}/{name}_{suffix}.csv")
-        write_csv(wide(df, column, value), paths[-1], compress)
+        write_matrix(df, column, value, paths[-1], compress)
     paths.append(f"{out}/true_signatures_{suffix}.json")
     write_json(nested(signatures), paths[-1])
     return paths

@@ -73,3 +73,28 @@ def test_simulated_data_set_is_written_and_scored(spark, tmp_path):
     got = {r.alt: r for r in found.individual.collect()}
     assert got["G1_GOF"].f1 == 1 and got["G2_LOF"].precision == 0.5 and got["G1_GOF"].base_snr > 0.5
     assert spark.read.option("header", True).csv(str(tmp_path / "res" / "overall_results_DS.csv")).count() == 1
+
+
+def test_wide_files_of_odd_cells(spark, tmp_path):
+    odd = put(tmp_path / "odd.csv", 'id,"a, b",c\n"S ""1""",1,2\n\nS2,,x\nS3,5\n"S\\"4",6,7,8\n')
+    got = sorted(((r.row, r.name, r.value) for r in readers.read_matrix(spark, odd).collect()), key=str)
+    assert got == sorted([('S "1"', "a, b", "1"), ('S "1"', "c", "2"), ("S2", "a, b", None), ("S2", "c", "x"), ("S3", "a, b", "5"), ("S3", "c", None), ('S"4', "a, b", "6"), ('S"4', "c", "7")], key=str)
+    assert [r.gene for r in readers.gene_universe(spark, odd).collect()] == ["a, b", "c"]
+    assert readers.read_matrix(spark, put(tmp_path / "one.csv", "id\nS1\n")).collect() == []
+    tabs = put(tmp_path / "tabs.tsv", "\ta|b\tc\nS1\t1\t2\n")
+    assert sorted(tuple(r) for r in readers.read_matrix(spark, tabs).collect()) == [("S1", "a|b", "1"), ("S1", "c", "2")]
+
+
+def test_wide_round_trip_without_a_pivot(spark, tmp_path):
+    names = [f"G{i}" for i in range(10_000)] + ['with, comma', 'with "quotes" and \\\\']
+    cells = spark.createDataFrame([(f"S{s}", names[(s * 37 + k * 101) % len(names)], float(s + k + 1)) for s in range(40) for k in range(90)] + [('odd "id", 1', names[-1], 2.5), ('odd "id", 1', names[-2], 3.0)], "sample string, gene string, count double")
+    rest = cells.select("gene").distinct().count()
+    for compress in (False, True):
+        path = str(tmp_path / f"wide{compress}")
+        writers.write_matrix(cells.repartition(3), "gene", "count", path, compress)
+        back = readers.read_rna(spark, path)
+        assert back.count() == 41 * rest
+        assert back.where("count <> 0").exceptAll(cells).count() == 0 and cells.exceptAll(back.where("count <> 0")).count() == 0
+    assert {r.gene for r in readers.gene_universe(spark, path).collect()} == {r.gene for r in cells.select("gene").distinct().collect()}
+    writers.write_matrix(cells.limit(0), "gene", "count", str(tmp_path / "none"))
+    assert readers.read_rna(spark, str(tmp_path / "none")).collect() == []
