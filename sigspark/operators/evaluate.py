@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,13 +183,38 @@ def robustness(alts: DataFrame, samples: DataFrame, rna: DataFrame, truth: DataF
 
 
 def adjusted(rows: DataFrame, p: str = "pvalue", by: tuple[str, ...] = ()) -> DataFrame:
-    """rows with padj, the Benjamini-Hochberg value of p within `by`; NULL for NULL."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    """rows with padj, the Benjamini-Hochberg value of p within `by`, or of all rows; NULL for NULL."""
+    if not by:
+        return rows.join(_adjusted_values(rows.select(F.col(p).alias("_p"))), F.col(p) == F.col("_p"), "left").drop("_p")
+    group = Window.partitionBy(*by)
     ranked = rows.withColumn("_rank", F.rank().over(group.orderBy(F.col(p).asc_nulls_last())) + F.count(p).over(group.orderBy(F.col(p).asc_nulls_last()).rangeBetween(0, 0)) - 1)
     ranked = ranked.withColumn("_raw", F.col(p) * F.count(p).over(group) / F.col("_rank"))
     back = group.orderBy(F.col(p).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return ranked.withColumn("padj", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(back)))).drop("_rank", "_raw")
 
 
+def _adjusted_values(rows: DataFrame) -> DataFrame:
+    """(_p, padj) of the distinct values of _p. Ranges of them are partitions, stored once; how many values lie before a range, and the least raw value
+    after it, are numbers per range that pass through the driver, so no window goes over a range's edge. Copies of a value are counted before anything is sorted."""
+    from ..sources.scratch import folder
+
+    spark = rows.sparkSession
+    path = f"{folder(spark)}/ranges"
+    rows.where("_p is not null").groupBy("_p").agg(F.count("*").alias("_n")).repartitionByRange("_p").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    before, least, total = {}, {}, 0
+    for r in dealt.groupBy("_part").agg(F.sum("_n").alias("n")).orderBy("_part").collect():  # a row per range
+        before[r["_part"]], total = total, total + r["n"]
+    edges = lambda d, name, kind: F.broadcast(spark.createDataFrame(list(d.items()), f"_part int, {name} {kind}"))
+    own = Window.partitionBy("_part")
+    rank = F.col("_before") + F.sum("_n").over(own.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = dealt.join(edges(before, "_before", "long"), "_part").withColumn("_raw", F.col("_p") * F.lit(total) / rank)
+    after = math.inf
+    for r in sorted(ranked.groupBy("_part").agg(F.min("_raw").alias("m")).collect(), key=lambda r: -r["_part"]):  # a row per range
+        least[r["_part"]], after = after, min(after, r["m"])
+    back = own.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranked.join(edges(least, "_after", "double"), "_part").select("_p", F.least(F.lit(1.0), F.min("_raw").over(back), F.col("_after")).alias("padj"))
+
+
 def significant(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
     return rows.where(F.col("padj") < alpha)

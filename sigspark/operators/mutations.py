@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -74,7 +74,7 @@ def frequent_features(rows: DataFrame, samples: DataFrame, threshold: float = 0.
     seen = rows.where("value <> 0").groupBy("feature").agg(F.count_distinct("sample").alias("ones")).crossJoin(n)
     kept = seen.where(F.when(F.col("n") < small, F.col("ones") >= least).otherwise(F.col("ones") / F.col("n") >= threshold))
     if top:
-        kept = kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ones"), "feature"))).where((F.col("n") < small) | (F.col("rank") <= top))
+        kept = kept.where(F.col("n") < small).unionByName(kept.where(F.col("n") >= small).orderBy(F.desc("ones"), "feature").limit(top))
     return rows.join(kept.select("feature"), "feature", "left_semi")
 
 

@@ -72,7 +72,8 @@ def select_genes(rna: DataFrame, samples: DataFrame, genes: DataFrame, altered:
     rows = rows.withColumn("low", F.col("expressed") < min_share)
     free = rows.where(~F.col("altered") & ~F.col("low"))
     taken = F.broadcast(rows.agg(F.count_if("altered").alias("taken")))  # one row
-    rank = F.row_number().over(Window.orderBy(F.desc("variability"), "gene"))  # genes are a dimension
+    free = free.orderBy(F.desc("variability"), "gene").limit(target)
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("variability"), "gene"))  # target rows at most
     filled = free.select("gene", rank.alias("rank")).crossJoin(taken).where(F.col("rank") <= target - F.col("taken")).select("gene", F.lit(True).alias("filled"))
     return rows.join(filled, "gene", "left").select("gene", "altered", "low", (F.col("altered") | F.coalesce("filled", F.lit(False))).alias("kept"))
 

@@ -157,3 +157,17 @@ def test_negative_binomial_counts(spark):
 def test_theory(spark):
     r = theory.replicates(spark, 300, 300, reps=10).agg(F.avg("slope_x"), F.avg("slope_z"), F.max("theory_z")).first()
     assert r[0] == pytest.approx(1, abs=0.05) and r[1] == pytest.approx(r[2], abs=0.05)
+
+
+def test_adjusted_values_over_range_partitions(spark):
+    draw = np.random.default_rng(9)
+    p = [*np.round(draw.uniform(0, 1, 400), 3).tolist(), *[1.0] * 200, *[0.0] * 3, *draw.uniform(0, 1e-4, 20).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(p)] + [(-1, None)], "i int, pvalue double").repartition(7)
+    got = {r.i: r.padj for r in evaluate.adjusted(df).collect()}
+    order, low = sorted(range(len(p)), key=lambda i: p[i]), 1.0
+    for k in range(len(p), 0, -1):
+        last = max(j for j in range(k - 1, len(p)) if p[order[j]] == p[order[k - 1]]) + 1 if k < len(p) and p[order[k]] == p[order[k - 1]] else k
+        low = min(low, p[order[k - 1]] * len(p) / last)
+        assert got[order[k - 1]] == pytest.approx(low, abs=1e-12)
+    assert got[-1] is None and len(got) == len(p) + 1
+    assert evaluate.adjusted(df.where("i = -1")).collect()[0].padj is None and evaluate.adjusted(df.limit(0)).collect() == []
