@@ -225,8 +225,9 @@ def _encoded(path: str):
 
 
 def nnls(columns: list[tuple[tuple[int, int], ...]], goal: np.ndarray, sweeps: int = 5000, tol: float = 0.05) -> np.ndarray:
-    """Non-negative x with the least squares of A x - goal, by cyclic coordinate descent until nothing moves by tol; a column is ((row, entry), ...)."""
+    """Non-negative x with the least squares of A x - goal, by cyclic coordinate descent until nothing moves by tol, or by 2e-7 of the goal's sum; a column is ((row, entry), ...)."""
     x, left = np.zeros(len(columns)), goal.astype(float)
+    tol = max(tol, 2e-7 * float(left.sum()))
     norms = [sum(v * v for _, v in c) for c in columns]
     for _ in range(sweeps):
         moved = 0.0
