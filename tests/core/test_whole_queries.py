@@ -1,6 +1,6 @@
 import numpy as np
 
-from sigspark.operators import deconfounder, linear
+from sigspark.operators import deconfounder, linear, support
 from sigspark.plans import queries
 
 
@@ -17,13 +17,14 @@ def test_models_are_registered_with_the_operators_defaults(spark, monkeypatch):
         assert options_of(spark, monkeypatch, query, module, operator) == {"positional": 3}
 
 
-def test_support_vectors_are_fitted_to_convergence():
+def test_support_vectors_are_fitted_to_their_gap():
     rnd = np.random.default_rng(3)
-    x = (rnd.random((120, 30)) < 0.3).astype(float)
-    y = x @ rnd.normal(size=30) + rnd.normal(size=120)
-    w = linear.support_vector(x, y)
-    assert np.abs(w - linear.support_vector(x, y, sweeps=20_000)).max() < 1e-9
-    assert np.abs(w - linear.support_vector(x, y, sweeps=30)).max() > 1e-3
+    x = rnd.random((120, 30)) < 0.3
+    y = (x @ rnd.normal(size=30) + rnd.normal(size=120))[:, None]
+    fit = lambda **k: support.alone(support.Block([np.flatnonzero(r) for r in x], 30, y, 1.0, 0.1), **k)
+    (w, gap), (best, least) = fit(), fit(gap=1e-9)
+    assert gap.max() <= support.GAP and least.max() <= 1e-9 and np.abs(w - best).max() < 0.05
+    assert fit(iterations=5)[1].max() > support.GAP
 
 
 def test_moderated_t_tests_take_all_alterations(spark):
