@@ -169,3 +169,8 @@ def theory_c1(mu1: float, mu0: float, n1: float, n0: float, p: float, q: float)
     with_z = (n1 * p * mu1 + n0 * q * mu0) / (n1 * p + n0 * q)
     without = (n1 * (1 - p) * mu1 + n0 * (1 - q) * mu0) / (n1 * (1 - p) + n0 * (1 - q))
     return log(with_z) - log(without)
+
+
+def nonempty(df) -> bool:
+    """Whether a frame has a column and a row."""
+    return bool(df.columns) and not df.isEmpty()

@@ -32,12 +32,18 @@ def restricted(predictions: DataFrame, alts: DataFrame) -> DataFrame:
     return predictions.join(alts.select("alt").distinct(), "alt", "left_semi")
 
 
+#: The keys under which a signature may hold its targets, and their effects.
+TARGET_KEYS = ("targets", "target_genes", "genes", "signature", "signature_genes")
+EFFECT_KEYS = ("effects", "log2fc", "log2FC", "effect_sizes")
+
+
 def targets_and_effects(sig: Column) -> tuple[Column, Column]:
-    """Targets, and their effects in the same order (NULL where missing), of a signature read as map<string, variant JSON text>."""
-    first = lambda *names: F.coalesce(*(F.try_element_at(sig, F.lit(n)) for n in names))
-    targets = F.from_json(first("targets", "target_genes", "genes", "signature", "signature_genes"), "array<string>")
-    named = F.from_json(first("effects", "log2fc", "log2FC", "effect_sizes"), "map<string,double>")
-    return F.coalesce(targets, F.map_keys(named)), F.transform(F.coalesce(targets, F.map_keys(named)), lambda g: F.try_element_at(named, g))
+    """Targets, and their effects in the same order (NULL where missing), of a signature read as map<string, variant JSON text>. Effects are an object by target, or a list beside the targets."""
+    first = lambda names: F.coalesce(*(F.try_element_at(sig, F.lit(n)) for n in names))
+    effects = first(EFFECT_KEYS)
+    named, listed = F.from_json(effects, "map<string,double>"), F.from_json(F.when(F.ltrim(effects).startswith("["), effects), "array<double>")
+    targets = F.coalesce(F.from_json(first(TARGET_KEYS), "array<string>"), F.map_keys(named))
+    return targets, F.transform(targets, lambda g, i: F.when(listed.isNotNull(), F.get(listed, i)).otherwise(F.try_element_at(named, g)))
 
 
 def effect_summary(truth: DataFrame) -> DataFrame:
@@ -92,9 +98,13 @@ def signature_metrics(predictions: DataFrame, truth: DataFrame, genes: DataFrame
     )
 
 
+#: What else a signature may be described by, and is averaged where it is.
+DESCRIBED_BY = ("base_snr", "effective_snr", "confound_score", "n_partners_used", "mean_abs_effect", "alt_freq", "mean_abs_log_or", "mean_co_count", "max_co_count", "mean_co_percent", "max_co_percent")
+
+
 def method_summary(metrics: DataFrame) -> DataFrame:
-    """Mean scores per method, and how many signatures they are over."""
-    names = ("f1", "precision", "recall", "accuracy", "jaccard", "mcc")
+    """Mean scores per method, how many signatures they are over, and the means of those columns of DESCRIBED_BY that metrics has."""
+    names = ("f1", "precision", "recall", "accuracy", "jaccard", "mcc", *(c for c in DESCRIBED_BY if c in metrics.columns))
     return metrics.groupBy("method").agg(*(F.avg(x).alias(x) for x in names), F.count("*").alias("n_signatures_evaluated"))
 
 

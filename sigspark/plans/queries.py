@@ -585,6 +585,18 @@ def dataset_evaluation(spark, sf_dir):
     return rounded(found.individual)
 
 
+@query(f"""{with_views('alt', 'expr', 'truth', 'pred')}, f AS (SELECT DISTINCT feature FROM alt)
+    SELECT 'DRIVER' AS dataset, (SELECT count(DISTINCT alt) FROM truth WHERE alt IN (SELECT feature FROM alt)) AS n_true_alterations, (SELECT count(*) FROM f) AS n_kept_alterations, (SELECT count(DISTINCT method) FROM pred) AS n_methods,
+    (SELECT count(DISTINCT method) FROM pred) * (SELECT count(DISTINCT alt) FROM truth) AS n_scores, (SELECT count(DISTINCT gene) FROM expr) AS n_genes, (SELECT count(DISTINCT sample) FROM alt) AS raw_samples, (SELECT count(*) FROM f) AS raw_features,
+    (SELECT count(DISTINCT sample) FROM alt) AS clean_samples, (SELECT count(*) FROM f) AS clean_features, 0::BIGINT AS n_robust, 'off' AS robustness""")
+def evaluation_notes(spark, sf_dir):
+    from .workflows import evaluate_predictions
+
+    counts = v.expression(spark, sf_dir)
+    found = evaluate_predictions("DRIVER", v.alterations(spark, sf_dir), v.samples(spark, sf_dir), counts, v.truth(spark, sf_dir), v.predictions(spark, sf_dir), counts, filter_alts=False, with_robustness=False)
+    return found.diagnostics.drop("left_out", "left_out_features", "min_group", "min_residual", "filtered")
+
+
 @query(f"{with_views('samples', 'alt')}, {_FISHER}, r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS m FROM (SELECT alt1, alt2, round(p, 9) AS p FROM pairs)) SELECT alt1, alt2, round(p, 6) AS pvalue, round(least(1, min(p * m / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS padj FROM r")
 def bh_adjust(spark, sf_dir):
     pairs = cooccurrence.fisher_pairs(v.alterations(spark, sf_dir), v.samples(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +90,28 @@ class Evaluation:
     individual: DataFrame
     overall: DataFrame
     fates: DataFrame
+    diagnostics: DataFrame
     robustness: DataFrame | None = None
-    diagnostics: dict = field(default_factory=dict)
+
+
+def diagnosed(dataset: str, alts: DataFrame, fates: DataFrame, truth: DataFrame, scores: DataFrame, genes: DataFrame, robust: DataFrame | None, **parameters) -> DataFrame:
+    """One row on an evaluation: how many methods, true and kept alterations, scores and genes there are, the alterations' shape before and after
+    the design was made sound, what was left out and why, and the parameters as text."""
+    shape = lambda df, tag: df.agg(F.count_distinct("sample").alias(f"{tag}_samples"), F.count_distinct("feature").alias(f"{tag}_features"))
+    kept = fates.where("fate = 'kept'").select("feature")
+    left = fates.where("fate <> 'kept'").groupBy("fate").agg(F.array_sort(F.collect_list("feature")).alias("features"), F.count("*").alias("n"))
+    out = truth.agg(F.count_distinct("alt").alias("n_true_alterations"))
+    for one in (
+        kept.agg(F.count("*").alias("n_kept_alterations")),
+        scores.agg(F.count_distinct("method").alias("n_methods"), F.count("*").alias("n_scores")),
+        genes.agg(F.count_distinct("gene").alias("n_genes")),
+        shape(alts, "raw"),
+        shape(alts.join(kept, "feature", "left_semi"), "clean"),
+        left.agg(F.map_from_entries(F.collect_list(F.struct("fate", "n"))).alias("left_out"), F.map_from_entries(F.collect_list(F.struct("fate", "features"))).alias("left_out_features")),
+        scores.limit(0).agg(F.count("*").alias("n_robust")) if robust is None else robust.agg(F.count("*").alias("n_robust")),
+    ):
+        out = out.crossJoin(F.broadcast(one))  # a row each
+    return out.select(F.lit(dataset).alias("dataset"), "*", F.lit("off" if robust is None else "computed").alias("robustness"), *(F.lit(str(v)).alias(k) for k, v in parameters.items()))
 
 
 def evaluate_predictions(dataset: str, alts: DataFrame, samples: DataFrame, rna_counts: DataFrame, truth: DataFrame, predictions: DataFrame, genes: DataFrame, filter_alts: bool = True, min_group: int = 5, min_residual: int = 5, with_robustness: bool = True) -> Evaluation:
@@ -102,15 +122,15 @@ def evaluate_predictions(dataset: str, alts: DataFrame, samples: DataFrame, rna_
     truth = truth.join(kept, "alt", "left_semi")
     scores = evaluate.signature_metrics(evaluate.restricted(predictions, kept), truth, genes)
     individual = scores.join(evaluate.effect_summary(truth), "alt", "left").withColumn("dataset", F.lit(dataset))
-    robust, status = None, "off"
+    robust = None
     if with_robustness:
         used = alts.join(kept.withColumnRenamed("alt", "feature"), "feature", "left_semi")
         pairs = cooccurrence.fisher_pairs(used, samples)
         robust = evaluate.robustness(used, samples, rna_counts, truth, pairs, min_group)
-        individual = individual.join(robust.select(F.col("alteration").alias("alt"), "alt_freq", "base_snr", "effective_snr", "confound_score"), "alt", "left")
-        status = "ok"
-    overall = evaluate.method_summary(scores).withColumn("dataset", F.lit(dataset)).orderBy("method")
-    return Evaluation(individual, overall, fates, robust, {"dataset": dataset, "robustness": status, "min_group": min_group, "min_residual": min_residual, "filtered": filter_alts})
+        individual = individual.join(robust.withColumnRenamed("alteration", "alt"), "alt", "left")
+    overall = evaluate.method_summary(individual).withColumn("dataset", F.lit(dataset)).orderBy("method")
+    notes = diagnosed(dataset, alts, fates, truth, scores, genes, robust, min_group=min_group, min_residual=min_residual, filtered=filter_alts)
+    return Evaluation(individual, overall, fates, notes, robust)
 
 
 def evaluate_dataset(spark: SparkSession, dataset: str, base_dir: str, out: str | None = None, **options) -> Evaluation:
@@ -123,6 +143,5 @@ def evaluate_dataset(spark: SparkSession, dataset: str, base_dir: str, out: str
     said = evaluate.method_first(readers.read_predictions(spark, f"{at}/signatures_{dataset}.json"), truth).select("method", "alt", F.explode("genes").alias("gene"))
     result = evaluate_predictions(dataset, alts, counts.select("sample").distinct(), counts, truth, said, readers.gene_universe(spark, f"{at}/rna_simulated_{dataset}.csv"), **options)
     if out:
-        fates = result.fates.groupBy("fate").count().withColumn("dataset", F.lit(dataset))
-        writers.write_evaluation(out, dataset, result.individual, result.overall, said.groupBy("method", "alt").agg(F.collect_list("gene").alias("genes")), fates)
+        writers.write_evaluation(out, dataset, result.individual, result.overall, said.groupBy("method", "alt").agg(F.collect_list("gene").alias("genes")), result.diagnostics)
     return result

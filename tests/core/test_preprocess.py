@@ -112,3 +112,10 @@ def test_scalars(spark):
     one = spark.createDataFrame([(6, 2, 1, 4)], "a int, b int, c int, d int")
     assert one.select(odds_smooth(*(F.col(x) for x in "abcd"))).first()[0] == pytest.approx(7.8)
     assert theory_c1(100 * 2.718281828459045, 100, 500, 500, 0.8, 0.2) == pytest.approx(0.5694, abs=1e-4)
+
+
+def test_nonempty(spark):
+    from sigspark.functions import nonempty
+
+    one = spark.range(1)
+    assert nonempty(one) and not nonempty(one.limit(0)) and not nonempty(one.select())

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sigspark.operators import evaluate
 from sigspark.plans.workflows import evaluate_dataset, integrate, simulate_expression
 from sigspark.sources import readers, writers
 
@@ -98,3 +99,10 @@ def test_wide_round_trip_without_a_pivot(spark, tmp_path):
     assert {r.gene for r in readers.gene_universe(spark, path).collect()} == {r.gene for r in cells.select("gene").distinct().collect()}
     writers.write_matrix(cells.limit(0), "gene", "count", str(tmp_path / "none"))
     assert readers.read_rna(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_effects_by_target_or_as_a_list(spark):
+    rows = [("a", {"targets": '["G1","G2"]', "effects": '{"G2":-1.5}'}), ("b", {"genes": '["G1","G2","G3"]', "log2fc": "[0.5, -2]"}), ("c", {"effect_sizes": '{"G9":3.0}'}), ("d", {"signature": '["G1"]'})]
+    targets, effects = evaluate.targets_and_effects(F.col("sig"))
+    got = {r.alt: (r.t, r.e) for r in spark.createDataFrame(rows, "alt string, sig map<string,string>").select("alt", targets.alias("t"), effects.alias("e")).collect()}
+    assert got == {"a": (["G1", "G2"], [None, -1.5]), "b": (["G1", "G2", "G3"], [0.5, -2.0, None]), "c": (["G9"], [3.0]), "d": (["G1"], [None])}
