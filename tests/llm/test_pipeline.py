@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from sigspark.llm import stages
 from sigspark.llm.near_dedup import near_duplicates
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +23,7 @@ def test_stages_follow_on_each_other(spark, tmp_path):
     assert {r.doc_id for r in toxic.collect()} <= set(texts) and toxic.count() >= 0.8 * docs.count()
     assert lines.count() == toxic.count()
     assert all(set(r.text.split()) <= set(texts[r.doc_id].split()) for r in lines.collect())
-    assert near.count() == near_duplicates(lines).where("kept").count() == near.select("doc_id").distinct().count()
+    assert near.count() == near_duplicates(lines, stages.NEAR_PERCENT).where("kept").count() == near.select("doc_id").distinct().count()
     size = Counter()
     for r in mixed.collect():
         size[r.source] += len(r.text.split())
