@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -25,6 +25,13 @@ def folder(spark: SparkSession) -> str:
     return _made[-1][1]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once as a table in such a folder: what several branches of a plan use is computed once, and the lineage ends there."""
+    path = f"{folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sweep() -> None:
     for spark, path in _made:
         try:
