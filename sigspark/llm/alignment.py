@@ -34,9 +34,9 @@ STRIPES = 128
 #: Characters of text in a batch of documents; a longer document is a batch of its own.
 BATCH_CHARS = 1 << 20
 #: Distinct chunks, and characters of them, that a worker remembers from batch to batch; then it starts anew.
-MEMO_CHUNKS, MEMO_CHARS = 400_000, 1 << 24
+MEMO_CHUNKS, MEMO_CHARS = 150_000, 1 << 22
 #: Distinct pairs that a task adds up before it sends them on.
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 #: Batches of documents that one task scores against a stripe.
 SALT_BATCHES = 8192
 
