@@ -39,6 +39,8 @@ MEMO_CHUNKS, MEMO_CHARS = 150_000, 1 << 22
 PAIRS = 1_000_000
 #: Batches of documents that one task scores against a stripe.
 SALT_BATCHES = 8192
+#: Batches, of a megabyte or three each, that one task puts together with their scores.
+JOIN_BATCHES = 8
 
 _SPACES = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
@@ -389,16 +391,17 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Per document: tokens of both sides, groups, links, links that are their B id's best, the sum of the links' counts, and a digest of the groups."""
     pair = Pair(path_a, path_b)
     width, height = len(pair.bytes_a), len(pair.bytes_b)
-    batches = store(links(docs, path_a, path_b), "alignment-links")
-    counts = store(pair_counts(batches, width, height), "alignment-counts")
-    salts = -(-batches.count() // SALT_BATCHES) or 1
+    batches = store(links(docs, path_a, path_b), "alignment-links", large=True)
+    counts = store(pair_counts(batches, width, height), "alignment-counts", large=True)
+    n = batches.count()
+    salts, tasks = -(-n // SALT_BATCHES) or 1, -(-n // JOIN_BATCHES) or 1
     own = batches.select("batch", "b", "a").mapInArrow(_striped, "batch long, stripe int, b array<int>, a array<int>")
     own = own.select("stripe", F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int").alias("salt"), "batch", "b", "a", F.lit(None).cast("array<long>").alias("n"), F.lit(None).cast("array<boolean>").alias("best"))
     known = counts.select("stripe", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("batch"), "b", "a", "n", "best")
     both = known.unionByName(own).repartition(STRIPES * salts, "stripe", "salt").sortWithinPartitions("stripe", "salt", F.col("batch").asc_nulls_first())
     scores = both.mapInArrow(_scored(width, height), "batch long, stripe int, count array<long>, best array<boolean>")
-    scores = scores.groupBy("batch").agg(F.collect_list(F.struct("stripe", "count", "best")).alias("scores"))  # STRIPES at most
-    rest = batches.select("batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "first", "chunk", "chunk_first", "pair")
+    scores = scores.repartition(tasks, "batch").groupBy("batch").agg(F.collect_list(F.struct("stripe", "count", "best")).alias("scores"))  # STRIPES at most
+    rest = batches.select("batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "first", "chunk", "chunk_first", "pair").repartition(tasks, "batch")  # so many tasks as batches ask for: their memory does not grow with the table
     out = store(rest.join(scores, "batch", "left").drop("batch").mapInArrow(_totals, _RESULT), "alignment")
     discard(batches, counts)
     return out

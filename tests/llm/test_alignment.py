@@ -6,6 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from sigspark.llm import alignment as m
 
@@ -90,3 +91,17 @@ def test_best_pairs(spark):
 def test_counts_cover_repeats_in_one_text(spark):
     got = m.align(spark.createDataFrame([(1, "the the the"), (2, "the")], "doc_id long, text string"), A, B).orderBy("doc_id").collect()
     assert [(r.n_links, r.n_best, r.count_sum) for r in got] == [(3, 3, 12), (1, 1, 4)]
+
+
+def test_stored_batches_are_read_a_few_at_a_time(spark):
+    """A group of rows is what a task holds when it writes or reads: it must not be a hundred rows of megabytes."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from sigspark.llm._shared import discard, store
+
+    rows = spark.range(6, numPartitions=1).select("id", F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: F.xxhash64("id", i)).alias("pair"))
+    table = store(rows, "large", large=True)
+    (file,) = glob.glob(table.stored_at.removeprefix("file://") + "/*.parquet")
+    assert pq.ParquetFile(file).num_row_groups >= 2 and table.count() == 6
+    discard(table)
