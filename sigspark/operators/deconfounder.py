@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normal, uniform
+from ..sources.scratch import stored
 from .design import gram
 from .linear import ALPHAS, penalised
 
@@ -134,21 +135,15 @@ def choose_factors(alts: DataFrame, samples: DataFrame, candidates: Iterable[int
 def deconfounded(alts: DataFrame, cells: DataFrame, samples: DataFrame, candidates: Iterable[int] = range(2, 99), cutoff: float = 0.1, alphas=ALPHAS, seed: int = 44) -> DataFrame:
     """(gene, alt, weight): lasso coefficients of the alterations beside the latent factors, whose part in expression is taken out of it first.
 
-    The factors enter as regressors by partialling out: expression less its least-squares fit on the scores. cells: sample, gene, u.
+    The factors enter as regressors by partialling out: expression less its least-squares fit on the scores. cells: sample, gene, u. Scores are linear in the
+    alterations, so that fit, too, follows from X'X and X'y, and no dense table of samples and genes is made.
     """
+    alts, cells, samples = stored(alts.select("sample", "feature").distinct()), stored(cells.select("sample", "gene", "u")), stored(samples.select("sample").distinct())  # each is read many times
     _, factors = choose_factors(alts, samples, candidates, cutoff, seed)
-    if factors is None:
-        return penalised(alts, cells, samples, alphas=alphas, seed=seed).select("gene", "alt", "weight")
-    z = scores(alts, samples, factors)
-    k, spark = factors.w.shape[1], alts.sparkSession
-    pairs = z.join(z.select("sample", F.col("feature").alias("other"), F.col("value").alias("v")), "sample").groupBy("feature", "other").agg(F.sum(F.col("value") * F.col("v")).alias("s")).collect()  # k squared
-    g = np.zeros((k, k))
-    for r in pairs:
-        g[int(r["feature"][7:]) - 1, int(r["other"][7:]) - 1] = r["s"]
-    inverse = np.linalg.pinv(g)
-    inv = F.broadcast(spark.createDataFrame([(f"latent_{i + 1}", f"latent_{j + 1}", float(inverse[i, j])) for i in range(k) for j in range(k)], "feature string, other string, c double"))  # k squared
-    zy = z.join(cells, "sample").groupBy("gene", "feature").agg(F.sum(F.col("value") * F.col("u")).alias("zy"))
-    beta = zy.join(inv, "feature").groupBy("gene", F.col("other").alias("feature")).agg(F.sum(F.col("c") * F.col("zy")).alias("beta"))
-    part = beta.join(z, "feature").groupBy("gene", "sample").agg(F.sum(F.col("beta") * F.col("value")).alias("part"))
-    left = part.join(cells, ["gene", "sample"], "left").select("sample", "gene", (F.coalesce("u", F.lit(0.0)) - F.col("part")).alias("u"))
-    return penalised(alts, left, samples, alphas=alphas, seed=seed).select("gene", "alt", "weight")
+
+    def linear_scores(names: list[str]) -> np.ndarray:
+        at = {f: i for i, f in enumerate(factors.names)}
+        rows = [factors.project[:, at[f]] if f in at else np.zeros(len(factors.project)) for f in names]
+        return np.stack([*rows, -factors.project @ factors.means])
+
+    return penalised(alts, cells, samples, alphas=alphas, seed=seed, scores=None if factors is None else linear_scores).select("gene", "alt", "weight")
