@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from sigspark.operators import differential, dispersion
@@ -111,3 +112,39 @@ def test_filter_leaves_low_means_out_when_that_finds_more():
     p = np.concatenate([draw.uniform(0, 1, 900), draw.uniform(0, 0.02, 100)])
     got = dispersion.filtered(pd.DataFrame({"mean": mean, "pvalue": p}))
     assert got["padj"].isna().sum() > 300 and (pd.to_numeric(got["padj"]) < 0.05).sum() > 80
+
+
+def cohort_rows(copies):
+    draw = np.random.default_rng(5)
+    n = 400
+    size, cols, k = draw.lognormal(0, 0.3, n), [np.flatnonzero(draw.random(2) < 0.4) for _ in range(n)], draw.poisson(6, (2, n))
+    bins = np.floor(np.log(size) * dispersion.FINE).astype(int)
+    table = pa.table({"gene": ["G0"] * n * copies + ["G1"] * n * copies, "count": np.concatenate([np.tile(v, copies) for v in k]), "size": np.tile(size, 2 * copies), "bin": np.tile(bins, 2 * copies), "cols": [c.tolist() for c in cols] * 2 * copies}, schema=pa.schema({"gene": pa.string(), "count": pa.int64(), "size": pa.float64(), "bin": pa.int32(), "cols": pa.list_(pa.int32())}))
+    low = bins.min()
+    wide = bins.max() - low + 1
+    rows = list(dispersion._each(dispersion._gene_sums(2, low, wide)(table.to_batches(max_chunksize=70))))
+    carrier = np.stack([*([j in c for c in cols] for j in range(2)), [True] * n])
+    at = bins - low
+    of = lambda v: np.stack([np.bincount(at, v * c, minlength=wide) for c in carrier]) * copies
+    return k, size, carrier, [r for _, r in rows], of(np.ones(n)), of(size)
+
+
+def test_a_task_holds_sums_whose_number_does_not_grow_with_the_samples():
+    once, many = cohort_rows(1)[3], cohort_rows(12)[3]
+    assert [r["gene"] for r in many] == ["G0", "G1"]
+    for a, b in zip(once, many, strict=True):
+        assert len(a["code"]) == len(b["code"]) < 3 * 30 and len(a["bin"]) == len(b["bin"])
+        assert np.allclose(12 * a["marks"], b["marks"]) and np.allclose(12 * a["total"], b["total"])
+
+
+def test_sums_give_the_dispersions_of_all_cells(monkeypatch):
+    monkeypatch.setattr(dispersion, "BINS", 1000)
+    k, size, carrier, rows, samples, samples_size = cohort_rows(1)
+    for g, row in enumerate(rows):
+        got = dispersion._groups(row, np.array([0, 1]), 2, samples, samples_size)
+        alpha = dispersion.gene_wise(got)
+        change = dispersion.fold_changes(got, alpha)
+        for j in range(2):
+            exact = [dispersion.Group(np.zeros((k[g][c] > 0).sum(), dtype=int), k[g][c][k[g][c] > 0].astype(float), size[c][k[g][c] > 0], size[c], 1) for c in (carrier[j], ~carrier[j])]
+            assert np.log(alpha[j]) == pytest.approx(np.log(dispersion.gene_wise(exact)[0]), abs=1e-4)
+            assert [v[j] for v in change] == pytest.approx([v[0] for v in dispersion.fold_changes(exact, alpha[j : j + 1])], abs=1e-5)
