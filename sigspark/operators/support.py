@@ -9,18 +9,19 @@ difference, which bounds the distance to the optimum, is known exactly. A cohort
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import folder
 from .cohort import WEIGHT, design, every, gene_blocks, together
 
-#: Genes that are fitted side by side, and samples in a block.
-GENES, SAMPLES = 512, 20_000
+#: Genes that are fitted side by side, samples in a block, and genes times samples in it, of which a task holds a few dense tables.
+GENES, SAMPLES, CELLS = 512, 100_000, 2_000_000
 #: The largest duality gap of a gene, as a share of its primal value.
 GAP = 1e-4
 #: Iterations between looks at the gap; the most iterations of one block alone, and of several blocks, each of which is a Spark job.
@@ -161,7 +162,7 @@ def _gathered(c: float):
 def _stored(df: DataFrame) -> DataFrame:
     """Rows are large: a group of rows is closed by its size, not only after a hundred."""
     path = f"{folder(df.sparkSession)}/state"
-    df.write.option("parquet.block.size.row.check.min", "1").option("parquet.page.size.row.check.min", "1").parquet(path)
+    df.write.option("parquet.block.size", str(16 << 20)).option("parquet.block.size.row.check.min", "1").option("parquet.page.size.row.check.min", "1").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -169,8 +170,9 @@ def support_vectors(alts: DataFrame, cells: DataFrame, samples: DataFrame, parts
     """(part, genes, names, w, gap): coefficients of every part's regression, (alterations + 1) x genes row by row, and their largest relative duality gap; and the alterations' names."""
     rows, names = design(alts, samples, parts)
     own = samples.select("sample").distinct()
-    blocks = max(1, -(-own.count() // SAMPLES))
-    used, n_genes = gene_blocks(cells.join(own, "sample", "left_semi"), GENES)
+    count = own.count()
+    blocks = max(1, -(-count // SAMPLES))
+    used, n_genes = gene_blocks(cells.join(own, "sample", "left_semi"), max(1, min(GENES, CELLS // max(1, -(-count // blocks)))))
     block = F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int").alias("block")
     listed = used.groupBy("genes").agg(F.array_sort(F.collect_set("gene")).alias("names"))  # GENES or so
     left = rows.select("sample", "cols", block, F.explode("parts").alias("part")).withColumn("genes", every(n_genes)).join(listed, "genes")
@@ -179,15 +181,32 @@ def support_vectors(alts: DataFrame, cells: DataFrame, samples: DataFrame, parts
     both = together(left, right, parts.select("part").distinct().count() * n_genes * blocks or 1, *keys)
     if blocks == 1:
         return both.applyInPandas(_alone(p, c, epsilon), _FIT), names
+    with _row_by_row(own.sparkSession):
+        return _rounds(both, p, c, epsilon), names
+
+
+@contextmanager
+def _row_by_row(spark: SparkSession) -> Iterator[None]:
+    """A block is a row of megabytes: a worker takes one at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _rounds(both, p: int, c: float, epsilon: float) -> DataFrame:
     state = _stored(both.applyInPandas(_packed, _BLOCK).mapInArrow(_turn(p, c, epsilon), _STATE))
     w = _stored(state.groupBy("part", "genes").applyInPandas(_gathered(c), _FIT))
     for turn in range(ROUNDS):
         state = _stored(state.join(w.select("part", "genes", "w"), ["part", "genes"]).mapInArrow(_turn(p, c, epsilon), _STATE))
         made = _stored(state.join(w.select("part", "genes", "w"), ["part", "genes"]).groupBy("part", "genes").applyInPandas(_gathered(c), _FIT))
         if turn % LOOK == 0 and (made.agg(F.max("gap")).first()[0] or 0.0) <= GAP:
-            return w.drop("gap").join(made.select("part", "genes", "gap"), ["part", "genes"]), names
+            return w.drop("gap").join(made.select("part", "genes", "gap"), ["part", "genes"])
         w = made
-    return w, names
+    return w
 
 
 def svr_stability(alts: DataFrame, cells: DataFrame, samples: DataFrame, c: float = 1.0, epsilon: float = 0.1, n: int = 20, share: float = 0.5, rule: str = "mean+sd", seed: int = 44) -> DataFrame:

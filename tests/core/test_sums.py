@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from sigspark.operators import deconfounder, differential, linear, voom
+from sigspark.operators import deconfounder, differential, linear, support, voom
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,16 @@ def test_the_joint_quasi_likelihood_model_is_the_same_from_blocks_of_samples(spa
     for g in range(3):
         b, cov, deviance = differential._nb_fit(np.column_stack([x, np.ones(40)]).astype(float), y[:, g].astype(float), offset, 0.1)
         assert np.allclose(got[f"g{g}"][0], b, rtol=1e-8) and np.allclose(got[f"g{g}"][1], np.diag(cov), rtol=1e-8) and np.isclose(got[f"g{g}"][2], deviance)
+
+
+def test_support_vectors_hold_fewer_genes_of_more_samples(spark, cohort, monkeypatch):
+    """Once a task held all genes whatever the samples."""
+    _, _, alts, cells, samples = cohort
+    parts = samples.withColumn("part", F.lit(0))
+    fitted = []
+    for most in (10_000, 60):
+        monkeypatch.setattr(support, "CELLS", most)
+        rows = support.support_vectors(alts, cells, samples, parts)[0].collect()
+        fitted.append({g: np.array(r.w).reshape(-1, len(r.names))[:, i] for r in rows for i, g in enumerate(r.names)})
+    assert len(rows) > 1 and fitted[0].keys() == fitted[1].keys()
+    assert all(np.allclose(fitted[0][g], w) for g, w in fitted[1].items())
