@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from sigspark.operators import deconfounder, differential, linear, support, voom
+from sigspark.operators import deconfounder, differential, linear, rna, support, voom
 
 
 @pytest.fixture(scope="module")
@@ -53,26 +53,26 @@ def test_the_deconfounder_makes_no_dense_table(cohort, monkeypatch):
 
 def test_weighted_t_is_the_same_from_blocks_of_samples(spark, cohort, monkeypatch):
     _, _, alts, cells, _ = cohort
-    rna = cells.select("sample", "gene", F.ceil(F.col("u") * 20).alias("count")).localCheckpoint()
+    counts = cells.select("sample", "gene", F.ceil(F.col("u") * 20).alias("count")).localCheckpoint()
     sizes = []
     real = voom.each_alone
     monkeypatch.setattr(voom, "each_alone", lambda *a: sizes.append(voom.BLOCK) or real(*a))
     runs = []
     for block in (20_000, 13):
         monkeypatch.setattr(voom, "BLOCK", block)
-        runs.append({(r.alt, r.gene): (r.log2fc, r.stat, r.pvalue) for r in differential.moderated_t(alts, rna).collect()})
+        runs.append({(r.alt, r.gene): (r.log2fc, r.stat, r.pvalue) for r in differential.moderated_t(alts, counts).collect()})
     assert sizes == [20_000, 13] and runs[0].keys() == runs[1].keys() and len(runs[0]) == 20
     assert all(np.allclose(runs[0][k], runs[1][k], rtol=1e-9) for k in runs[0])
 
 
 def test_the_joint_weighted_t_is_the_same_from_blocks_of_samples(spark, cohort, monkeypatch):
     _, _, alts, cells, _ = cohort
-    rna = cells.select("sample", "gene", F.ceil(F.col("u") * 20).alias("count")).localCheckpoint()
+    counts = cells.select("sample", "gene", F.ceil(F.col("u") * 20).alias("count")).localCheckpoint()
     runs, dealt, real = [], [], voom.together
     monkeypatch.setattr(voom, "together", lambda left, right, tasks, *keys: dealt.append((keys, left.select(*keys).distinct().count())) or real(left, right, tasks, *keys))
     for block in (20_000, 13):
         monkeypatch.setattr(voom, "BLOCK", block)
-        runs.append({(r.alt, r.gene): (r.log2fc, r.stat, r.pvalue) for r in differential.moderated_t_joint(alts, rna).collect()})
+        runs.append({(r.alt, r.gene): (r.log2fc, r.stat, r.pvalue) for r in differential.moderated_t_joint(alts, counts).collect()})
     assert all(keys == ("genes", "block") for keys, _ in dealt) and dealt[1][1] >= 4 * dealt[0][1]
     assert runs[0].keys() == runs[1].keys() and len(runs[0]) == 20
     assert all(np.allclose(runs[0][k], runs[1][k], rtol=1e-9) for k in runs[0])
@@ -106,3 +106,16 @@ def test_support_vectors_hold_fewer_genes_of_more_samples(spark, cohort, monkeyp
         fitted.append({g: np.array(r.w).reshape(-1, len(r.names))[:, i] for r in rows for i, g in enumerate(r.names)})
     assert len(rows) > 1 and fitted[0].keys() == fitted[1].keys()
     assert all(np.allclose(fitted[0][g], w) for g, w in fitted[1].items())
+
+
+def test_normalised_values_fill_in_absent_cells_where_the_sample_lies(spark):
+    rna_rows = spark.createDataFrame([("s1", "a", 2), ("s1", "b", 0), ("s2", "b", 4), ("s2", "x", 9), ("s3", "x", 5)], "sample string, gene string, count long")
+    genes = spark.createDataFrame([("a",), ("b",), ("c",)], "gene string")
+    made = rna.normalised(rna_rows, genes)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sample" in plan and "hashpartitioning(sample#" in plan and ", gene#" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning(sample" in line)
+    size = {r["sample"]: r["size_factor"] for r in rna.size_factors(rna_rows).collect()}
+    count = {("s1", "a"): 2, ("s2", "b"): 4}
+    got = {(r["sample"], r["gene"]): r["value"] for r in made.collect()}
+    assert got.keys() == {(s, g) for s in ("s1", "s2", "s3") for g in "abc"}
+    assert all(abs(v - np.log(2 + count.get(k, 0) / size[k[0]])) < 1e-12 for k, v in got.items())
