@@ -43,6 +43,20 @@ def test_importances_equal_trees_grown_one_by_one(seed):
     assert np.allclose(got, [np.mean([tree(x, w[t], v, 4) for t in range(4)], axis=0) for v in y])
 
 
+@pytest.mark.parametrize("small", [1, 8, 10**6])
+def test_nodes_read_alone_and_with_others_grow_the_same_trees(monkeypatch, small):
+    monkeypatch.setattr(forest, "SMALL", small)
+    monkeypatch.setattr(forest, "ROWS", 5)
+    x, y, sparse = made(7, n=60, share=0.9)
+    w = forest.bootstraps(60, 3, 7)
+    assert np.allclose(forest.importances(sparse, w, y, 6, forest.carriers(sparse, w)), [np.mean([tree(x, w[t], v, 6) for t in range(3)], axis=0) for v in y])
+
+
+def test_a_gene_without_expression_among_the_drawn_samples_has_no_importance():
+    _, _, sparse = made(1)
+    assert not forest.importances(sparse, forest.bootstraps(36, 4, 1), np.zeros((1, 36)), 4).any()
+
+
 def test_constant_expression_and_alterations_without_a_split():
     sparse = cohort.Sparse([np.array([0]), np.array([0]), np.array([0])], 2)
     w = np.ones((2, 3), dtype=int)
