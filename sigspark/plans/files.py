@@ -32,7 +32,7 @@ def source_copy_numbers(spark, sf_dir):
 
 @query(f"{with_views('expr')} SELECT sample, gene, count::DOUBLE AS count FROM expr WHERE count <> 0")
 def source_expression(spark, sf_dir):
-    return readers.read_rna(spark, _written(v.expression(spark, sf_dir), "gene", "count", compress=True)).where("count <> 0")
+    return readers.read_rna(spark, _written(v.expression(spark, sf_dir), "gene", "count", compress=True), zeros=False)
 
 
 @query(f"{with_views('expr')} SELECT DISTINCT gene FROM expr")
@@ -118,7 +118,7 @@ def sink_simulation(spark, sf_dir):
     out, counts = scratch.folder(spark), v.expression(spark, sf_dir)
     writers.write_simulation(out, "DRIVER", counts, v.alterations(spark, sf_dir).withColumn("value", F.lit(1)), v.truth(spark, sf_dir), compress=True, rna_real=counts, alt_gistic=None)
     named = lambda kind, df, c, x: df.select(F.lit(kind).alias("kind"), "sample", F.col(c).alias("name"), F.col(x).cast("double").alias("value"))
-    back = [named(kind, readers.read_rna(spark, f"{out}/{name}_DRIVER.csv").where("count <> 0"), "gene", "count") for kind, name in (("count", "rna_simulated"), ("real", "rna_real"))]
+    back = [named(kind, readers.read_rna(spark, f"{out}/{name}_DRIVER.csv", zeros=False), "gene", "count") for kind, name in (("count", "rna_simulated"), ("real", "rna_real"))]
     return named("alteration", readers.read_alterations(spark, f"{out}/alterations_DRIVER.csv"), "feature", "value").unionByName(back[0]).unionByName(back[1])
 
 

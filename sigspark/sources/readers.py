@@ -44,25 +44,41 @@ def read_table(spark: SparkSession, path: str, comment: str | None = None, mode:
     return df.toDF(*names)
 
 
-def fields(line: Column, sep: str) -> Column:
-    """The fields of a delimited line as an array: split at once, or, where there are quotes, taken one by one. Empty ones are null."""
+def fields(line: Column, sep: str, empty: bool = False) -> Column:
+    """The fields of a delimited line as an array: split at once, or, where there are quotes, taken one by one. Empty ones are null, or, with empty, stay."""
     s = "\\t" if sep == "\t" else f"\\{sep}"
     quoted = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{s}("(?:[^"\\]|\\.|"")*"|[^{s}]*)'), F.lit(1))
     plain = F.transform(quoted, lambda x: F.when(x.startswith('"'), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r'\\(.)|"(")', "$1$2")).otherwise(x))
-    return F.transform(F.when(line.contains('"'), plain).otherwise(F.split(line, s, -1)), lambda x: F.when(x != "", x))
+    found = F.when(line.contains('"'), plain).otherwise(F.split(line, s, -1))
+    return found if empty else F.transform(found, lambda x: F.when(x != "", x))
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
+    """(names, cells): the trimmed fields of the header and the fields of each other line."""
+    line = first_line(spark, path, None)
+    sep = delimiter(line)
+    names = spark.createDataFrame([(line,)], "line string").select(F.transform(fields(F.col("line"), sep), lambda x: F.trim(x)).alias("names"))  # one row
+    rows = spark.read.text(path).where((F.col("value") != line) & (F.length("value") > 0)).select(fields(F.col("value"), sep, empty).alias("cells"))
+    return rows.crossJoin(F.broadcast(names))
+
+
+def read_matrix(spark: SparkSession, path: str, zeros: bool = True) -> DataFrame:
     """(row, name, value) of a wide delimited file: its first column, the header of each other column, and the cell as text, null where it is empty or missing.
 
     Lines are split into arrays, so thousands of columns are one column to Spark. Every file of a folder begins with the header. Quoted fields don't go over lines.
+    zeros: with False, cells that are empty, missing or just 0 are left out before anything else is made of them; most of a wide file is that.
     """
-    line = first_line(spark, path, None)
-    sep = delimiter(line)
-    names = spark.createDataFrame([(line,)], "line string").select(F.transform(fields(F.col("line"), sep), lambda x: F.trim(x)).alias("names"))  # one row
-    rows = spark.read.text(path).where((F.col("value") != line) & (F.length("value") > 0)).select(fields(F.col("value"), sep).alias("cells"))
-    rows = rows.crossJoin(F.broadcast(names)).select(F.col("cells")[0].alias("row"), "names", F.posexplode(F.expr("transform(sequence(2, greatest(size(names), 2)), i -> try_element_at(cells, i))")).alias("at", "value"))
-    return rows.select("row", F.try_element_at("names", F.col("at") + 2).alias("name"), "value").where("name is not null")
+    rows, first = _lines(spark, path, not zeros), F.col("cells")[0]
+    if zeros:
+        rows = rows.select(first.alias("row"), "names", F.posexplode(F.expr("transform(sequence(2, greatest(size(names), 2)), i -> try_element_at(cells, i))")).alias("at", "value")).withColumn("at", F.col("at") + 1)
+    else:
+        rows = rows.select(F.when(first != "", first).alias("row"), "names", F.posexplode("cells").alias("at", "value")).where("at > 0 and value <> '' and value <> '0'")
+    return rows.select("row", F.try_element_at("names", F.col("at") + 1).alias("name"), "value").where("name is not null")
+
+
+def matrix_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(row): the first column of a wide file that has others; its cells are not taken apart further."""
+    return _lines(spark, path).where("exists(slice(names, 2, greatest(size(names) - 1, 0)), x -> x is not null)").select(F.col("cells")[0].alias("row"))
 
 
 def read_cna(spark: SparkSession, path: str, genes_in_rows: bool = True, rename: bool = True) -> DataFrame:
@@ -84,10 +100,16 @@ def read_clinical(spark: SparkSession, path: str, metadata_rows: int = 0) -> Dat
     return df.withColumn("sample", F.upper(F.trim("sample")))
 
 
-def read_rna(spark: SparkSession, path: str, genes_in_rows: bool = False) -> DataFrame:
-    """(sample, gene, count) of a matrix, as it is. The orientation is the caller's to say."""
+def read_rna(spark: SparkSession, path: str, genes_in_rows: bool = False, zeros: bool = True) -> DataFrame:
+    """(sample, gene, count) of a matrix, as it is, or, with zeros=False, without its zeros. The orientation is the caller's to say."""
     sample, gene = ("name", "row") if genes_in_rows else ("row", "name")
-    return read_matrix(spark, path).select(F.col(sample).alias("sample"), F.col(gene).alias("gene"), number(F.col("value")).alias("count"))
+    rows = read_matrix(spark, path, zeros).select(F.col(sample).alias("sample"), F.col(gene).alias("gene"), number(F.col("value")).alias("count"))
+    return rows if zeros else rows.where("count <> 0")
+
+
+def rna_samples(spark: SparkSession, path: str, genes_in_rows: bool = False) -> DataFrame:
+    """(sample) of every cell that read_rna gives, from the header or the first column alone."""
+    return gene_universe(spark, path).withColumnRenamed("gene", "sample").where("sample is not null") if genes_in_rows else matrix_rows(spark, path).withColumnRenamed("row", "sample")
 
 
 def read_fusions(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +141,7 @@ def read_maf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_alterations(spark: SparkSession, path: str) -> DataFrame:
     """(sample, feature, value) of a sample-by-feature table of 0 and 1, cells of 0 left out."""
-    long = read_matrix(spark, path).select(F.col("row").alias("sample"), F.col("name").alias("feature"), number(F.col("value")).cast("int").alias("value"))
+    long = read_matrix(spark, path, zeros=False).select(F.col("row").alias("sample"), F.col("name").alias("feature"), number(F.col("value")).cast("int").alias("value"))
     return long.where("value <> 0")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cooccurrence import by_member
 from ..operators.simulate import nested
+from .scratch import stored
 
 
 def wide(rows: DataFrame, column: str, value: str) -> DataFrame:
@@ -23,21 +24,27 @@ def _quoted(text: str) -> str:
 def write_matrix(rows: DataFrame, column: str, value: str, path: str, compress: bool = False) -> None:
     """A line per sample and a column for each feature, absent cells 0, as comma-separated text. Nothing is pivoted: a sample's cells are
     an array in the order of the columns, and between two of them stand as many zeros as there are columns. Of cells that repeat, the least counts.
+
+    The rows are stored once, as the columns must be known before a line is written; they are dealt by sample, never by column.
     """
-    names = [r[column] for r in rows.select(column).distinct().orderBy(column).collect()]  # a dimension
+    rows = stored(rows.select("sample", F.col(column).alias("_name"), F.col(value).alias("_value")))
+    names = [r["_name"] for r in rows.select("_name").distinct().orderBy("_name").collect()]  # a dimension
     head = ",".join(["sample", *map(_quoted, names)])
-    places = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _at int")
-    cells = rows.groupBy("sample", F.col(column).alias("_name")).agg(F.min(value).alias("_value")).join(places, "_name")
-    lines = cells.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), F.coalesce(F.col("_value").cast("string"), F.lit("0")).alias("v")))).alias("cells"))
+    places = F.broadcast(rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _at int"))  # a row per column
+    cell = F.when(F.col("_value").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_value").alias("v")))
+    lines = rows.join(places, "_name").select("sample", cell.alias("cell")).repartition("sample").groupBy("sample").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    lines = lines.withColumn("cells", F.expr("filter(cells, (x, i) -> i = 0 or x.at <> cells[greatest(i, 1) - 1].at)"))
     id_ = F.when(F.col("sample").rlike('[",\\\\]'), F.concat(F.lit('"'), F.regexp_replace("sample", '(["\\\\])', "\\\\$1"), F.lit('"'))).otherwise(F.col("sample"))
-    text = F.expr("array_join(transform(cells, (x, i) -> concat(repeat(',0', x.at - if(i = 0, -1, cells[greatest(i, 1) - 1].at) - 1), ',', x.v)), '')")
-    lines = lines.select(F.concat(F.coalesce(id_, F.lit("")), text, F.expr(f"repeat(',0', {len(names)} - 1 - element_at(cells, -1).at)")).alias("value"))
+    text = F.expr("array_join(transform(cells, (x, i) -> concat(repeat(',0', x.at - if(i = 0, -1, cells[greatest(i, 1) - 1].at) - 1), ',', cast(x.v as string))), '')")
+    rest = F.expr(f"repeat(',0', {len(names)} - 1 - coalesce(try_element_at(cells, -1).at, -1))")
+    lines = lines.select(F.concat(F.coalesce(id_, F.lit("")), text, rest).alias("value"))
 
     def headed(batches):
-        yield pd.DataFrame({"value": [head]})
-        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
 
-    lines.mapInPandas(headed, "value string").write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
+    lines.mapInArrow(headed, "value string").write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
 
 
 def write_csv(df: DataFrame, path: str, compress: bool = False) -> None:

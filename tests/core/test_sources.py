@@ -101,6 +101,18 @@ def test_wide_round_trip_without_a_pivot(spark, tmp_path):
     assert readers.read_rna(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_wide_files_without_their_zeros(spark, tmp_path):
+    odd = put(tmp_path / "odd.csv", 'id,"a, b",c,d\n"S ""1""",0,2,0.0\n\nS2,,x\nS3,0,0,0\n,1,0,0\n')
+    whole, some = (sorted((tuple(r) for r in readers.read_matrix(spark, odd, zeros=z).collect()), key=str) for z in (True, False))
+    assert some == [r for r in whole if r[2] not in (None, "0")] and len(some) == 4
+    assert sorted(map(str, (r.sample for r in readers.rna_samples(spark, odd).collect()))) == ['None', 'S "1"', "S2", "S3"]
+    assert readers.rna_samples(spark, put(tmp_path / "one.csv", "id\nS1\n")).collect() == []
+    cells = spark.createDataFrame([("S1", "G1", 3), ("S1", "G1", 2), ("S1", "G3", None), ("S2", "G2", None), ("S2", "G3", 10), ("S2", "G3", 9), ("S3", "G1", None)], "sample string, gene string, count long")
+    writers.write_matrix(cells, "gene", "count", str(tmp_path / "dealt"))
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "dealt")).distinct().collect())
+    assert lines == ["S1,2,0,0", "S2,0,0,9", "S3,0,0,0", "sample,G1,G2,G3"]
+
+
 def test_effects_by_target_or_as_a_list(spark):
     rows = [("a", {"targets": '["G1","G2"]', "effects": '{"G2":-1.5}'}), ("b", {"genes": '["G1","G2","G3"]', "log2fc": "[0.5, -2]"}), ("c", {"effect_sizes": '{"G9":3.0}'}), ("d", {"signature": '["G1"]'})]
     targets, effects = evaluate.targets_and_effects(F.col("sig"))
