@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,16 @@ def test_nonempty(spark):
 
     one = spark.range(1)
     assert nonempty(one) and not nonempty(one.limit(0)) and not nonempty(one.select())
+
+
+def test_median_deviations_count_absent_cells_without_a_grid(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    table = np.where(draw.random((23, 9)) < np.linspace(0, 1, 9), draw.integers(1, 60, (23, 9)), 0)
+    table[:, 4] = 7
+    ids, names = [f"s{i}" for i in range(23)], [f"g{j}" for j in range(9)]
+    cells = spark.createDataFrame([(ids[i], names[j], int(table[i, j])) for i, j in zip(*np.nonzero(table), strict=True)], "sample string, gene string, count long")
+    samples, genes = spark.createDataFrame([(i,) for i in ids], "sample string"), spark.createDataFrame([(g,) for g in names], "gene string")
+    monkeypatch.setattr(rna, "dense", None, raising=False)  # no grid is made
+    got = {r.gene: r.variability for r in rna.gene_statistics(cells, samples, genes, mad=True).collect()}
+    x = np.log1p(table / np.maximum(table.sum(axis=1, keepdims=True), 1) * 1e6)
+    assert got == pytest.approx({g: float(np.median(np.abs(x[:, j] - np.median(x[:, j])))) for j, g in enumerate(names)})
