@@ -34,7 +34,9 @@ def overlaps(blocks: Mapping[str, DataFrame]) -> DataFrame:
 
 def aligned(blocks: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Each block's rows of the common samples; ValueError if there are none."""
-    ids = common_samples(blocks)
+    from ..sources.scratch import stored
+
+    ids = stored(common_samples(blocks))  # every block is joined with them
     if ids.isEmpty():
         raise ValueError(f"no sample is common to {sorted(blocks)}: {[tuple(r) for r in overlaps(blocks).collect()]}")
     return {n: b.join(ids, "sample", "left_semi") for n, b in blocks.items()}

@@ -25,7 +25,8 @@ def subtypes(samples: DataFrame, min_samples: int = 5) -> DataFrame:
     if column is None:
         raise ValueError(f"no subtype column among {samples.columns}")
     rows = samples.select("sample", F.col(f"`{column}`").alias("subtype")).where("subtype is not null")
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("subtype"))).where(F.col("n") >= min_samples).drop("n")
+    large = rows.groupBy("subtype").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples)
+    return rows.join(F.broadcast(large.select("subtype")), "subtype", "left_semi").select("sample", "subtype")  # a row per subtype
 
 
 def known_columns(df: DataFrame, cancer: str) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import simulated_genes
 from ..operators import align, clinical, cna, cooccurrence, design, evaluate, knn, mutations, rna, simulate
-from ..sources import readers, writers
+from ..sources import readers, scratch, writers
 
 
 @dataclass
@@ -42,15 +42,17 @@ def integrate(spark: SparkSession, mut_path: str, cna_path: str, fusion_path: st
     patients = readers.read_clinical(spark, patient_path, metadata_rows)
     subtype = clinical.subtypes(samples, min_subtype)
     counts = to_patient(readers.read_rna(spark, rna_path, rna_genes_in_rows))
-    found = align.aligned({"mutations": features, "cna": copies, "fusions": fusions, "subtypes": subtype, "rna": counts})
-    ids = found["rna"].select("sample").distinct()
+    features, copies, fusions = (scratch.stored(df) for df in (features, copies, fusions))  # each is read for its samples, its features and its rows
+    held = scratch.stored(to_patient(readers.rna_samples(spark, rna_path, rna_genes_in_rows)).distinct())
+    found = align.aligned({"mutations": features, "cna": copies, "fusions": fusions, "subtypes": subtype, "rna": held})
+    ids = found["rna"]
     return Study(
         mutations.frequent_features(found["mutations"], ids, mut_freq, top=300),
         mutations.top_features(found["cna"], cna_top),
         mutations.frequent_features(found["fusions"], ids, fusion_freq),
         found["subtypes"],
         samples.join(patients, "sample"),
-        found["rna"],
+        counts.join(ids, "sample", "left_semi"),
     )
 
 
@@ -137,7 +139,7 @@ def evaluate_dataset(spark: SparkSession, dataset: str, base_dir: str, out: str
     """Reads a data set's folder, scores its predictions by `evaluate_predictions` with the options, and writes the results."""
     at = f"{base_dir}/{dataset}"
     alts = readers.read_alterations(spark, f"{at}/alterations_{dataset}.csv")
-    counts = readers.read_rna(spark, f"{at}/rna_simulated_{dataset}.csv").where("count <> 0")
+    counts = readers.read_rna(spark, f"{at}/rna_simulated_{dataset}.csv", zeros=False)
     nested = readers.read_truth(spark, f"{at}/true_signatures_{dataset}.json")
     truth = nested.select("alt", F.explode("targets").alias("gene"), "effects").select("alt", "gene", F.try_element_at("effects", F.col("gene")).alias("log2fc"))
     said = evaluate.method_first(readers.read_predictions(spark, f"{at}/signatures_{dataset}.json"), truth).select("method", "alt", F.explode("genes").alias("gene"))
