@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, ratio
-from .rna import size_factors
+from .rna import with_factors
 
 
 def orientation(pairs: DataFrame, truth_alts: DataFrame | None) -> str:
@@ -111,23 +111,36 @@ def method_summary(metrics: DataFrame) -> DataFrame:
 def _cells(rna: DataFrame, pseudo: float) -> DataFrame:
     """Normalised logarithms of counts less that of a zero count: what is absent is 0, and neither differences of means nor variances change."""
     y = F.ln(1 + pseudo + F.col("count") / F.col("size_factor")) - F.ln(F.lit(1 + pseudo))
-    return rna.where("count > 0").join(size_factors(rna), "sample").select("sample", "gene", y.alias("u"))
+    return with_factors(rna).select("sample", "gene", y.alias("u"))
 
 
-def group_moments(alts: DataFrame, cells: DataFrame, pairs: DataFrame, samples: DataFrame, square: Column | None = None) -> DataFrame:
+def group_moments(alts: DataFrame, cells: DataFrame, pairs: DataFrame, samples: DataFrame, square: Column | None = None, few: bool = False) -> DataFrame:
     """Per (alt, gene) of pairs: n, sum and sum of squares of u among samples with the alteration (1) and without (0).
 
     cells: sample, gene, u with absent cells 0; square: what is summed as the square, if it is not u * u. The second group is the
-    total less the first, so no dense matrix is made.
+    total less the first, so no dense matrix is made. With few, pairs are few of all alterations and genes: a cell meets the sample's alterations as one array,
+    only those of its gene's pairs become rows, and cells are computed once.
     """
     n = F.broadcast(samples.agg(F.count_distinct("sample").alias("n")))  # one row
     u = F.col("u")
     square = u * u if square is None else square
-    total = cells.groupBy("gene").agg(F.sum(u).alias("s"), F.sum(square).alias("ss"))
+    sums = (F.sum(u).alias("s"), F.sum(square).alias("ss"))
     has = alts.select("sample", F.col("feature").alias("alt")).distinct().join(samples.select("sample").distinct(), "sample", "left_semi")
     carriers = has.groupBy("alt").agg(F.count("*").alias("n1"))
-    wanted = cells.join(pairs.select("gene").distinct(), "gene", "left_semi")
-    one = has.join(wanted, "sample").join(pairs.select("alt", "gene").distinct(), ["alt", "gene"], "left_semi").groupBy("alt", "gene").agg(F.sum(u).alias("s1"), F.sum(square).alias("ss1"))
+    if few:
+        from ..sources.scratch import stored
+
+        none = F.array(F.lit(None).cast("string"))
+        asked = F.broadcast(pairs.groupBy("gene").agg(F.concat(F.collect_set("alt"), none).alias("asked")))  # a row per gene
+        held = has.groupBy("sample").agg(F.collect_list("alt").alias("held"))
+        met = cells.join(held, "sample", "left").join(asked, "gene").withColumn("alt", F.explode("asked")).where(F.col("alt").isNull() | F.array_contains("held", F.col("alt")))
+        met = stored(met.groupBy("alt", "gene").agg(*sums))  # the total is the row without alteration
+        total, one = met.where("alt is null").drop("alt"), met.where("alt is not null")
+    else:
+        total = cells.groupBy("gene").agg(*sums)
+        wanted = cells.join(pairs.select("gene").distinct(), "gene", "left_semi")
+        one = has.join(wanted, "sample").join(pairs.select("alt", "gene").distinct(), ["alt", "gene"], "left_semi").groupBy("alt", "gene").agg(*sums)
+    one = one.withColumnsRenamed({"s": "s1", "ss": "ss1"})
     rows = pairs.select("alt", "gene").distinct().join(carriers, "alt").join(total, "gene", "left").join(one, ["alt", "gene"], "left").crossJoin(n).fillna(0.0, subset=["s", "ss", "s1", "ss1"])
     return rows.select("alt", "gene", "n1", (F.col("n") - F.col("n1")).alias("n0"), "s1", (F.col("s") - F.col("s1")).alias("s0"), "ss1", (F.col("ss") - F.col("ss1")).alias("ss0"))
 
@@ -141,11 +154,12 @@ def snr(alts: DataFrame, rna: DataFrame, truth: DataFrame, min_group: int = 1, p
     """(alteration, snr, n_targets): mean over the targets of |difference of group means| / pooled deviation.
 
     Targets without variance, or in a group of one, drop out; too small groups give NULL. Scaling a gene changes nothing, so
-    the z-scores are not computed.
+    the z-scores are not computed. Counts are stored, as several branches read them.
     """
-    cells = _cells(rna, pseudo)
-    samples = rna.where("count > 0").select("sample").distinct()
-    m = group_moments(alts, cells, truth.select("alt", "gene"), samples)
+    from ..sources.scratch import stored
+
+    rows = stored(rna.where("count > 0").select("sample", "gene", "count"))
+    m = group_moments(alts, _cells(rows, pseudo), stored(truth.select("alt", "gene").distinct()), rows.select("sample").distinct(), few=True)
     mean = lambda g: F.col(f"s{g}") / F.when(F.col(f"n{g}") > 0, F.col(f"n{g}"))
     pooled = F.sqrt((sample_variance("n1", "s1", "ss1") + sample_variance("n0", "s0", "ss0")) / 2)
     enough = (F.col("n1") >= min_group) & (F.col("n0") >= min_group)

@@ -171,3 +171,40 @@ def test_adjusted_values_over_range_partitions(spark):
         assert got[order[k - 1]] == pytest.approx(low, abs=1e-12)
     assert got[-1] is None and len(got) == len(p) + 1
     assert evaluate.adjusted(df.where("i = -1")).collect()[0].padj is None and evaluate.adjusted(df.limit(0)).collect() == []
+
+
+def test_signal_to_noise_reads_its_counts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    rng = np.random.default_rng(6)
+    y = rng.poisson(4, (30, 5))
+    y[29], y[0, :] = 0, [3, 3, 0, 0, 0]
+    cells = [(f"s{i:02}", f"g{j}", int(y[i, j])) for i in range(30) for j in range(5)]
+    rna = spark.createDataFrame(cells, "sample string, gene string, count long").mapInPandas(counted, "sample string, gene string, count long")
+    x = {"A": range(10), "B": range(5, 29), "one": [3], "gone": [29]}
+    alts = spark.createDataFrame([(f"s{i:02}", a) for a, on in x.items() for i in on], "sample string, feature string")
+    targets = {"A": [0, 1], "B": [1, 4], "one": [2], "gone": [3], "none": [0]}
+    truth = spark.createDataFrame([(a, f"g{j}", 1.0) for a, js in targets.items() for j in js], "alt string, gene string, log2fc double")
+    got = {r["alteration"]: r for r in evaluate.snr(alts, rna, truth).collect()}
+    assert seen.value == len(cells)
+    with np.errstate(divide="ignore"):
+        centre = np.array([np.exp(np.log(c[c > 0]).mean()) for c in y.T])
+    factor = np.array([np.median((r / centre)[r > 0]) for r in y[:29]])
+    u = np.log(2 + y[:29] / factor[:, None])
+    for a, js in targets.items():
+        on = np.isin(np.arange(29), list(x.get(a, [])))
+        one, rest = u[on], u[~on]
+        want = np.mean([abs(one[:, j].mean() - rest[:, j].mean()) / np.sqrt((one[:, j].var(ddof=1) + rest[:, j].var(ddof=1)) / 2) for j in js]) if on.sum() > 1 else None
+        assert got[a]["n_targets"] == len(js) and got[a]["snr"] == (want if want is None else pytest.approx(want, rel=1e-9))
+    assert {r["sample"]: r["size_factor"] for r in rna_factors(spark, cells)} == pytest.approx({f"s{i:02}": f for i, f in enumerate(factor)}, rel=1e-12)
+
+
+def rna_factors(spark, cells):
+    from sigspark.operators import rna
+
+    return rna.size_factors(spark.createDataFrame(cells, "sample string, gene string, count long")).collect()
