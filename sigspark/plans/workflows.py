@@ -119,7 +119,7 @@ def diagnosed(dataset: str, alts: DataFrame, fates: DataFrame, truth: DataFrame,
 def evaluate_predictions(dataset: str, alts: DataFrame, samples: DataFrame, rna_counts: DataFrame, truth: DataFrame, predictions: DataFrame, genes: DataFrame, filter_alts: bool = True, min_group: int = 5, min_residual: int = 5, with_robustness: bool = True) -> Evaluation:
     """Scores of (method, alt, gene) against truth (alt, gene, log2fc), over the alterations that a design matrix can hold."""
     features = alts.select("feature").distinct()
-    fates = design.sanitised(alts, samples, features, min_group, min_residual=min_residual) if filter_alts else features.withColumn("fate", F.lit("kept")).withColumn("place", F.lit(0))
+    fates = scratch.stored(design.sanitised(alts, samples, features, min_group, min_residual=min_residual) if filter_alts else features.withColumn("fate", F.lit("kept")).withColumn("place", F.lit(0)))  # a row per feature
     kept = fates.where("fate = 'kept'").select(F.col("feature").alias("alt"))
     truth = truth.join(kept, "alt", "left_semi")
     scores = evaluate.signature_metrics(evaluate.restricted(predictions, kept), truth, genes)
@@ -127,7 +127,7 @@ def evaluate_predictions(dataset: str, alts: DataFrame, samples: DataFrame, rna_
     robust = None
     if with_robustness:
         used = alts.join(kept.withColumnRenamed("alt", "feature"), "feature", "left_semi")
-        pairs = cooccurrence.fisher_pairs(used, samples)
+        pairs = scratch.stored(cooccurrence.fisher_pairs(used, samples))
         robust = evaluate.robustness(used, samples, rna_counts, truth, pairs, min_group)
         individual = individual.join(robust.withColumnRenamed("alteration", "alt"), "alt", "left")
     overall = evaluate.method_summary(individual).withColumn("dataset", F.lit(dataset)).orderBy("method")

@@ -208,3 +208,23 @@ def rna_factors(spark, cells):
     from sigspark.operators import rna
 
     return rna.size_factors(spark.createDataFrame(cells, "sample string, gene string, count long")).collect()
+
+
+def test_an_evaluation_computes_its_design_once(spark, monkeypatch):
+    from sigspark.operators import design
+    from sigspark.plans import workflows
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    made = spark.createDataFrame([("A_GOF", "kept", 0), ("B_GOF", "constant", None)], "feature string, fate string, place int")
+    monkeypatch.setattr(design, "sanitised", lambda *a, **k: made.mapInPandas(counted, made.schema))
+    alts = spark.createDataFrame([("s1", "A_GOF"), ("s2", "B_GOF")], "sample string, feature string")
+    truth = spark.createDataFrame([("A_GOF", "g1", 1.0), ("B_GOF", "g1", 1.0)], "alt string, gene string, log2fc double")
+    genes = truth.select("gene")
+    found = workflows.evaluate_predictions("d", alts, alts, genes, truth, truth.selectExpr("'m' AS method", "alt", "gene"), genes, with_robustness=False)
+    assert [(r["alt"], r["tp"]) for r in found.individual.collect()] == [("A_GOF", 1)] and seen.value == 2
