@@ -8,7 +8,7 @@ difference, which bounds the distance to the optimum, is known exactly. A cohort
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import folder
-from .cohort import WEIGHT, design, every, gene_blocks, together
+from ..sources.scratch import dropped, folder
+from .cohort import WEIGHT, Cohort, alike, bits, design, every, gene_blocks, packed_cohort, together
 
-#: Genes that are fitted side by side, samples in a block, and genes times samples in it, of which a task holds a few dense tables.
-GENES, SAMPLES, CELLS = 512, 100_000, 2_000_000
+#: Genes that are fitted side by side, and genes times samples, of which a task holds a few dense tables.
+GENES, CELLS = 8, 8_000_000
+#: The largest cohort that is solved where it lies, one gene of which is what a task holds at least; samples in a block of larger ones.
+SAMPLES, BLOCK = 8_000_000, 100_000
+#: Samples that a step takes at a time; numbers of a design that is kept dense.
+ROWS, DENSE = 512, 4_000_000
 #: The largest duality gap of a gene, as a share of its primal value.
 GAP = 1e-4
 #: Iterations between looks at the gap; the most iterations of one block alone, and of several blocks, each of which is a Spark job.
@@ -33,33 +37,60 @@ _STATE = _BLOCK + ", z array<double>, u array<double>, gram array<double>, right
 
 
 class Block:
-    """Samples of one block with their targets, z and u."""
+    """Samples of one block with their targets, z and u; cols are lists of alterations or packed bits. times: how many samples a row stands for.
 
-    def __init__(self, cols: list[np.ndarray], p: int, y: np.ndarray, c: float, epsilon: float, z: np.ndarray | None = None, u: np.ndarray | None = None):
-        self.x = np.zeros((len(cols), p + 1))
-        self.x[np.repeat(np.arange(len(cols)), [len(j) for j in cols]), np.concatenate([np.zeros(0, dtype=np.int64), *cols]).astype(np.int64)] = 1
-        self.x[:, -1] = 1
+    x is made dense for ROWS samples at a time, from bits, so that what a step makes stays in the cache; it stays dense where it has no more than DENSE numbers.
+    """
+
+    def __init__(self, cols, p: int, y: np.ndarray, c: float, epsilon: float, z: np.ndarray | None = None, u: np.ndarray | None = None, times: np.ndarray | None = None):
+        self.bits, self.p = cols if isinstance(cols, np.ndarray) else bits(cols, p), p
         self.y, self.c, self.epsilon = y, c, epsilon
         self.z, self.u = (-y if z is None else z), (np.zeros_like(y) if u is None else u)
+        self.times = np.ones((len(y), 1)) if times is None else times[:, None].astype(float)
+        self.kept = [self._piece(i) for i in range(0, len(y), ROWS)] if y.shape[0] * (p + 1) <= DENSE else None
 
-    def right(self) -> np.ndarray:
-        return self.x.T @ (self.y + self.z - self.u)
+    def _piece(self, i: int) -> tuple[slice, np.ndarray]:
+        s = slice(i, i + ROWS)
+        x = np.ones((len(self.bits[s]), self.p + 1))
+        x[:, :-1] = np.unpackbits(self.bits[s], axis=1, count=self.p)
+        return s, x
+
+    def pieces(self) -> Iterable[tuple[slice, np.ndarray]]:
+        return self.kept if self.kept is not None else map(self._piece, range(0, len(self.y), ROWS))
+
+    def gram(self) -> np.ndarray:
+        return sum((x.T @ (x * self.times[s]) for s, x in self.pieces()), np.zeros((self.p + 1, self.p + 1)))
+
+    def _right(self, s: slice, x: np.ndarray) -> np.ndarray:
+        return x.T @ (self.times[s] * (self.y[s] + self.z[s] - self.u[s]))
 
-    def step(self, w: np.ndarray) -> None:
-        """The penalty is c, so multipliers have the range of -1 to 1 and residuals shrink by at most 1."""
-        v = RELAX * (self.x @ w - self.y) + (1 - RELAX) * self.z + self.u
-        over = v - np.clip(v, -self.epsilon, self.epsilon)
-        self.z = v - np.clip(over, -1, 1)
-        self.u = v - self.z
+    def right(self) -> np.ndarray:
+        return sum((self._right(s, x) for s, x in self.pieces()), np.zeros((self.p + 1, self.y.shape[1])))
+
+    def step(self, w: np.ndarray) -> np.ndarray:
+        """The penalty is c, so multipliers have the range of -1 to 1 and residuals shrink by at most 1. Returns what `right` then is."""
+        right = np.zeros_like(w)
+        for s, x in self.pieces():
+            v = RELAX * (x @ w - self.y[s]) + (1 - RELAX) * self.z[s] + self.u[s]
+            over = v - np.clip(v, -self.epsilon, self.epsilon)
+            self.z[s] = v - np.clip(over, -1, 1)
+            self.u[s] = v - self.z[s]
+            right += self._right(s, x)
+        return right
 
     def values(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per gene: this block's parts of the primal loss and of the dual value, and x'beta, of whose sum the dual takes half the square off."""
-        beta = -self.c * np.clip(self.u, -1, 1)
-        loss = self.c * np.maximum(np.abs(self.x @ w - self.y) - self.epsilon, 0).sum(axis=0)
-        return loss, (self.y * beta).sum(axis=0) - self.epsilon * np.abs(beta).sum(axis=0), self.x.T @ beta
+        loss, dual, back = np.zeros(w.shape[1]), np.zeros(w.shape[1]), np.zeros_like(w)
+        for s, x in self.pieces():
+            beta = -self.c * np.clip(self.u[s], -1, 1)
+            loss += self.c * (self.times[s] * np.maximum(np.abs(x @ w - self.y[s]) - self.epsilon, 0)).sum(axis=0)
+            beta *= self.times[s]
+            dual += (self.y[s] * beta).sum(axis=0) - self.epsilon * np.abs(beta).sum(axis=0)
+            back += x.T @ beta
+        return loss, dual, back
 
     def without(self, done: np.ndarray) -> None:
-        self.y, self.z, self.u = self.y[:, ~done], self.z[:, ~done], self.u[:, ~done]
+        self.y, self.z, self.u = (np.ascontiguousarray(v[:, ~done]) for v in (self.y, self.z, self.u))
 
 
 def relative_gap(w: np.ndarray, loss: np.ndarray, dual: np.ndarray, back: np.ndarray) -> np.ndarray:
@@ -73,10 +104,10 @@ def solver(gram: np.ndarray, c: float) -> np.ndarray:
 
 def alone(block: Block, iterations: int = ITERATIONS, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """w ((alterations + 1) x genes) and the gaps, where the samples are one block. A gene whose gap is small is done."""
-    inverse, todo = solver(block.x.T @ block.x, block.c), np.arange(block.y.shape[1])
-    out, gaps = np.zeros((block.x.shape[1], len(todo))), np.zeros(len(todo))
+    inverse, todo = solver(block.gram(), block.c), np.arange(block.y.shape[1])
+    out, gaps, right = np.zeros((block.p + 1, len(todo))), np.zeros(len(todo)), block.right()
     for turn in range(iterations + 1):
-        w = inverse @ block.right()
+        w = inverse @ right
         if turn % LOOK == 0 or turn == iterations:
             at = relative_gap(w, *block.values(w))
             done = (at <= gap) | (turn == iterations)
@@ -86,7 +117,7 @@ def alone(block: Block, iterations: int = ITERATIONS, gap: float = GAP) -> tuple
             if done.any():
                 block.without(done)
                 todo, w = todo[~done], w[:, ~done]
-        block.step(w)
+        right = block.step(w)
     return out, gaps
 
 
@@ -103,13 +134,24 @@ def _dense(shape: tuple[int, int], on: np.ndarray, at: np.ndarray, v: np.ndarray
     return y
 
 
-def _alone(p: int, c: float, epsilon: float):
+def _alone(p: int, k: int, c: float, epsilon: float):
+    """All parts of a cohort for a block of genes, one after the other; samples that are equal in alterations and expression are a row."""
+
     def fit(own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame({k.split()[0]: [] for k in _FIT.split(", ")})
-        names, cols, on, at, v = _laid_out(own, cells)
-        w, gaps = alone(Block(cols, p, _dense((len(cols), len(names)), on, at, v), c, epsilon))
-        return pd.DataFrame({"part": own["part"][:1], "genes": own["genes"][:1], "names": [names], "w": [w.ravel()], "gap": [float(gaps.max(initial=0.0))]})
+        rows = {f.split()[0]: [] for f in _FIT.split(", ")}
+        if len(own) and len(cells):
+            cohort, names = Cohort(own, p, k), sorted(cells["gene"].unique())
+            y = _dense((len(names), len(cohort.x)), pd.Index(names).get_indexer(cells["gene"]), cells["place"].to_numpy(), cells["u"].to_numpy(dtype=float))
+            first, kind = alike(cohort.x, *y)
+            x, y = cohort.x[first], y[:, first]
+            for part in range(k):
+                times = np.bincount(kind[cohort.members(part)], minlength=len(first))
+                here = np.flatnonzero(times)
+                if len(here):
+                    w, gaps = alone(Block(x[here], p, np.ascontiguousarray(y[:, here].T), c, epsilon, times=times[here]))
+                    for f, v in zip(rows, (part, own["genes"].iloc[0], names, w.ravel(), float(gaps.max(initial=0.0))), strict=True):
+                        rows[f].append(v)
+        return pd.DataFrame({f: pd.Series(v, dtype=object if f in ("names", "w") else None) for f, v in rows.items()})
 
     return fit
 
@@ -132,12 +174,11 @@ def _turn(p: int, c: float, epsilon: float):
                 get = lambda k, rows=rows, i=i: rows[k][i].values.to_numpy(zero_copy_only=False)
                 first, g = get("first"), len(rows["names"][i].values)
                 shape = (len(first) - 1, g)
-                old = [get(k).reshape(shape) for k in ("z", "u")] if has("w") else [None, None]
+                old = [get(k).reshape(shape).copy() for k in ("z", "u")] if has("w") else [None, None]
                 block = Block(np.split(get("cols"), first[1:-1]), p, _dense(shape, get("on"), get("at"), get("y")), c, epsilon, *old)
                 w = get("w").reshape(p + 1, g) if has("w") else np.zeros((p + 1, g))
-                if has("w"):
-                    block.step(w)
-                new = dict(zip(("loss", "dual", "back"), block.values(w), strict=True)) | {"z": block.z, "u": block.u, "gram": block.x.T @ block.x, "right": block.right()}
+                right = block.step(w) if has("w") else block.right()
+                new = dict(zip(("loss", "dual", "back"), block.values(w), strict=True)) | {"z": block.z, "u": block.u, "gram": block.gram(), "right": right}
                 names = [k.split()[0] for k in _STATE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, new[k].size], pa.array(new[k].ravel(), pa.float64())) if k in new else rows[k].slice(i, 1) for k in names], names=names)
 
@@ -163,26 +204,33 @@ def _stored(df: DataFrame) -> DataFrame:
     """Rows are large: a group of rows is closed by its size, not only after a hundred."""
     path = f"{folder(df.sparkSession)}/state"
     df.write.option("parquet.block.size", str(16 << 20)).option("parquet.block.size.row.check.min", "1").option("parquet.page.size.row.check.min", "1").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def support_vectors(alts: DataFrame, cells: DataFrame, samples: DataFrame, parts: DataFrame, c: float = 1.0, epsilon: float = 0.1) -> tuple[DataFrame, list[str]]:
     """(part, genes, names, w, gap): coefficients of every part's regression, (alterations + 1) x genes row by row, and their largest relative duality gap; and the alterations' names."""
+    count = samples.select("sample").distinct().count()
+    if count <= SAMPLES:
+        both, names, k = packed_cohort(alts, cells, samples, parts, lambda n: max(1, min(GENES, CELLS // max(1, n))))
+        return both.applyInPandas(_alone(len(names), k, c, epsilon), _FIT), names
     rows, names = design(alts, samples, parts)
     own = samples.select("sample").distinct()
-    count = own.count()
-    blocks = max(1, -(-count // SAMPLES))
-    used, n_genes = gene_blocks(cells.join(own, "sample", "left_semi"), max(1, min(GENES, CELLS // max(1, -(-count // blocks)))))
+    blocks = -(-count // min(SAMPLES, BLOCK))
+    used, n_genes = gene_blocks(cells.join(own, "sample", "left_semi"), max(1, min(GENES, CELLS // -(-count // blocks))))
     block = F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int").alias("block")
     listed = used.groupBy("genes").agg(F.array_sort(F.collect_set("gene")).alias("names"))  # GENES or so
-    left = rows.select("sample", "cols", block, F.explode("parts").alias("part")).withColumn("genes", every(n_genes)).join(listed, "genes")
-    right = used.select("genes", "sample", "gene", "u", block).join(parts.select(F.col("sample").alias("member"), "part").distinct(), F.col("sample") == F.col("member")).drop("member")
-    keys, p = ("part", "genes", "block"), len(names)
-    both = together(left, right, parts.select("part").distinct().count() * n_genes * blocks or 1, *keys)
-    if blocks == 1:
-        return both.applyInPandas(_alone(p, c, epsilon), _FIT), names
+    fits, every_gene = None, every(n_genes)
     with _row_by_row(own.sparkSession):
-        return _rounds(both, p, c, epsilon), names
+        for part in sorted(r["part"] for r in parts.select("part").distinct().collect()):  # one after the other: their states are what the disk holds
+            mine = parts.where(F.col("part") == part).select(F.col("sample").alias("member")).distinct()
+            of = F.lit(part).alias("part")
+            left = rows.where(F.array_contains("parts", part)).select("sample", "cols", block, of).withColumn("genes", every_gene).join(listed, "genes")
+            right = used.select("genes", "sample", "gene", "u", block, of).join(mine, F.col("sample") == F.col("member")).drop("member")
+            fit = _rounds(together(left, right, n_genes * blocks, "part", "genes", "block"), len(names), c, epsilon)
+            fits = fit if fits is None else fits.unionByName(fit)
+    return fits if fits is not None else own.sparkSession.createDataFrame([], _FIT), names
 
 
 @contextmanager
@@ -198,15 +246,29 @@ def _row_by_row(spark: SparkSession) -> Iterator[None]:
 
 
 def _rounds(both, p: int, c: float, epsilon: float) -> DataFrame:
+    """A part's rounds; of the states there are two on disk at a time. w has some numbers a gene and alteration, so it is broadcast and the blocks stay where they lie."""
     state = _stored(both.applyInPandas(_packed, _BLOCK).mapInArrow(_turn(p, c, epsilon), _STATE))
-    w = _stored(state.groupBy("part", "genes").applyInPandas(_gathered(c), _FIT))
+    spark, sums, gap = state.sparkSession, ("part", "genes", "names", "gram", "right", "loss", "dual", "back"), None
+    w = _stored(state.select(*sums).groupBy("part", "genes").applyInPandas(_gathered(c), _FIT))
     for turn in range(ROUNDS):
-        state = _stored(state.join(w.select("part", "genes", "w"), ["part", "genes"]).mapInArrow(_turn(p, c, epsilon), _STATE))
-        made = _stored(state.join(w.select("part", "genes", "w"), ["part", "genes"]).groupBy("part", "genes").applyInPandas(_gathered(c), _FIT))
-        if turn % LOOK == 0 and (made.agg(F.max("gap")).first()[0] or 0.0) <= GAP:
-            return w.drop("gap").join(made.select("part", "genes", "gap"), ["part", "genes"])
+        known = F.broadcast(w.select("part", "genes", "w"))  # p numbers a gene
+        after = _stored(state.join(known, ["part", "genes"]).mapInArrow(_turn(p, c, epsilon), _STATE))
+        _drop(state)
+        state = after
+        made = _stored(state.select(*sums).join(known, ["part", "genes"]).groupBy("part", "genes").applyInPandas(_gathered(c), _FIT))
+        if turn % LOOK == 0:
+            spark._jvm.System.gc()  # Spark frees the rounds' shuffle files when the driver collects its garbage
+            if (made.agg(F.max("gap")).first()[0] or 0.0) <= GAP:
+                gap = made.select("part", "genes", "gap")
+                break
+        _drop(w)
         w = made
-    return w
+    _drop(state)
+    return w if gap is None else w.drop("gap").join(gap, ["part", "genes"])
+
+
+def _drop(df: DataFrame) -> None:
+    dropped(df.sparkSession, df.stored_at)
 
 
 def svr_stability(alts: DataFrame, cells: DataFrame, samples: DataFrame, c: float = 1.0, epsilon: float = 0.1, n: int = 20, share: float = 0.5, rule: str = "mean+sd", seed: int = 44) -> DataFrame:

@@ -131,3 +131,62 @@ def test_svr_stability_finds_the_alteration_that_acts(spark):
     assert got.columns == ["gene", "alt", "weight"]
     weight = {(r.gene, r.alt): r.weight for r in got.collect()}
     assert all(weight.get((f"g{g}", "a1"), 0) == max(v for (k, _), v in weight.items() if k == f"g{g}") >= 0.5 for g in range(5))
+
+
+def test_equal_rows_are_one(spark):
+    draw = np.random.default_rng(3)
+    x, y = draw.random((200, 11)) < 0.1, np.round(draw.normal(size=(2, 200)))
+    packed = cohort.bits([np.flatnonzero(r) for r in x], 11)
+    assert (np.unpackbits(packed, axis=1, count=11) == x).all()
+    first, kind = cohort.alike(packed, *y)
+    assert (x[first[kind]] == x).all() and (y[:, first[kind]] == y).all()
+    assert len(first) == len({(*a, *b) for a, b in zip(x.tolist(), y.T.tolist(), strict=True)})
+
+
+def test_rows_that_stand_for_several_samples_make_the_steps_of_these():
+    x, y, _ = made(5, n=50)
+    cols, times = [np.flatnonzero(r) for r in x], np.random.default_rng(5).integers(1, 4, 50)
+    one = support.alone(support.Block(cols, 6, y.T.copy(), 1.0, 0.1, times=times), iterations=30, gap=0.0)
+    more = np.repeat(np.arange(50), times)
+    each = support.alone(support.Block([cols[i] for i in more], 6, y.T[more].copy(), 1.0, 0.1), iterations=30, gap=0.0)
+    assert np.allclose(one[0], each[0]) and np.allclose(one[1], each[1])
+
+
+def test_samples_have_their_places_by_name(spark):
+    names = [f"s{i}" for i in range(300)]
+    got, n = cohort.placed(spark.createDataFrame([(s,) for s in names + names[:9]], "sample string").repartition(7))
+    assert n == 300 and {r.sample: r.place for r in got.collect()} == {s: i for i, s in enumerate(sorted(names))}
+
+
+def test_a_large_cohort_is_solved_without_tables_of_its_state(spark, monkeypatch):
+    monkeypatch.setattr(support, "_stored", None)  # calling it fails
+    n = 101_000
+    samples = spark.range(n).select(F.format_string("s%06d", "id").alias("sample"))
+    alts = samples.where(F.substring("sample", 7, 1) == "1").withColumn("feature", F.lit("a"))
+    cells = alts.select("sample", F.lit("g").alias("gene"), F.lit(3.0).alias("u"))
+    fits, names = support.support_vectors(alts, cells, samples, samples.withColumn("part", F.lit(0)))
+    row = fits.first()
+    assert names == ["a"] and row.names == ["g"] and row.gap <= support.GAP
+    assert sum(row.w) == pytest.approx(3, abs=0.11) and abs(row.w[1]) <= 0.11
+
+
+def test_rounds_leave_no_states_on_disk(spark, monkeypatch):
+    left = []
+    real = support._stored
+
+    def noted(df):
+        out = real(df)
+        if "z" in df.columns:
+            left.append(out)
+        return out
+
+    monkeypatch.setattr(support, "_stored", noted)
+    monkeypatch.setattr(support, "SAMPLES", 9)
+    monkeypatch.setattr(support, "ROUNDS", 2)
+    _, _, alts, cells, samples = frames(spark)
+    parts = samples.withColumn("part", F.lit(0)).union(samples.where("sample < 's20'").withColumn("part", F.lit(3)))
+    fits, _ = support.support_vectors(alts, cells, samples, parts)
+    assert sorted(r.part for r in fits.collect()) == [0, 3] and len(left) == 6
+    for df in left:
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
