@@ -1,6 +1,7 @@
 """Forests and support vectors against brute force and direct optimisation."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,42 @@ def test_rounds_leave_no_states_on_disk(spark, monkeypatch):
     for df in left:
         at = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
         assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_rows_that_stand_for_several_samples_grow_the_trees_of_these():
+    draw = np.random.default_rng(9)
+    x, y = draw.random((80, 5)) < 0.2, np.round(draw.normal(size=(2, 80)), 1)
+    w = forest.bootstraps(80, 4, 9)
+    packed = cohort.bits([np.flatnonzero(r) for r in x], 5)
+    first, kind = cohort.alike(packed)
+    assert len(first) < 40
+    weight = np.stack([np.bincount(kind, t, minlength=len(first)).astype(int) for t in w])
+    gene, sample = np.nonzero(y)
+    got = forest.grown(forest.sparse(packed[first], 5), weight, gene, kind[sample], y[gene, sample], 2, w[:, sample], 4)
+    assert np.allclose(got, [[tree(x, t, v, 4) for t in w] for v in y])
+
+
+def test_a_forest_drawn_a_tree_at_a_time_is_the_same(spark, monkeypatch):
+    _, _, alts, cells, samples = frames(spark)
+    rows = lambda: {tuple(r) for r in forest.forest_stability(alts, cells, samples, trees=3, depth=3, n=3).collect()}
+    want = rows()
+    monkeypatch.setattr(forest, "CELLS", 20)
+    assert want and rows() == want
+
+
+def test_a_forests_draws_and_rows_take_few_bytes():
+    import tracemalloc
+
+    n, p = 60_000, 30
+    draw = np.random.default_rng(2)
+    x = np.zeros((n, p), dtype=bool)
+    x[np.arange(n), draw.integers(0, p, n)] = True
+    own = pd.DataFrame({"chunk": [0], "x": [np.packbits(x, axis=1).tobytes()], "parts": [np.full(n, 128, dtype=np.uint8).tobytes()]})
+    tracemalloc.start()
+    cohort_ = cohort.Cohort(own, p, 1)
+    first, kind = cohort.alike(cohort_.x)
+    w = forest.bootstraps(n, 50, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(first) == p and len(kind) == n and w.sum() == 50 * n
+    assert most < 3 * 50 * n  # 8 bytes a draw before
